@@ -12,7 +12,7 @@ from marketlens.llm import chat, context_tree, exact_dedup, jaccard_join, langua
 #: Rules of the URL query: what a fitting rule decides, and its host and path.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: The list of the URL query: every subdomain of these.
-URL_LIST = [f"{name}.example.{top}/" for name in ("spam-farm", "cheap-pills") for top in ("com", "net", "org")]
+URL_LIST = [f"{name}.example.{top}/" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

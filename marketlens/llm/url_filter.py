@@ -74,7 +74,7 @@ def bloom_filter(entries: DataFrame) -> tuple[np.ndarray, int]:
     n = entries.count()
     blocks = int(min(MOST_BLOCKS, 1 << max(0, (n * _BITS_PER_ENTRY // 256).bit_length())))
     block, bits = _block_and_bits(F.xxhash64("entry"), blocks)
-    words = [F.bit_or(F.shiftleft(F.lit(1).cast("long"), b.cast("int"))).alias(f"w{i}") for i, b in enumerate(bits)]
+    words = [F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), b.cast("int"))).alias(f"w{i}") for i, b in enumerate(bits)]
     rows = entries.groupBy(block.alias("block")).agg(*words).collect()
     table = np.zeros((blocks, 8), dtype=np.uint32)
     for r in rows:
