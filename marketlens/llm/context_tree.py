@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from marketlens.llm.arrays import pack, unpack
 from marketlens.llm.lookups import answers, chunks, merge, read_blob, totals
-from marketlens.llm.shingles import mix64, word_hashes
+from marketlens.llm.shingles import mix64, runs, word_hashes
 from marketlens.storage import Scratch
 
 DEPTH = 5
 _U = np.uint64
-_PIECE = 2_000_000
+_PIECE = 1_000_000
 WORDS, GRAMS = 0, 1
 
 
@@ -65,16 +65,9 @@ def gram_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[coded], sizes
 
 
-def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _pieces(texts: list[bytes]) -> list[tuple[int, int]]:
     """Runs of texts of bounded size together; a long text is a run of its own."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t) + DEPTH + 1
-        if size >= _PIECE:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+    return runs([len(t) + DEPTH + 1 for t in texts], _PIECE)
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,8 @@ _FIRST = np.array([a for _, a, _ in SCRIPTS])
 _LAST = np.array([b for _, _, b in SCRIPTS])
 _OF = np.array([_NAMES.index(s) for s, _, _ in SCRIPTS])
 _WORD = re.compile(r"[^\W\d_]+")
-_VOCABULARY = 400_000
+#: Rows that are worked on at a time.
+_SLICE = 2000
 
 
 def script_of(words: list[str]) -> np.ndarray:
@@ -72,7 +73,7 @@ def _learn(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
-        for pdf in batches:
+        for pdf in (b[k : k + _SLICE] for b in batches for k in range(0, len(b), _SLICE)):
             vocabulary = _vocabulary()
             times: dict[str, list] = defaultdict(list)
             for lang, text in zip(pdf["lang"], pdf["text"]):
@@ -200,8 +201,8 @@ def identify(model: LanguageModel, docs: DataFrame, text: Column, with_spans: bo
         for texts in batches:
             rows = texts.tolist()
             parts = []
-            for k in range(0, max(1, len(rows)), 2500):
-                parts.append(sent.value.label(rows[k : k + 2500], with_spans))
+            for k in range(0, max(1, len(rows)), _SLICE):
+                parts.append(sent.value.label(rows[k : k + _SLICE], with_spans))
             yield pd.concat(parts, ignore_index=True)
 
     return label(text)

@@ -21,6 +21,16 @@ PAD = 64
 BLOCKS = "array<struct<sample_offset: long, n_samples: int, pcm: binary>>"
 
 
+#: Rows that are worked on at a time.
+_SLICE = 1000
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for k in range(0, len(b), _SLICE):
+            yield b[k : k + _SLICE]
+
+
 def payload(text: str | None) -> bytes:
     raw = text.encode("utf-8", "surrogatepass") if text else b""
     return raw + bytes(PAD - len(raw) % PAD if len(raw) % PAD or not raw else 0)
@@ -30,7 +40,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, n_bytes, media`` for every row; null texts count as empty.  Equal texts give equal media."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _slices(batches):
             made: dict = {}
             for t in pdf["text"]:
                 if t not in made:
@@ -49,21 +59,22 @@ def read_media(media: DataFrame) -> DataFrame:
     checksums do not hold raises ``FlacError`` rather than giving other samples.
     """
 
-    @F.pandas_udf(BLOCKS)
-    def blocks(streams: pd.Series) -> pd.Series:
-        made: dict = {}
-        out = []
-        for s in streams:
-            if s is None:
-                out.append(None)
-                continue
-            key = hashlib.sha256(s).digest()
-            if key not in made:
-                made[key] = [{"sample_offset": at, "n_samples": len(x), "pcm": (x + 128).astype(np.uint8).tobytes()} for at, x in flac.decode(bytes(s))[1]]
-            out.append(made[key])
-        return pd.Series(out, dtype=object)
-
-    return media.withColumn("blocks", blocks("media"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _slices(batches):
+            made: dict = {}
+            out = []
+            for s in pdf["media"]:
+                if s is None:
+                    out.append(None)
+                    continue
+                key = hashlib.sha256(s).digest()
+                if key not in made:
+                    made[key] = [{"sample_offset": at, "n_samples": len(x), "pcm": (x + 128).astype(np.uint8).tobytes()} for at, x in flac.decode(bytes(s))[1]]
+                out.append(made[key])
+            yield pdf.assign(blocks=out)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
+    return media.mapInPandas(run, f"{kinds}, blocks {BLOCKS}")
 
 
 def describe_media(read: DataFrame) -> DataFrame:

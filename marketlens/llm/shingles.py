@@ -29,6 +29,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _MULT)
 
 
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _power(n: int, which: int) -> np.ndarray:
+    """The first n powers of the step, or of its inverse; kept between batches."""
+    if len(_powers[which]) < n:
+        p = np.full(max(n, 1 << 20), (_STEP, _STEP_INV)[which], dtype=np.uint64)
+        p[0] = 1
+        _powers[which] = np.cumprod(p)
+    return _powers[which][:n]
+
+
+def runs(sizes: list[int], room: int) -> list[tuple[int, int]]:
+    """Consecutive runs of texts of at most ``room`` bytes together; a longer text is a run of its own."""
+    out, first, held = [], 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > room:
+            out.append((first, i))
+            first, held = i, 0
+        held += size
+    return [*out, (first, len(sizes))] if sizes else []
+
+
 def word_hashes(blob: bytes, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of ``blob`` and the number of words of each document.
 
@@ -40,15 +63,10 @@ def word_hashes(blob: bytes, doc_starts: np.ndarray) -> tuple[np.ndarray, np.nda
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), np.zeros(n_docs, dtype=np.int64)
-    power = np.full(len(b) + 1, _STEP, dtype=np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
     prefix = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[b] * power[:-1], out=prefix[1:])
-    inverse = np.full(len(b) + 1, _STEP_INV, dtype=np.uint64)
-    inverse[0] = 1
-    np.cumprod(inverse, out=inverse)
-    h = (prefix[ends] - prefix[starts]) * inverse[starts]
+    np.multiply(_BYTE[b], _power(len(b), 0), out=prefix[1:])
+    np.cumsum(prefix, out=prefix)
+    h = (prefix[ends] - prefix[starts]) * _power(len(b) + 1, 1)[starts]
     h = mix64(h ^ ((ends - starts).astype(np.uint64) * _MULT))
     first = np.searchsorted(starts, doc_starts, side="left")
     return h, np.diff(np.append(first, len(starts)))
@@ -57,6 +75,10 @@ def word_hashes(blob: bytes, doc_starts: np.ndarray) -> tuple[np.ndarray, np.nda
 def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    return [s for a, b in runs([len(r) for r in raw], 1_000_000) for s in _run_sets(raw[a:b], width)]
+
+
+def _run_sets(raw: list[bytes], width: int) -> list[np.ndarray]:
     sizes = np.array([len(r) + 1 for r in raw], dtype=np.int64)
     doc_starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64) if len(raw) else np.zeros(0, np.int64)
     h, n_words = word_hashes(b"\n".join(raw), doc_starts)
