@@ -28,12 +28,13 @@ from marketlens.llm.components import components
 from marketlens.llm.shingles import mix64, shingle_sets
 from marketlens.storage import Scratch
 
-#: Counters of the sketch, and bits of the filter of shared n-grams: fixed sizes, whatever the input.
+#: Counters of the sketch, and bits of the filters of shared n-grams and of paired sets: fixed sizes, whatever the input.
 SKETCH_BITS = 20
 FILTER_BITS = 26
+NODE_BITS = 23
 _PARTS = 64
 #: Pivots of a posting list before components are formed.
-PIVOTS = 3
+PIVOTS = 2
 
 
 def _digest(grams: np.ndarray) -> bytes:
@@ -148,7 +149,7 @@ def _filter_places(grams: np.ndarray) -> list[np.ndarray]:
 
 
 def _postings(texts: DataFrame, rank, shared, width: int, percent: int) -> DataFrame:
-    """A row per set and partition with an n-gram in the filter: those n-grams, their places, the whole set."""
+    """A row per set and partition with an n-gram in the filter: those n-grams and their places in the order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, seen = shared.value, set()
@@ -162,15 +163,52 @@ def _postings(texts: DataFrame, rank, shared, width: int, percent: int) -> DataF
                     for at in _filter_places(p):
                         hit &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
                     if hit.any():
-                        out.append((sig, len(s), p[hit].view(np.int64), np.flatnonzero(hit).astype(np.int32), s.tobytes()))
+                        out.append((sig, len(s), p[hit].view(np.int64), np.flatnonzero(hit).astype(np.int32)))
             if out:
-                yield pd.DataFrame(out, columns=["sig", "n", "grams", "places", "whole"])
+                yield pd.DataFrame(out, columns=["sig", "n", "grams", "places"])
 
-    return texts.mapInPandas(run, "sig binary, n long, grams array<long>, places array<int>, whole binary")
+    return texts.mapInPandas(run, "sig binary, n int, grams array<long>, places array<int>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold."""
+def _lead(sig: Column) -> Column:
+    """The first seven bytes of a digest as a number."""
+    return F.conv(F.hex(F.substring(sig, 1, 7)), 16, 10).cast("long")
+
+
+def _node_filter(pairs: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size, in 32-bit words, of the digests in ``sig_a`` and ``sig_b``."""
+    size = 1 << NODE_BITS
+    lead = pairs.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).select(_lead(F.col("sig")).alias("x"))
+    places = lead.select(F.explode(F.array(F.pmod("x", F.lit(size)), F.pmod(F.shiftright("x", NODE_BITS), F.lit(size)))).alias("p"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(32)).cast("int"))
+    words = np.zeros(size // 32, dtype=np.uint32)
+    for r in places.groupBy(F.shiftright("p", 5).alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+    return words
+
+
+def _whole_sets(texts: DataFrame, words, width: int) -> DataFrame:
+    """``sig, whole`` of the sets that the filter passes, one row each: another pass over the texts, but few sets are moved."""
+    size = 1 << NODE_BITS
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, seen = words.value, set()
+        for pdf in batches:
+            out = []
+            for s in shingle_sets(pdf["text"].tolist(), width):
+                if len(s) and (sig := _digest(s)) not in seen:
+                    x = int.from_bytes(sig[:7], "big")
+                    if all(int(bits[p >> 5]) >> (p & 31) & 1 for p in (x % size, (x >> NODE_BITS) % size)):
+                        seen.add(sig)
+                        out.append((sig, s.tobytes()))
+            if out:
+                yield pd.DataFrame(out, columns=["sig", "whole"])
+
+    return texts.mapInPandas(run, "sig binary, whole binary").dropDuplicates(["sig"])
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose whole sets reach the threshold."""
 
     @F.pandas_udf("boolean")
     def reaches(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -180,9 +218,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(_linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
         return pd.Series(out, dtype=bool)
 
-    of = lambda c: sets.select(F.col("sig").alias(c), F.col("whole").alias(f"{c}_set"))
-    both = pairs.join(of("a"), "a").repartition("b").join(of("b"), "b")
-    return both.where(reaches("a_set", "b_set")).select("a", "b")
+    sig = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
+    pairs = scratch.table(pairs.join(sig("a"), "a").join(sig("b"), "b"), "pairs")
+    words = texts.sparkSession.sparkContext.broadcast(_node_filter(pairs))
+    sets = _whole_sets(texts, words, width)
+    of = lambda c: sets.select(F.col("sig").alias(f"sig_{c}"), F.col("whole").alias(f"set_{c}"))
+    both = pairs.join(of("a"), "sig_a").join(of("b"), "sig_b")
+    return scratch.table(both.where(reaches("set_a", "set_b")).select("a", "b"), "links")
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, apart: Column) -> DataFrame:
@@ -191,7 +233,7 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, apart: Column) -> Da
         1 + F.least(F.col("n") - F.col("pos") - 1, F.col("m") - F.col("qos") - 1) >= _overlap_bound(percent)
     )
     both = left.join(right, "gram").where(apart & fits)
-    return both.select(F.least("sig", "tig").alias("a"), F.greatest("sig", "tig").alias("b")).distinct()
+    return both.select(F.least("node", "mode").alias("a"), F.greatest("node", "mode").alias("b")).distinct()
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -215,38 +257,35 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = 1 << int(np.clip(np.ceil(np.log2(1 + total / 2_000_000)), 4, 12))
     shared = sc.broadcast(_shared_filter(texts, rank, width, percent, shards))
-    found = scratch.table(_postings(texts, rank, shared, width, percent), "postings")
-    sets = found.select("sig", "whole").dropDuplicates(["sig"])
-
-    posts = found.select("sig", "n", F.arrays_zip("grams", "places").alias("p")).distinct().select("sig", "n", F.explode("p").alias("p"))
-    posts = posts.select(F.col("p.grams").alias("gram"), F.col("p.places").cast("long").alias("pos"), "sig", "n")
-    lists = posts.groupBy("gram").agg(
-        F.count("*").alias("members"), *[F.min_by(F.struct("sig", "n", "pos"), F.xxhash64("sig", F.lit(k))).alias(f"pivot{k}") for k in range(PIVOTS)]
-    )
-    lists = scratch.table(lists.where("members > 1"), "lists")
-    posts = scratch.table(posts.join(lists.select("gram"), "gram", "left_semi"), "posts")
-    pivots = lists.select("gram", F.explode(F.array_distinct(F.array(*[f"pivot{k}" for k in range(PIVOTS)]))).alias("p"))
-    pivots = pivots.select("gram", F.col("p.sig").alias("tig"), F.col("p.n").alias("m"), F.col("p.pos").alias("qos"))
-    tried = scratch.table(_pairs(posts, pivots, percent, F.col("sig") != F.col("tig")), "pivot-pairs")
-    links = scratch.table(_verified(tried, sets, percent), "links")
+    nodes = _postings(texts, rank, shared, width, percent).dropDuplicates(["sig"]).withColumn("node", F.monotonically_increasing_id())
+    nodes = scratch.table(nodes, "nodes")
+
+    posts = nodes.select("node", "n", F.explode(F.arrays_zip("grams", "places")).alias("p")).select(F.col("p.grams").alias("gram"), "node", "n", F.col("p.places").alias("pos"))
+    lists = scratch.table(posts.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1").select("gram"), "lists")
+    posts = scratch.table(posts.join(lists, "gram", "left_semi"), "posts")
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "pos")).alias(f"pivot{k}") for k in range(PIVOTS)]
+    pivots = posts.groupBy("gram").agg(*drawn).select("gram", F.explode(F.array(*[f"pivot{k}" for k in range(PIVOTS)])).alias("p"))
+    pivots = scratch.table(pivots.select("gram", F.col("p.node").alias("mode"), F.col("p.n").alias("m"), F.col("p.pos").alias("qos")).distinct(), "pivots")
+    tried = scratch.table(_pairs(posts, pivots, percent, F.col("node") != F.col("mode")), "pivot-pairs")
+    links = _verified(tried, nodes, texts, scratch, width, percent)
     roots = components(links, scratch)
 
-    labelled = posts.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    labelled = scratch.table(labelled, "labelled")
+    labelled = scratch.table(posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
     by_root = labelled.groupBy("gram", "root").agg(F.count("*").alias("members"))
     main = by_root.groupBy("gram").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    main = scratch.table(main.select("gram", "main"), "main")
-    mixed = scratch.table(labelled.join(main, "gram"), "mixed")
-    others = mixed.where("root != main").select("gram", F.col("sig").alias("tig"), F.col("root").alias("toot"), F.col("n").alias("m"), F.col("pos").alias("qos"))
-    apart = (F.col("root") != F.col("toot")) & ((F.col("root") == F.col("main")) | (F.col("sig") < F.col("tig")))
+    mixed = scratch.table(labelled.join(scratch.table(main.select("gram", "main"), "main"), "gram"), "mixed")
+    others = mixed.where("root != main").select("gram", F.col("node").alias("mode"), F.col("root").alias("toot"), F.col("n").alias("m"), F.col("pos").alias("qos"))
+    apart = (F.col("root") != F.col("toot")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("mode")))
     left = scratch.table(_pairs(mixed, others, percent, apart).join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-    more = scratch.table(_verified(left, sets, percent), "links")
-    roots = components(links.unionByName(more), scratch) if more.limit(1).count() else roots
+    if left.limit(1).count():
+        more = _verified(left, nodes, texts, scratch, width, percent)
+        if more.limit(1).count():
+            roots = components(links.unionByName(more), scratch)
+    roots = nodes.select("node", "sig").join(roots, "node").select("sig", "root")
 
     node = sizes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    node = scratch.table(node.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "nodes")
-    ids = node.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = scratch.table(node.join(ids, "root").select("sig", "component_id"), "ids")
+    node = scratch.table(node.join(roots, "sig", "left"), "classes")
+    ids = node.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = scratch.table(node.join(ids, "root", "left").select("sig", F.coalesce("component_id", "least").alias("component_id")), "ids")
     out = sizes.join(ids, "sig", "left")
-    scratch.drop(found, lists, posts, tried, links, labelled, main, mixed, left, more)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
