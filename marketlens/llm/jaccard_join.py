@@ -7,8 +7,8 @@
    among the first ``n - ceil(t * n) + 1`` of either; only these are multiplied.  Shards of the n-gram range
    find which of them occur in two sets at all; every task sends each n-gram once, however frequent.
 3. The rest is a posting table.  Size and position bounds discard pairs that cannot reach the threshold.
-   In each posting list the nodes are first paired with a few pivots only; overlaps are counted on whole
-   sets, and links give components.  What is then left of a list are pairs of nodes in different components:
+   In each posting list the nodes are first paired with a few pivots only.  Overlaps counted over both prefixes
+   discard most pairs, those of whole sets decide the rest, and links give components.  What is then left of a list are pairs of nodes in different components:
    the minority is paired with all others, so a large group of near copies, joined by its pivots, makes
    no pairs among its members.  No pair that could link two components is left out.
 """
@@ -34,7 +34,7 @@ FILTER_BITS = 26
 NODE_BITS = 23
 _PARTS = 64
 #: Pivots of a posting list before components are formed.
-PIVOTS = 2
+PIVOTS = 4
 
 
 def _digest(grams: np.ndarray) -> bytes:
@@ -149,7 +149,8 @@ def _filter_places(grams: np.ndarray) -> list[np.ndarray]:
 
 
 def _postings(texts: DataFrame, rank, shared, width: int, percent: int) -> DataFrame:
-    """A row per set and partition with an n-gram in the filter: those n-grams and their places in the order."""
+    """A row per set and partition with an n-gram in the filter: those n-grams and their places in the order, and of the
+    prefix its length and where it ends in the order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, seen = shared.value, set()
@@ -163,11 +164,12 @@ def _postings(texts: DataFrame, rank, shared, width: int, percent: int) -> DataF
                     for at in _filter_places(p):
                         hit &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
                     if hit.any():
-                        out.append((sig, len(s), p[hit].view(np.int64), np.flatnonzero(hit).astype(np.int32)))
+                        last = int(rank.value[int(p[-1] >> np.uint64(64 - SKETCH_BITS))]), int(p[-1]) - (1 << 63)
+                        out.append((sig, len(s), len(p), *last, p[hit].view(np.int64), np.flatnonzero(hit).astype(np.int32)))
             if out:
-                yield pd.DataFrame(out, columns=["sig", "n", "grams", "places"])
+                yield pd.DataFrame(out, columns=["sig", "n", "p", "last_rank", "last_gram", "grams", "places"])
 
-    return texts.mapInPandas(run, "sig binary, n int, grams array<long>, places array<int>")
+    return texts.mapInPandas(run, "sig binary, n int, p int, last_rank int, last_gram long, grams array<long>, places array<int>")
 
 
 def _lead(sig: Column) -> Column:
@@ -178,7 +180,8 @@ def _lead(sig: Column) -> Column:
 def _node_filter(pairs: DataFrame) -> np.ndarray:
     """A Bloom filter of fixed size, in 32-bit words, of the digests in ``sig_a`` and ``sig_b``."""
     size = 1 << NODE_BITS
-    lead = pairs.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).select(_lead(F.col("sig")).alias("x"))
+    sigs = pairs.select(F.col("sig_a").alias("sig")).unionByName(pairs.select(F.col("sig_b").alias("sig"))).distinct()
+    lead = sigs.select(_lead(F.col("sig")).alias("x"))
     places = lead.select(F.explode(F.array(F.pmod("x", F.lit(size)), F.pmod(F.shiftright("x", NODE_BITS), F.lit(size)))).alias("p"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(32)).cast("int"))
     words = np.zeros(size // 32, dtype=np.uint32)
@@ -218,8 +221,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scr
             out.append(_linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
         return pd.Series(out, dtype=bool)
 
-    sig = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-    pairs = scratch.table(pairs.join(sig("a"), "a").join(sig("b"), "b"), "pairs")
+    # Overlap counted over both prefixes.  The prefix that ends first in the order has no further partner in the other set,
+    # so what is behind it bounds the rest.
+    of = lambda c: nodes.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("sig", "n", "p", "last_rank", "last_gram", "grams")])
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    a_first = F.struct("last_rank_a", "last_gram_a") <= F.struct("last_rank_b", "last_gram_b")
+    behind = F.when(a_first, F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
+    enough = F.size(F.array_intersect("grams_a", "grams_b")) + behind >= F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    pairs = scratch.table(both.where(enough).select("a", "b", "sig_a", "sig_b"), "pairs")
     words = texts.sparkSession.sparkContext.broadcast(_node_filter(pairs))
     sets = _whole_sets(texts, words, width)
     of = lambda c: sets.select(F.col("sig").alias(f"sig_{c}"), F.col("whole").alias(f"set_{c}"))
