@@ -31,6 +31,6 @@ TRADE_TIME = (
     r"|just now|剛剛|" + _DATE + ")$"
 )
 #: Line ends of visible text.
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 #: White space that is trimmed from lines.
-BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0  　"
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"

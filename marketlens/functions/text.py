@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from marketlens.constants import BLANKS, LINE_BREAK
 
@@ -17,7 +18,7 @@ def lines(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.replace(x, F.lit("\xa0"), F.lit(" ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd(s: pd.Series) -> pd.Series:
     def plain(x: str | None) -> str | None:
         return None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not "\u0300" <= c <= "\u036f")
@@ -25,7 +26,7 @@ def _nfkd(s: pd.Series) -> pd.Series:
     return s.map(plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
