@@ -35,6 +35,8 @@ NODE_BITS = 23
 _PARTS = 64
 #: Pivots of a posting list before components are formed.
 PIVOTS = 4
+#: So many n-grams before its own does an entry of a list show; a pair that shares one of them was met in that list.
+SHOWN = 16
 
 
 def _digest(grams: np.ndarray) -> bytes:
@@ -282,9 +284,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     labelled = scratch.table(posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
     by_root = labelled.groupBy("gram", "root").agg(F.count("*").alias("members"))
     main = by_root.groupBy("gram").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = scratch.table(labelled.join(scratch.table(main.select("gram", "main"), "main"), "gram"), "mixed")
-    others = mixed.where("root != main").select("gram", F.col("node").alias("mode"), F.col("root").alias("toot"), F.col("n").alias("m"), F.col("pos").alias("qos"))
+    mixed = labelled.join(scratch.table(main.select("gram", "main"), "main"), "gram").join(nodes.select("node", "grams"), "node")
+    at = F.array_position("grams", F.col("gram")).cast("int")
+    before = F.slice("grams", F.greatest(F.lit(1), at - SHOWN), F.least(F.lit(SHOWN), at - 1))
+    mixed = scratch.table(mixed.select("gram", "node", "n", "pos", "root", "main", before.alias("before")), "mixed")
+    others = mixed.where("root != main").select("gram", F.col("node").alias("mode"), F.col("root").alias("toot"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("before").alias("before_m"))
     apart = (F.col("root") != F.col("toot")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("mode")))
+    apart = apart & ~F.arrays_overlap("before", "before_m")
     left = scratch.table(_pairs(mixed, others, percent, apart).join(tried, ["a", "b"], "left_anti"), "cross-pairs")
     if left.limit(1).count():
         more = _verified(left, nodes, texts, scratch, width, percent)
