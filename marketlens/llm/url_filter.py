@@ -40,12 +40,11 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, verdict
 
 
-def candidates(host: Column, path: Column, max_parts: int = 32) -> Column:
+def candidates(host: Column, path: Column, max_parts: int) -> Column:
     """All entries that would cover a URL: hosts from the URL's own to its parents, by path prefixes.
 
     Entries look like ``host/`` or ``host/a/b``; a trailing slash and a file's ending are not part of one.
-    At most ``max_parts`` labels and path segments make an entry, counted from the right and the left; entries of the
-    list are held to the same bound, so nothing that the list can hold is missed.
+    Entries have at most ``max_parts`` labels and path segments, counted from the right and the left: as many as the longest of the list.
     """
     labels = F.slice(F.split(host, r"\."), -max_parts, max_parts)
     labels = F.when(F.size(F.split(host, r"\.")) <= max_parts, F.split(host, r"\.")).otherwise(labels)
@@ -87,6 +86,8 @@ def listed(urls: DataFrame, key: str, host: Column, path: Column, listing: DataF
     entries = listing.select(canonical(F.col(entry_col)).alias("entry")).where("entry is not null").distinct()
     words, blocks = bloom_filter(entries)
     sent = urls.sparkSession.sparkContext.broadcast(words)
+    parts = F.greatest(F.size(F.split("entry", "/")), F.size(F.split(F.substring_index("entry", "/", 1), r"\.")))
+    longest = entries.agg(F.max(parts)).first()[0] or 1
 
     @F.pandas_udf("boolean")
     def may_hold(h: pd.Series) -> pd.Series:
@@ -97,7 +98,7 @@ def listed(urls: DataFrame, key: str, host: Column, path: Column, listing: DataF
             hit &= (rows[:, i] >> ((x >> np.uint64(5 * i)) % np.uint64(32)).astype(np.uint32)) & 1 == 1
         return pd.Series(hit)
 
-    probes = urls.select(F.col(key).alias("_key"), F.explode(candidates(host, path)).alias("entry"))
+    probes = urls.select(F.col(key).alias("_key"), F.explode(candidates(host, path, longest)).alias("entry"))
     probes = probes.withColumn("_hash", F.xxhash64("entry")).where(may_hold("_hash")).drop("_hash")
     return probes.join(entries, "entry", "left_semi").select("_key").distinct()
 
