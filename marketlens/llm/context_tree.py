@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.arrays import pack, unpack
-from marketlens.llm.lookups import answers, chunks, merge, read_blob, totals
+from marketlens.llm.lookups import answers, chunks, read_blob, totals
 from marketlens.llm.shingles import mix64, runs, word_hashes
 from marketlens.storage import Scratch
 
@@ -76,11 +76,23 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return merge([(pack(k, ascending=True), pack(c)) for k, c in parts]) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    if len(parts) < 2:
+        return parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
 def _distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, and how often each occurs with weight."""
+    if len(keys) and weight.any() and not int(keys.max()) >> 63:
+        # One sort does for both, with the weight as the last bit.
+        s = np.sort((keys << _U(1)) | weight)
+        k = s >> _U(1)
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        return k[first], np.add.reduceat((s & _U(1)).astype(np.int64), first)
     seen = np.unique(keys)
     own, n = np.unique(keys[weight], return_counts=True)
     counts = np.zeros(len(seen), dtype=np.int64)
@@ -286,7 +298,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     def score(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         ids, flags, texts, _ = read_blob(own["blob"].iloc[0])
-        (wk, _, ws), (gk, _, gs) = chunk_keys(texts, flags, shards)
+        # The keys only: nothing is counted again.
+        (wk, _, ws), (gk, _, gs) = chunk_keys(texts, np.zeros(len(texts), dtype=bool), shards)
         wv, gv = np.zeros(len(wk)), np.zeros(len(gk))
         for kind, shard, v in zip(known["kind"], known["shard"], known["values"]):
             (wv if kind == WORDS else gv)[(ws if kind == WORDS else gs) == shard] = unpack(v, np.float64)
