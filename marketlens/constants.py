@@ -34,3 +34,10 @@ TRADE_TIME = (
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 #: White space that is trimmed from lines.
 BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+#: Affix lines: what is none, tokens in brackets, how a misread percent sign ends, gaps between characters, leech words.
+NOT_AN_AFFIX = r"(?i)需要等級|Required Level|耐久|Durability|出售價格|Shift|Ctrl|\["
+REQUIREMENT = "需要|需求|要(力量|敏捷|體力|精力|等級)"
+BRACKETED_TOKEN = r"\([A-Za-z0-9]+\)"
+MISREAD_PERCENT = ("96", "06", "09")
+CJK_GAP = r"(?<=[\x{3400}-\x{9fff}])\s+(?=[\x{3400}-\x{9fff}])"
+LEECH = {"ml": "竊取.*法力|法力.*竊取", "ll": "竊取.*生命|生命.*竊取"}

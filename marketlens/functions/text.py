@@ -90,7 +90,9 @@ def longest_run(text: Column, char: str) -> Column:
 
 def bigram_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of character bigrams; texts of fewer than two characters have none."""
-    grams = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2))))
+    chars = lambda x: F.split(x, "")
+    pairs = lambda c: F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    grams = lambda x: F.array_distinct(pairs(chars(x)))
     ga, gb = grams(a), grams(b)
     value = F.size(F.array_intersect(ga, gb)) / F.size(F.array_union(ga, gb))
     return F.when((F.length(a) >= 2) & (F.length(b) >= 2), value).otherwise(F.lit(0.0))

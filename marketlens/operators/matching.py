@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.functions.text import bigram_similarity
+
 
 def index_names(products: DataFrame, key: Column, value: str) -> DataFrame:
     """``key, n, value``: the value of a key that only one product has, null for an ambiguous one."""
@@ -73,3 +75,9 @@ def strip_to_base(queries: DataFrame, bases: DataFrame) -> DataFrame:
     rest = queries.select("query", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_join(F.slice(w, i, F.size(w)), " "))).alias("dropped", "rest"))
     hit = rest.join(bases.select(F.col("base").alias("rest")).distinct(), "rest")
     return hit.groupBy("query").agg(F.min_by("rest", "dropped").alias("base"))
+
+
+def same_reading(a: Column, b: Column, least: float = 0.6, least_chars: int = 40) -> Column:
+    """Whether two texts without blanks are readings of one record: equal, or both long and alike in their bigrams."""
+    long = (F.length(a) >= least_chars) & (F.length(b) >= least_chars)
+    return (a == b) | (long & (bigram_similarity(a, b) >= least))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens import constants as C
 from marketlens.functions import text as T
-from marketlens.operators import ledger, market, matching, pages
+from marketlens.operators import affixes, dimension, forms, ledger, market, matching, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -417,3 +417,128 @@ def q48_quiet_sessions(spark, d):
     g = _t(spark, d, "events").withColumn("gap", sec - F.lag(sec).over(w))
     s = g.withColumn("session", F.sum(F.when(F.col("gap").isNull() | (F.col("gap") >= 3_600_000_000), 1).otherwise(0)).over(w))
     return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+_NUMBER = r"""WITH l AS (SELECT l_orderkey, l_linenumber, '+' || l_partkey * l_suppkey || CASE WHEN l_linenumber = 1 THEN '%' ELSE '' END || ' Speed (FB)' AS line, (l_partkey * l_suppkey)::VARCHAR AS raw, CASE WHEN l_linenumber != 2 THEN 120 END AS ceiling FROM lineitem),
+o AS (SELECT *, length(raw) AS n, CASE WHEN length(raw) = 3 AND right(raw, 1) = '6' THEN 1 WHEN length(raw) >= 3 AND right(raw, 2) IN ('96', '06', '09') THEN 2
+  WHEN length(raw) >= 3 AND (right(raw, 1) IN ('0', '5') OR (right(raw, 1) IN ('6', '9') AND length(raw) >= 4)) AND left(raw, length(raw) - 1)::BIGINT >= 1 THEN 1 ELSE 0 END AS off FROM l),
+s AS (SELECT *, left(raw, n - off) AS v0, coalesce(try_cast(left(raw, greatest(n - off - 1, 0)) AS BIGINT), 0) AS v1, coalesce(try_cast(left(raw, greatest(n - off - 2, 0)) AS BIGINT), 0) AS v2 FROM o),
+r AS (SELECT l_orderkey, l_linenumber, ceiling, contains(line, '%') AS marked, CASE WHEN contains(line, '%') THEN raw::DOUBLE WHEN off > 0 AND v0::BIGINT > ceiling AND v1 >= 1 THEN CASE WHEN v1 > ceiling AND v2 >= 1 THEN v2 ELSE v1 END ELSE v0::BIGINT END::DOUBLE AS v FROM s)
+SELECT l_orderkey, l_linenumber, v AS value, marked AND (ceiling IS NULL OR v <= ceiling) AS confident FROM r"""
+
+
+@query(_NUMBER)
+def q23_number_repair(spark, d):
+    """Percentages whose sign was read as digits, repaired."""
+    shown = F.concat(F.lit("+"), F.col("l_partkey") * F.col("l_suppkey"), F.when(F.col("l_linenumber") == 1, "%").otherwise(""), F.lit(" Speed (FB)"))
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", shown.alias("line"), F.when(F.col("l_linenumber") != 2, F.lit(120)).alias("ceiling"))
+    read = affixes.read_numbers(rows, F.col("line"), F.lit(True), F.col("ceiling"))
+    return read.select("l_orderkey", "l_linenumber", F.col("min").alias("value"), "confident")
+
+
+
+_PRODUCTS = "products AS (SELECT p_name AS name, CASE min(p_partkey) % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'uniques' ELSE 'sets' END AS category FROM part GROUP BY p_name)"
+
+
+def _products(spark, d):
+    third = F.min("p_partkey") % 3
+    return _t(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.when(third == 0, "base").when(third == 1, "uniques").otherwise("sets").alias("category"))
+
+
+@query(f"""WITH {_PRODUCTS}, pairs AS (SELECT DISTINCT p_brand || p_size AS chinese, p_name AS product FROM part WHERE p_partkey % 5 != 4),
+g AS (SELECT chinese, count(*) AS n_products, count(*) FILTER (WHERE category = 'base') AS bases, min(product) AS one, min(product) FILTER (WHERE category = 'base') AS base FROM pairs JOIN products ON name = product GROUP BY chinese)
+SELECT chinese, n_products, CASE WHEN n_products = 1 THEN one WHEN bases = 1 THEN base END AS product FROM g""")
+def q26_combined_names(spark, d):
+    """Names of two sources combined, with ambiguous ones resolved or left out."""
+    name = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("The "), F.upper("p_name"), F.lit(" Armor"))).when(F.col("p_partkey") % 5 == 4, F.concat(F.lit("no "), "p_name")).otherwise(F.col("p_name"))
+    pairs = _t(spark, d, "part").select(F.concat("p_brand", "p_size").alias("chinese"), name.alias("english"))
+    return dimension.combine_names(dimension.find_products(pairs, _products(spark, d), ascii_only=True))
+
+
+@query("SELECT p_partkey, p_name, nth FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS nth FROM part) WHERE nth <= 2")
+def q27_two_names(spark, d):
+    """At most two rows of each name."""
+    return dimension.first_names(_t(spark, d, "part").select("p_partkey", "p_name"), "p_name", F.col("p_partkey"))
+
+
+@query("SELECT s_nationkey, s_name, s_suppkey FROM supplier UNION ALL SELECT c_nationkey, c_name, c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey)")
+def q26_add_missing(spark, d):
+    """Rows merged into a table that keeps its own."""
+    old = _t(spark, d, "supplier").select("s_nationkey", "s_name", "s_suppkey")
+    return dimension.add_missing(old, _t(spark, d, "customer").select(F.col("c_nationkey").alias("s_nationkey"), F.col("c_name").alias("s_name"), F.col("c_custkey").alias("s_suppkey")), "s_nationkey")
+
+
+@query("SELECT p_brand AS category, count(*) AS total, count(*) FILTER (WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)) AS named FROM part GROUP BY p_brand")
+def q28_coverage(spark, d):
+    """How much of each category has a name."""
+    return dimension.coverage(_t(spark, d, "part"), "p_brand", "p_partkey", _t(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")))
+
+
+@query("SELECT p_name || ' ' || replace(lower(p_brand), '#', ' ') AS key, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
+def q28_duplicate_keys(spark, d):
+    """Keys that several products share."""
+    return dimension.duplicate_keys(_t(spark, d, "part"), T.name_key(F.concat_ws(" ", "p_name", "p_brand"), ascii_only=True))
+
+
+@query("""WITH w AS (SELECT o_custkey AS category, count(*) AS was FROM orders GROUP BY o_custkey), n AS (SELECT o_custkey AS category, count(*) AS now FROM orders WHERE o_totalprice > 30000 GROUP BY o_custkey),
+j AS (SELECT category, was, coalesce(now, 0) AS now FROM w LEFT JOIN n USING (category))
+SELECT category, was, now, CASE WHEN now = 0 THEN 'gone' ELSE 'shrunk' END AS problem FROM j WHERE now < was * (1 - 0.1)""")
+def q28_shrinkage(spark, d):
+    """Categories that lost more than a tenth of their rows."""
+    o = _t(spark, d, "orders")
+    return dimension.shrinkage(o, o.where("o_totalprice > 30000"), "o_custkey")
+
+
+@query("""SELECT p_brand, count(*) FILTER (WHERE p_size % 3 = 0 OR p_type = 'ECONOMY') AS lacking FROM part GROUP BY p_brand""")
+def q32_missing_conditions(spark, d):
+    """Rows whose affixes lack at least one condition."""
+    life = F.concat(F.lit("+"), F.when(F.col("p_size") % 3 == 0, "x").otherwise(F.col("p_size").cast("string")), F.lit(" TO life"))
+    kind = F.when(F.col("p_type") != "ECONOMY", F.concat(F.lit("Brand (1): "), "p_brand"))
+    lacks = affixes.lacks_condition(F.array(kind, life), ["+{{n}} to Life", "Brand (1): Brand#{{n}}"])
+    return _t(spark, d, "part").groupBy("p_brand").agg(F.count_if(lacks).alias("lacking"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS form_id, l_linenumber AS key, min(l_quantity) AS min, max(l_quantity) + 5 AS max FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
+r AS (SELECT DISTINCT l_orderkey AS form_id, l_linenumber AS key, l_linenumber AS pos FROM lineitem WHERE l_linenumber != 3),
+m AS (SELECT coalesce(c.form_id, r.form_id) AS form_id, coalesce(c.key, r.key) AS key, pos, min, max, c.key IS NOT NULL AS kept FROM r FULL JOIN c ON r.form_id = c.form_id AND r.key = c.key),
+f AS (SELECT *, NOT kept AND key != 2 AS free FROM m),
+n AS (SELECT *, sum(free::INT) OVER (PARTITION BY form_id ORDER BY pos NULLS FIRST, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nth, 3 - sum(kept::INT) OVER (PARTITION BY form_id) AS room FROM f)
+SELECT form_id, key, min, max, kept OR (free AND nth <= room) AS on, kept FROM n""".replace(" AS on,", ' AS "on",'))
+def q33_merged_conditions(spark, d):
+    """Conditions read anew beside those that the player had switched on."""
+    li = _t(spark, d, "lineitem").withColumnsRenamed({"l_orderkey": "form_id", "l_linenumber": "key"}).withColumn("pos", F.col("key"))
+    chosen = li.where("l_returnflag = 'R'").groupBy("form_id", "key", "pos").agg(F.min("l_quantity").alias("min"), (F.max("l_quantity") + 5).alias("max"))
+    return forms.merge_conditions(chosen, li.select("form_id", "key", "pos").where("key != 3").distinct(), F.col("key") == 2, limit=3)
+
+
+
+@query("""WITH r AS (SELECT l_orderkey AS form_id, l_linenumber AS pos, l_returnflag || l_linenumber AS label, CASE WHEN l_linestatus = 'F' THEN 'bool' ELSE 'number' END AS kind, CASE WHEN l_quantity > 20 THEN l_quantity END AS lo, CASE WHEN l_quantity > 20 THEN l_quantity + 20 - l_partkey % 22 END AS hi, CASE WHEN l_orderkey % 3 = 0 THEN ' ' ELSE 'Ring' END AS base FROM lineitem),
+g AS (SELECT form_id, bool_or(coalesce(hi < lo, false)) AS crossed, string_agg(label, '、' ORDER BY pos, label) FILTER (WHERE kind != 'bool' AND lo IS NULL) AS blank, max(trim(base)) AS base FROM r GROUP BY form_id)
+SELECT form_id, CASE WHEN crossed THEN 'limits' WHEN blank IS NOT NULL THEN 'values: ' || blank WHEN base = '' THEN 'base' ELSE '' END AS blocker FROM g""")
+def q35_blockers(spark, d):
+    """What keeps each form from starting."""
+    low = F.when(F.col("l_quantity") > 20, F.col("l_quantity"))
+    rows = _t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("form_id"), F.col("l_linenumber").alias("pos"), F.concat("l_returnflag", "l_linenumber").alias("label"), F.when(F.col("l_linestatus") == "F", "bool").otherwise("number").alias("kind"),
+        F.lit(True).alias("on"), low.alias("min"), (low + 20 - F.col("l_partkey") % 22).alias("max"), F.when(F.col("l_orderkey") % 3 == 0, " ").otherwise("Ring").alias("base"),
+    )
+    return forms.start_blockers(rows)
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS newest FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49) GROUP BY o_custkey")
+def q35_own_listings(spark, d):
+    """The newest of the orders that a listing has."""
+    own = forms.already_listed(_t(spark, d, "orders"), _t(spark, d, "lineitem").where("l_quantity >= 49"), "o_orderkey", "l_orderkey")
+    return forms.newest_listing(own.withColumn("id", F.col("o_orderkey").cast("string")), "o_custkey", "id").withColumn("newest", F.col("newest").cast("long"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', '', 'g') AS x FROM documents), s AS MATERIALIZED (SELECT doc_id, x, string_split(x, '') AS c FROM t),
+c AS MATERIALIZED (SELECT doc_id, x, list_distinct(list_transform(list_zip(c[:-2], c[2:]), lambda z: z[1] || z[2])) AS g FROM s),
+p AS (SELECT b.doc_id, a.x AS ax, b.x AS bx, a.g AS ag, b.g AS bg, len(list_intersect(a.g, b.g)) AS common FROM c b JOIN c a ON a.doc_id = b.doc_id - 1)
+SELECT doc_id, ax = bx OR (length(ax) >= 40 AND length(bx) >= 40 AND common >= 0.6 * (len(ag) + len(bg) - common)) AS again FROM p""")
+def q49_read_again(spark, d):
+    """Records that show what the record before them shows."""
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\x0b]+", "")
+    rows = _t(spark, d, "documents").select("doc_id", flat.alias("x"))
+    before = rows.select((F.col("doc_id") + 1).alias("doc_id"), F.col("x").alias("y"))
+    return rows.join(before, "doc_id").select("doc_id", matching.same_reading(F.col("y"), F.col("x")).alias("again"))

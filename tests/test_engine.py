@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from marketlens import registry
-from marketlens.operators import ledger
+from marketlens.operators import affixes, ledger
 from marketlens.streaming import events
 from tests.oracle import rows_of_spark, rows_of_sql
 
@@ -86,3 +86,22 @@ def test_upsert(spark):
     changes = spark.createDataFrame([(1, "new", False, 5, 1), (1, "newer", False, 5, 2), (2, "y", True, 5, 1), (3, "old run", False, 4, 9), (4, "four", None, 5, 1)], "id int, name string, removed boolean, generation int, at int")
     found = events.upsert(now, changes, "id", F.col("at"), least=5)
     assert sorted(map(tuple, found.collect())) == [(1, "newer"), (3, "z"), (4, "four")]
+
+
+LINES = ["Shako", "需要力量:148", "+2 所有技能", "20 6% 增強", "移動 速度 406", "+2 所有技能 again", "增加 (FRX) 34060", "無法凍結", "生命之寶"]
+ENTRIES = [
+    affixes.Affix("all", ("所有技能",), "to all skills"), affixes.Affix("speed", ("移動速度",), "faster run", "percent", ceiling=100), affixes.Affix("ed", ("增強",), "enhanced", "percent"),
+    affixes.Affix("frw", ("跑速",), "run walk", "percent", "FRW", 60), affixes.Affix("cnbf", ("無法凍結",), "cannot be frozen", "bool"), affixes.Affix("life", ("生命",), "to life"),
+]
+
+
+def test_affix_lines(spark):
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(LINES)] + [(2, 0, None)], "page_id int, pos int, line string")
+    found = {r["key"]: (r["min"], r["confident"]) for r in affixes.parse_affixes(lines, ENTRIES).collect()}
+    assert found == {"all": (2.0, True), "speed": (40.0, False), "ed": (6.0, True), "frw": (34.0, False), "cnbf": (None, True)}
+
+
+@pytest.mark.parametrize("shown, value", [("406", 40), ("2096", 20), ("10509", 105), ("34060", 34), ("119", 119), ("40", 40)])
+def test_number_repair(spark, shown, value):
+    row = affixes.read_numbers(spark.range(1), F.lit(shown), F.lit(True), F.lit(120)).first()
+    assert (row["min"], row["confident"]) == (value, False)
