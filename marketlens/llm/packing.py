@@ -149,7 +149,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     follows = (F.col("d.rest") == F.col("u.rest")) & (F.col("rest_rank") >= F.col("u0")) & (F.col("rest_rank") < F.col("u0") + F.col("un"))
     drawn = drawn.alias("d").join(F.broadcast(use).alias("u"), follows, "left").select("d.*", "used")
-    drawn = scratch.table(drawn.repartition("rnd", "gap_rank"), "drawn")
+    drawn = scratch.table(drawn.repartition("rnd", F.coalesce("gap_rank", "uid")).sortWithinPartitions("rnd"), "drawn")
 
     opened = drawn.where("gap is null")
     placed = [opened.select("own", "bundle", F.col("uid").alias("sequence_id"), F.lit(0).alias("at"))]
