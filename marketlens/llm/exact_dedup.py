@@ -41,10 +41,10 @@ def name_content(df: DataFrame, content: list[str], salts: int) -> DataFrame:
     return met.withColumn("name", F.min("_met").over(Window.partitionBy("_local"))).drop("_local", "_stands", "_met")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8192) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8192, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row with its group of equal texts.
 
-    Returns ``doc_id, keep_id, group_size, kept, text_sha256``.  Texts are equal when identical after
+    Returns ``doc_id, keep_id, group_size, kept, text_sha256`` and the columns named in ``carry``.  Texts are equal when identical after
     deleting ``IGNORED``; null, empty and blank texts are equal to each other.  Of a group, the row with the
     most code points in its original text stays, then the one with the smallest id (null ids last), then
     the first as read.  Repeated rows, also with the same id, are members of their group each; exactly one
@@ -53,17 +53,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
+    carried = [f"c_{c}" for c in carry]
     salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("chars"), normalised(F.col(text_col)).alias("clean"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("chars"), normalised(F.col(text_col)).alias("clean"), *[F.col(c).alias(f"c_{c}") for c in carry])
     cut = F.when(F.length("clean") <= block_chars, F.array("clean")).otherwise(F.regexp_extract_all("clean", F.lit("(?s).{1,%d}" % block_chars), F.lit(0)))
     blocks = (
-        texts.select("doc_id", "chars", F.sha2("clean", 256).alias("sha"), cut.alias("blocks"))
-        .select("doc_id", "chars", "sha", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("pos", "block"))
+        texts.select("doc_id", "chars", *carried, F.sha2("clean", 256).alias("sha"), cut.alias("blocks"))
+        .select("doc_id", "chars", *carried, "sha", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("pos", "block"))
         .withColumn("occ", F.monotonically_increasing_id())
         .withColumn("row", F.col("occ") - F.col("pos"))
     )
     first = F.col("pos") == 0
-    blocks = blocks.select("row", "occ", "pos", "n_blocks", "block", *[F.when(first, F.col(c)).alias(c) for c in ("doc_id", "chars", "sha")])
+    blocks = blocks.select("row", "occ", "pos", "n_blocks", "block", *[F.when(first, F.col(c)).alias(c) for c in ("doc_id", "chars", "sha", *carried)])
     named = scratch.table(name_content(blocks, ["block"], salts), "blocks")
 
     whole = ["row", "n_blocks", "name"]
@@ -85,7 +86,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for d in done[1:]:
         identity = identity.unionByName(d)
 
-    heads = named.where("pos = 0").select("row", "doc_id", "chars", "sha")
+    heads = named.where("pos = 0").select("row", "doc_id", "chars", "sha", *carried)
     rows = scratch.table(heads.join(identity, "row"), "rows")
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row")))
     groups = scratch.table(rows.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
@@ -97,4 +98,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("row") == F.col("best.keep_row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *[F.col(f"c_{c}").alias(c) for c in carry],
     )
