@@ -175,11 +175,24 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return rows.join(taken, "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def taken_runs(segments: DataFrame) -> DataFrame:
+    """Adjacent segments of a row and pass as one: ``uid, pass, first_word, n_words`` and the shard and place of the first."""
+    order = Window.partitionBy("uid", "pass").orderBy("first_word")
+    begins = F.col("first_word") != F.coalesce(F.lag(F.col("first_word") + F.col("n_words")).over(order), F.lit(-1))
+    # Hashed by uid alone: the join of the texts needs no further shuffle.
+    marked = segments.repartition("uid").withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order))
+    head = F.min(F.struct("first_word", "shard", "place")).alias("head")
+    runs = marked.groupBy("uid", "pass", "run").agg(head, F.sum("n_words").alias("n_words"))
+    return runs.select("uid", "pass", "head.first_word", "n_words", "head.shard", "head.place")
+
+
 def mix_texts(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents with the columns of ``docs``: one row per document and pass with what was taken.
+    """The mixed documents with the columns of ``docs``: one row per document, pass and run of words that the mix takes.
 
-    A document that is taken whole keeps its text as it is; of others, the text runs from the first to the last taken
-    word of each segment.  A column ``n_chars`` is counted anew.
+    Blocks that meet inside a document are one run; only where a block between them is not taken does a document give
+    more than one row of a pass.  A document that is taken whole keeps its text as it is; of others, the text runs from the
+    first to the last taken word of a run.  A column ``n_chars`` is counted anew.  Rows lie by shard, each
+    shard in one partition and in the order of ``place``; a run stands where its first segment does.
     """
     import re
 
@@ -195,8 +208,9 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
 
     text_col = options.get("text_col", "text")
     rows, segments = mix_segments(docs, carry=tuple(docs.columns), **options)
-    joined = segments.join(rows, "uid")
+    joined = taken_runs(segments).join(rows, "uid")
     text = F.col(f"c_{text_col}")
     joined = joined.withColumn("taken", F.when(F.col("n_words") == F.col("size"), text).otherwise(words(text, F.col("first_word"), F.col("n_words"))))
     of = lambda c: F.col("taken") if c == text_col else F.length("taken").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"c_{c}")
-    return joined.select(*[of(c).alias(c) for c in docs.columns])
+    mixed = joined.select(F.col("shard").alias("_shard"), F.col("place").alias("_place"), *[of(c).alias(c) for c in docs.columns])
+    return mixed.repartition("_shard").sortWithinPartitions("_shard", "_place").select(*docs.columns)
