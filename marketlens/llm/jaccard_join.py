@@ -1,42 +1,50 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
-1. A pass over the texts gives each document's set size and a 128-bit digest of its sorted set, and a
-   count sketch of fixed size (how many sets hold n-grams of a hash range).  Documents with equal sets are
-   one node from here on.
-2. The sketch orders n-grams from rare to frequent.  If two sets reach the threshold, they share an n-gram
-   among the first ``n - ceil(t * n) + 1`` of either; only these are multiplied.  Shards of the n-gram range
-   find which of them occur in two sets at all; every task sends each n-gram once, however frequent.
-3. The rest is a posting table.  Size and position bounds discard pairs that cannot reach the threshold.
-   In each posting list the nodes are first paired with a few pivots only.  Overlaps counted over both prefixes
-   discard most pairs, those of whole sets decide the rest, and links give components.  What is then left of a list are pairs of nodes in different components:
-   the minority is paired with all others, so a large group of near copies, joined by its pivots, makes
-   no pairs among its members.  No pair that could link two components is left out.
+1. Incidence: texts are gathered into chunks.  A chunk sends each n-gram of its sets once to the column block that
+   owns the n-gram's hash range; blocks add up in how many sets it lies and send a one-byte rank back.
+   The number of blocks follows the text's size, so a block holds about as many n-grams at any scale.
+   Documents with equal sets (by a 128-bit digest) are one node from here on.
+2. Ranks order n-grams from rare to frequent.  If two sets reach the threshold, they share an n-gram among the
+   first ``n - ceil(t * n) + 1`` of either; of these only n-grams that lie in two sets are multiplied.
+   A node whose rare n-grams are its own takes no part any more.
+3. Product: size and position bounds discard pairs that cannot reach the threshold.  In each column the nodes
+   are first paired with a few pivots only.  Overlaps counted over both prefixes discard most pairs; for those left the
+   n-grams of one node meet blocks of other nodes' n-grams, and the accumulated counts decide.
+   Links give components.  What is then left of a column are pairs of nodes in different components.  For a few turns
+   the minority meets pivots drawn from the majority, so a node that links to a fair share of it joins it unpaired with
+   the others; at last what is still apart is paired.  A large group of near copies, joined by its pivots, makes no
+   pairs among its members.  No pair that could link two components is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm.arrays import pack, unpack
 from marketlens.llm.components import components
-from marketlens.llm.shingles import mix64, shingle_sets
+from marketlens.llm.shingles import shingle_sets
 from marketlens.storage import Scratch
 
-#: Counters of the sketch, and bits of the filters of shared n-grams and of paired sets: fixed sizes, whatever the input.
-SKETCH_BITS = 20
-FILTER_BITS = 26
-NODE_BITS = 23
-_PARTS = 64
-#: Pivots of a posting list before components are formed.
+#: Pivots of a column before components are formed.
 PIVOTS = 4
-#: So many n-grams before its own does an entry of a list show; a pair that shares one of them was met in that list.
+#: Turns in which the minority meets drawn pivots before it meets all others.
+TURNS = 2
+#: So many n-grams before its own does an entry of a column show; a pair that shares one of them was met in that column.
 SHOWN = 16
+#: N-grams of a column block, about, and of the nodes that one node meets at a time.
+BLOCK_GRAMS = 1_000_000
+MEET_GRAMS = 1 << 16
+_U = np.uint64
+_HALF = _U(32)
+CHUNK = "doc_id long, n long, sig binary, chunk long, block int, grams binary, counts binary, texts binary"
 
 
 def _digest(grams: np.ndarray) -> bytes:
@@ -48,198 +56,166 @@ def _needed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _linked(shared: int, a: int, b: int, percent: int) -> bool:
-    return 100 * shared >= percent * (a + b - shared)
+def _overlap_bound(percent: int, n: str = "n", m: str = "m") -> Column:
+    """The least overlap of sets of ``n`` and ``m`` that links them."""
+    return F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / F.lit(100 + percent))
 
 
-def _overlap_bound(percent: int) -> Column:
-    """The least overlap of sets of ``n`` and ``m`` that links them."""
-    return F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent))
+def _places(grams: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each n-gram, ascending with it, and its place in the block as 32 bits."""
+    low = (grams & _U(0xFFFFFFFF)) * _U(blocks)
+    block = ((grams >> _HALF) * _U(blocks) + (low >> _HALF)) >> _HALF
+    return block.astype(np.int64), ((grams * _U(blocks)) >> _HALF).astype(np.uint32)
 
 
-def _sizes_and_sketch(texts: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        seen: set[bytes] = set()
-        for pdf in batches:
-            sets = shingle_sets(pdf["text"].tolist(), width)
-            sigs = [_digest(s) for s in sets]
-            fresh = []
-            for sig, s in zip(sigs, sets):
-                if sig not in seen:
-                    seen.add(sig)
-                    fresh.append(s)
-            if fresh:
-                sketch += np.bincount((np.concatenate(fresh) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "sig": sigs, "part": -1, "counts": None})
-        parts = sketch.reshape(_PARTS, -1)
-        yield pd.DataFrame({"doc_id": None, "n": 0, "sig": None, "part": range(_PARTS), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
-
-    return texts.mapInPandas(run, "doc_id long, n long, sig binary, part int, counts binary")
-
-
-def _sum_sketch(rows: DataFrame) -> np.ndarray:
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), dtype=np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    # Partial sums first, so that no group grows with the number of tasks.
-    lanes = rows.where("part >= 0").withColumn("lane", F.pmod(F.xxhash64("counts"), F.lit(16)))
-    partial = lanes.groupBy("part", "lane").applyInPandas(add, "part int, counts binary")
-    found = partial.groupBy("part").applyInPandas(add, "part int, counts binary").orderBy("part").collect()
-    if not found:
-        return np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    return np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64) for r in found])
-
-
-def _ordered_prefix(grams: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The n-grams to be multiplied, from rare to frequent; ties go by hash."""
-    r = rank[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return grams[np.argsort(r, kind="stable")][: _needed(len(grams), percent)]
-
-
-def _shared_filter(texts: DataFrame, rank, width: int, percent: int, shards: int) -> np.ndarray:
-    """A Bloom filter, in bytes, of the prefix n-grams that two tasks or two sets of one task hold.
-
-    A shard owns the n-grams of a hash range and with it a slice of the filter.
-    """
-    shift = np.uint64(64 - int(np.log2(shards)))
+def _write_texts(texts: list[bytes]) -> bytes:
+    sizes = np.array([len(texts), *map(len, texts)], dtype="<i8")
+    return zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + b"".join(texts))
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[bytes] = set()
-        found: list[np.ndarray] = []
-        for pdf in batches:
-            for s in shingle_sets(pdf["text"].tolist(), width):
-                if len(s) and (sig := _digest(s)) not in seen:
-                    seen.add(sig)
-                    found.append(_ordered_prefix(s, rank.value, percent))
-        if not found:
-            return
-        grams, times = np.unique(np.concatenate(found), return_counts=True)
-        cuts = np.searchsorted(grams >> shift, np.arange(shards + 1, dtype=np.uint64))
-        again = grams[times > 1]
-        for k in range(shards):
-            own = grams[cuts[k] : cuts[k + 1]]
-            if len(own):
-                twice = again[np.searchsorted(again, own[0]) : np.searchsorted(again, own[-1], side="right")]
-                yield pd.DataFrame({"shard": [k], "once": [own.tobytes()], "twice": [twice.tobytes()]})
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        once = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in pdf["once"]])
-        twice = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in pdf["twice"]])
-        once.sort()
-        shared = np.concatenate([once[1:][once[1:] == once[:-1]], twice])
-        bits = np.zeros((1 << FILTER_BITS) // shards, dtype=bool)
-        for at in _filter_places(shared):
-            bits[at % len(bits)] = True
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
-
-    rows = texts.mapInPandas(spread, "shard int, once binary, twice binary").groupBy("shard").applyInPandas(meet, "shard int, bits binary").collect()
-    whole = np.zeros((shards, (1 << FILTER_BITS) // shards // 8), dtype=np.uint8)
-    for r in rows:
-        whole[r["shard"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return whole.reshape(-1)
-
-
-def _filter_places(grams: np.ndarray) -> list[np.ndarray]:
-    """Two places per n-gram, both inside the slice of its shard (which the leading 12 bits fix)."""
-    room = FILTER_BITS - 12
-    lead = (grams >> np.uint64(52)) << np.uint64(room)
-    mixed = mix64(grams)
-    mask = np.uint64((1 << room) - 1)
-    return [(lead | (mixed & mask)).astype(np.int64), (lead | ((mixed >> np.uint64(32)) & mask)).astype(np.int64)]
-
-
-def _postings(texts: DataFrame, rank, shared, width: int, percent: int) -> DataFrame:
-    """A row per set and partition with an n-gram in the filter: those n-grams and their places in the order, and of the
-    prefix its length and where it ends in the order."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, seen = shared.value, set()
-        for pdf in batches:
-            out = []
-            for s in shingle_sets(pdf["text"].tolist(), width):
-                if len(s) and (sig := _digest(s)) not in seen:
-                    seen.add(sig)
-                    p = _ordered_prefix(s, rank.value, percent)
-                    hit = np.ones(len(p), dtype=bool)
-                    for at in _filter_places(p):
-                        hit &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-                    if hit.any():
-                        last = int(rank.value[int(p[-1] >> np.uint64(64 - SKETCH_BITS))]), int(p[-1]) - (1 << 63)
-                        out.append((sig, len(s), len(p), *last, p[hit].view(np.int64), np.flatnonzero(hit).astype(np.int32)))
-            if out:
-                yield pd.DataFrame(out, columns=["sig", "n", "p", "last_rank", "last_gram", "grams", "places"])
-
-    return texts.mapInPandas(run, "sig binary, n int, p int, last_rank int, last_gram long, grams array<long>, places array<int>")
-
-
-def _lead(sig: Column) -> Column:
-    """The first seven bytes of a digest as a number."""
-    return F.conv(F.hex(F.substring(sig, 1, 7)), 16, 10).cast("long")
-
-
-def _node_filter(pairs: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size, in 32-bit words, of the digests in ``sig_a`` and ``sig_b``."""
-    size = 1 << NODE_BITS
-    sigs = pairs.select(F.col("sig_a").alias("sig")).unionByName(pairs.select(F.col("sig_b").alias("sig"))).distinct()
-    lead = sigs.select(_lead(F.col("sig")).alias("x"))
-    places = lead.select(F.explode(F.array(F.pmod("x", F.lit(size)), F.pmod(F.shiftright("x", NODE_BITS), F.lit(size)))).alias("p"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(32)).cast("int"))
-    words = np.zeros(size // 32, dtype=np.uint32)
-    for r in places.groupBy(F.shiftright("p", 5).alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
-        words[r["word"]] = r["bits"]
-    return words
-
-
-def _whole_sets(texts: DataFrame, words, width: int) -> DataFrame:
-    """``sig, whole`` of the sets that the filter passes, one row each: another pass over the texts, but few sets are moved."""
-    size = 1 << NODE_BITS
+def _read_texts(data: bytes) -> list[str]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    ends = (8 * (n + 1) + np.cumsum(np.frombuffer(raw, "<i8", n, 8))).tolist()
+    starts = [8 * (n + 1), *ends[:-1]]
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts, ends)]
+
+
+def _chunks(texts: DataFrame, width: int, blocks: int, chunk_bytes: int) -> DataFrame:
+    """A row for each text (``block`` -2), for each chunk's different texts (-1), and for a chunk's n-grams in each column block."""
+
+    def close(chunk: int, ids: list, held: list) -> pd.DataFrame:
+        sets = shingle_sets(held, width)
+        sigs = [_digest(s) for s in sets]
+        first = {sig: i for i, sig in reversed(list(enumerate(sigs))) if len(sets[i])}
+        out = [(i, len(s), sig, chunk, -2, None, None, None) for i, s, sig in zip(ids, sets, sigs)]
+        if first:
+            kept = sorted(first.values())
+            grams, counts = np.unique(np.concatenate([sets[i] for i in kept]), return_counts=True)
+            block, place = _places(grams, blocks)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]).tolist()
+            out.append((None, 0, None, chunk, -1, None, None, _write_texts([held[i].encode("utf-8", "surrogatepass") for i in kept])))
+            out += [(None, 0, None, chunk, int(block[a]), pack(place[a:b], ascending=True), pack(counts[a:b].astype(np.uint32)), None) for a, b in zip(cuts, cuts[1:])]
+        return pd.DataFrame(out, columns=["doc_id", "n", "sig", "chunk", "block", "grams", "counts", "texts"]).astype({"doc_id": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, seen = words.value, set()
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        ids: list = []
+        held: list = []
         for pdf in batches:
-            out = []
-            for s in shingle_sets(pdf["text"].tolist(), width):
-                if len(s) and (sig := _digest(s)) not in seen:
-                    x = int.from_bytes(sig[:7], "big")
-                    if all(int(bits[p >> 5]) >> (p & 31) & 1 for p in (x % size, (x >> NODE_BITS) % size)):
-                        seen.add(sig)
-                        out.append((sig, s.tobytes()))
-            if out:
-                yield pd.DataFrame(out, columns=["sig", "whole"])
+            for i, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
+                ids.append(None if i is None or i != i else int(i))
+                held.append(text)
+                size += len(text) if text else 0
+                if size >= chunk_bytes:
+                    yield close(chunk, ids, held)
+                    chunk, size, ids, held = chunk + 1, 0, [], []
+        if held:
+            yield close(chunk, ids, held)
 
-    return texts.mapInPandas(run, "sig binary, whole binary").dropDuplicates(["sig"])
+    return texts.mapInPandas(run, CHUNK)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose whole sets reach the threshold."""
+def _ranks(rows: DataFrame) -> DataFrame:
+    """``chunk, block, ranks``: for each of a chunk's n-grams in a block, four times the logarithm of its number of sets; 0 if it is alone."""
 
-    @F.pandas_udf("boolean")
-    def reaches(a: pd.Series, b: pd.Series) -> pd.Series:
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [unpack(g, np.uint32, ascending=True) for g in pdf["grams"]]
+        places = np.concatenate(own)
+        order = np.argsort(places, kind="stable")
+        places = places[order]
+        first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+        sets = np.add.reduceat(np.concatenate([unpack(c, np.uint32) for c in pdf["counts"]])[order].astype(np.int64), first)
+        ranks, places = np.minimum(255, np.floor(4 * np.log2(sets))).astype(np.uint8), places[first]
+        return pd.DataFrame({"chunk": pdf["chunk"], "block": pdf["block"], "ranks": [pack(ranks[np.searchsorted(places, g)]) for g in own]})
+
+    return rows.groupBy("block").applyInPandas(rank, "chunk long, block int, ranks binary")
+
+
+def _nodes(texts: DataFrame, ranks: DataFrame, width: int, percent: int) -> DataFrame:
+    """A row for each of a chunk's sets that has an n-gram of another in its prefix: those n-grams, from rare to frequent, and
+    their places in the order; the prefix's length and where it ends in the order; the whole set."""
+    columns = ["sig", "n", "p", "last_rank", "last_gram", "grams", "places", "whole"]
+
+    def run(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            out.append(_linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
-        return pd.Series(out, dtype=bool)
+        if len(own):
+            sets = shingle_sets(_read_texts(own["texts"].iloc[0]), width)
+            grams = np.unique(np.concatenate(sets))
+            ranks = np.concatenate([unpack(r, np.uint8) for r in known.sort_values("block")["ranks"]])
+            for s in sets:
+                r = ranks[np.searchsorted(grams, s)]
+                # n-grams ascend in a set, so ties of the stable sort go by hash.
+                order = np.argsort(r, kind="stable")[: _needed(len(s), percent)]
+                shared = np.flatnonzero(r[order])
+                if len(shared):
+                    p = s[order]
+                    out.append((_digest(s), len(s), len(p), int(r[order[-1]]), int(p[-1]) - (1 << 63), p[shared].view(np.int64), shared.astype(np.int32), s.tobytes()))
+        return pd.DataFrame(out, columns=columns)
+
+    schema = "sig binary, n int, p int, last_rank int, last_gram long, grams array<long>, places array<int>, whole binary"
+    return texts.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInPandas(run, schema)
+
+
+def _meet(rows: DataFrame, percent: int) -> DataFrame:
+    """The links ``a, b`` among rows of ``hub, slot, node, whole``: a hub's own row (null ``node``), then the nodes that it meets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hub, own, nodes, sets, held = None, None, [], [], 0
 
+        def product() -> pd.DataFrame:
+            sizes = np.array([len(s) for s in sets])
+            hit = np.isin(np.concatenate(sets), own, assume_unique=False)
+            shared = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            linked = 100 * shared >= percent * (sizes + len(own) - shared)
+            b = np.array(nodes, dtype=np.int64)[linked]
+            return pd.DataFrame({"a": np.minimum(hub, b), "b": np.maximum(hub, b)})
+
+        for pdf in batches:
+            for h, node, whole in zip(pdf["hub"].tolist(), pdf["node"].tolist(), pdf["whole"].tolist()):
+                s = np.frombuffer(whole, dtype=np.uint64)
+                alone = node is None or node != node
+                if sets and (alone or held + len(s) > MEET_GRAMS):
+                    yield product()
+                    nodes, sets, held = [], [], 0
+                if alone:
+                    hub, own = h, s
+                else:
+                    nodes.append(int(node))
+                    sets.append(s)
+                    held += len(s)
+        if sets:
+            yield product()
+
+    return rows.mapInPandas(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose whole sets reach the threshold."""
     # Overlap counted over both prefixes.  The prefix that ends first in the order has no further partner in the other set,
     # so what is behind it bounds the rest.
-    of = lambda c: nodes.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("sig", "n", "p", "last_rank", "last_gram", "grams")])
+    of = lambda c: nodes.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "p", "last_rank", "last_gram", "grams")])
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     a_first = F.struct("last_rank_a", "last_gram_a") <= F.struct("last_rank_b", "last_gram_b")
     behind = F.when(a_first, F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
-    enough = F.size(F.array_intersect("grams_a", "grams_b")) + behind >= F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    pairs = scratch.table(both.where(enough).select("a", "b", "sig_a", "sig_b"), "pairs")
-    words = texts.sparkSession.sparkContext.broadcast(_node_filter(pairs))
-    sets = _whole_sets(texts, words, width)
-    of = lambda c: sets.select(F.col("sig").alias(f"sig_{c}"), F.col("whole").alias(f"set_{c}"))
-    both = pairs.join(of("a"), "sig_a").join(of("b"), "sig_b")
-    return scratch.table(both.where(reaches("set_a", "set_b")).select("a", "b"), "links")
+    enough = F.size(F.array_intersect("grams_a", "grams_b")) + behind >= _overlap_bound(percent, "n_a", "n_b")
+    pairs = scratch.table(both.where(enough).select("a", "b", "n_a", "n_b"), "pairs")
+    # The node with more pairs is the hub that meets the others; slots share out what a hub meets by its n-grams.
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("n_b").alias("met")), F.struct(F.col("b").alias("node"), F.col("n_a").alias("met")))).alias("e"))
+    load = scratch.table(ends.groupBy("e.node").agg(F.count("*").alias("times"), F.sum("e.met").alias("met")), "load")
+    of = lambda c: load.select(F.col("node").alias(c), F.struct("times", F.col("node").alias("x")).alias(f"t_{c}"), F.col("met").alias(f"met_{c}"))
+    ranked = pairs.join(of("a"), "a").join(of("b"), "b")
+    a_leads = F.col("t_a") > F.col("t_b")
+    ranked = ranked.select(F.when(a_leads, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(a_leads, F.col("b")).otherwise(F.col("a")).alias("node"), F.when(a_leads, F.col("met_a")).otherwise(F.col("met_b")).alias("met"))
+    ranked = scratch.table(ranked.select("hub", "node", F.pmod(F.xxhash64("node"), F.floor(F.col("met") / MEET_GRAMS) + 1).alias("slot")), "met")
+    others = ranked.join(sets, "node").select("hub", "slot", "node", "whole")
+    hubs = ranked.select("hub", "slot").distinct().join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", "slot", F.lit(None).cast("long").alias("node"), "whole")
+    rows = hubs.unionByName(others).repartition("hub", "slot").sortWithinPartitions("hub", "slot", F.col("node").asc_nulls_first())
+    return scratch.table(_meet(rows.select("hub", "node", "whole"), percent), "links")
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, apart: Column) -> DataFrame:
-    """Distinct pairs of nodes that share a list and pass the size and position bounds."""
+    """Distinct pairs of nodes that share a column and pass the size and position bounds."""
     fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (
         1 + F.least(F.col("n") - F.col("pos") - 1, F.col("m") - F.col("qos") - 1) >= _overlap_bound(percent)
     )
@@ -247,7 +223,14 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, apart: Column) -> Da
     return both.select(F.least("node", "mode").alias("a"), F.greatest("node", "mode").alias("b")).distinct()
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+def _drawn(posts: DataFrame, *columns: str, turn: int) -> DataFrame:
+    """``PIVOTS`` rows of each column, drawn by hash (after turn 0, another draw for each of ``PIVOTS`` classes of columns); fewer where one is drawn twice."""
+    drawn = [F.min(F.struct(F.xxhash64("node", F.pmod("gram", F.lit(PIVOTS if turn else 1)), F.lit(turn * PIVOTS + k)).alias("h"), *columns)).alias(f"pivot{k}") for k in range(PIVOTS)]
+    rows = posts.groupBy("gram").agg(*drawn).select("gram", F.explode(F.array(*[f"pivot{k}" for k in range(PIVOTS)])).alias("p"))
+    return rows.select("gram", *[f"p.{c}" for c in columns]).distinct()
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, chunk_bytes: int = 8_000_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Two documents link when ``100 * intersection >= percent * union`` of their sets of ``width``-word
@@ -257,45 +240,53 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows with a null id keep a null id; their component's id is the smallest id that is not null, if any.
     Other columns are ignored.  Shingles are compared as 64-bit hashes and equal sets as 128-bit digests.
     """
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    first = scratch.table(_sizes_and_sketch(texts, width), "sizes")
-    sizes = first.where("part = -1").select("doc_id", "n", "sig")
-    rank = sc.broadcast(np.floor(4 * np.log2(1 + _sum_sketch(first))).astype(np.uint8))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = 1 << int(np.clip(np.ceil(np.log2(1 + total / 2_000_000)), 4, 12))
-    shared = sc.broadcast(_shared_filter(texts, rank, width, percent, shards))
-    nodes = _postings(texts, rank, shared, width, percent).dropDuplicates(["sig"]).withColumn("node", F.monotonically_increasing_id())
+    # A text has no more n-grams than half its bytes, and about a sixth of them in prose.
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(16, size // (6 * BLOCK_GRAMS))
+    first = scratch.table(_chunks(texts, width, blocks, chunk_bytes), "chunks")
+    sizes = first.where("block = -2").select("doc_id", "n", "sig")
+    ranks = _ranks(first.where("block >= 0").select("chunk", "block", "grams", "counts"))
+    raw = _nodes(first.where("block = -1").select("chunk", "texts"), ranks, width, percent)
+    raw = scratch.table(raw.withColumn("node", F.monotonically_increasing_id()), "sets")
+    sets = raw.select("node", "whole")
+    nodes = raw.join(raw.groupBy("sig").agg(F.min("node").alias("node")).select("node"), "node", "left_semi").drop("whole")
     nodes = scratch.table(nodes, "nodes")
 
     posts = nodes.select("node", "n", F.explode(F.arrays_zip("grams", "places")).alias("p")).select(F.col("p.grams").alias("gram"), "node", "n", F.col("p.places").alias("pos"))
-    lists = scratch.table(posts.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1").select("gram"), "lists")
-    posts = scratch.table(posts.join(lists, "gram", "left_semi"), "posts")
-    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "pos")).alias(f"pivot{k}") for k in range(PIVOTS)]
-    pivots = posts.groupBy("gram").agg(*drawn).select("gram", F.explode(F.array(*[f"pivot{k}" for k in range(PIVOTS)])).alias("p"))
-    pivots = scratch.table(pivots.select("gram", F.col("p.node").alias("mode"), F.col("p.n").alias("m"), F.col("p.pos").alias("qos")).distinct(), "pivots")
+    columns = scratch.table(posts.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1").select("gram"), "columns")
+    posts = scratch.table(posts.join(columns, "gram", "left_semi"), "posts")
+    pivots = scratch.table(_drawn(posts, "node", "n", "pos", turn=0).select("gram", F.col("node").alias("mode"), F.col("n").alias("m"), F.col("pos").alias("qos")), "pivots")
     tried = scratch.table(_pairs(posts, pivots, percent, F.col("node") != F.col("mode")), "pivot-pairs")
-    links = _verified(tried, nodes, texts, scratch, width, percent)
+    links = _verified(tried, nodes, sets, scratch, percent)
     roots = components(links, scratch)
-
-    labelled = scratch.table(posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
-    by_root = labelled.groupBy("gram", "root").agg(F.count("*").alias("members"))
-    main = by_root.groupBy("gram").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = labelled.join(scratch.table(main.select("gram", "main"), "main"), "gram").join(nodes.select("node", "grams"), "node")
-    at = F.array_position("grams", F.col("gram")).cast("int")
-    before = F.slice("grams", F.greatest(F.lit(1), at - SHOWN), F.least(F.lit(SHOWN), at - 1))
-    mixed = scratch.table(mixed.select("gram", "node", "n", "pos", "root", "main", before.alias("before")), "mixed")
-    others = mixed.where("root != main").select("gram", F.col("node").alias("mode"), F.col("root").alias("toot"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("before").alias("before_m"))
-    apart = (F.col("root") != F.col("toot")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("mode")))
-    apart = apart & ~F.arrays_overlap("before", "before_m")
-    left = scratch.table(_pairs(mixed, others, percent, apart).join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-    if left.limit(1).count():
-        more = _verified(left, nodes, texts, scratch, width, percent)
-        if more.limit(1).count():
-            roots = components(links.unionByName(more), scratch)
+    for turn in range(1, TURNS + 2):
+        labelled = scratch.table(posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+        by_root = labelled.groupBy("gram", "root").agg(F.count("*").alias("members"))
+        main = by_root.groupBy("gram").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+        mixed = labelled.join(scratch.table(main.select("gram", "main"), "main"), "gram")
+        apart = (F.col("root") != F.col("toot")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("mode")))
+        if turn > TURNS:
+            mixed = mixed.join(nodes.select("node", "grams"), "node")
+            at = F.array_position("grams", F.col("gram")).cast("int")
+            before = F.slice("grams", F.greatest(F.lit(1), at - SHOWN), F.least(F.lit(SHOWN), at - 1))
+            mixed = scratch.table(mixed.select("gram", "node", "n", "pos", "root", "main", before.alias("before")), "mixed")
+            others = mixed.where("root != main").withColumnRenamed("before", "before_m")
+            apart = apart & ~F.arrays_overlap("before", "before_m")
+        else:
+            mixed = scratch.table(mixed, "mixed")
+            others = _drawn(mixed.where("root = main"), "node", "n", "pos", "root", turn=turn)
+            apart = F.col("root") != F.col("toot")
+        others = others.drop("main").withColumnsRenamed({"node": "mode", "root": "toot", "n": "m", "pos": "qos"})
+        left = scratch.table(_pairs(mixed, others, percent, apart).join(tried, ["a", "b"], "left_anti"), "cross-pairs")
+        tried = tried.unionByName(left)
+        if left.limit(1).count():
+            more = _verified(left, nodes, sets, scratch, percent)
+            if more.limit(1).count():
+                links = links.unionByName(more)
+                roots = components(links, scratch)
     roots = nodes.select("node", "sig").join(roots, "node").select("sig", "root")
 
     node = sizes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
