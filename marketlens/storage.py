@@ -28,27 +28,35 @@ class Scratch:
     """A new subfolder of the shared folder for one run of an operator.
 
     ``table`` writes a DataFrame there as Parquet and returns it as read back.  Tables that a returned lazy
-    result still reads must stay; ``drop`` deletes those that nothing needs any more.
+    result still reads must stay; ``drop`` and ``keep`` delete those that nothing needs any more.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/marketlens/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        self._held: dict[int, tuple[DataFrame, str]] = {}
 
     def table(self, df: DataFrame, tag: str) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{tag}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._held[id(out)] = out, path  # the table is held too, so that its id stays its own
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            path = self._paths.pop(id(t), None)
-            if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(id(t))
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables but these, which a lazy result still reads."""
+        kept = {id(t) for t in tables}
+        for key in [k for k in self._held if k not in kept]:
+            self._delete(key)
+
+    def _delete(self, key: int) -> None:
+        if key in self._held:
+            jvm = self.spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(self._held.pop(key)[1])
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
