@@ -90,6 +90,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = scratch.table(heads.join(identity, "row"), "rows")
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row")))
     groups = scratch.table(rows.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
+    scratch.keep(rows, groups)
     joined = rows.join(groups, ["n_blocks", "name"], "left")
     alone = F.col("group_size").isNull()
     return joined.select(

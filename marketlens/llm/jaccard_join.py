@@ -247,10 +247,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(16, size // (6 * BLOCK_GRAMS))
     first = scratch.table(_chunks(texts, width, blocks, chunk_bytes), "chunks")
-    sizes = first.where("block = -2").select("doc_id", "n", "sig")
+    sizes = scratch.table(first.where("block = -2").select("doc_id", "n", "sig"), "sizes")
     ranks = _ranks(first.where("block >= 0").select("chunk", "block", "grams", "counts"))
     raw = _nodes(first.where("block = -1").select("chunk", "texts"), ranks, width, percent)
     raw = scratch.table(raw.withColumn("node", F.monotonically_increasing_id()), "sets")
+    scratch.drop(first)
     sets = raw.select("node", "whole")
     nodes = raw.join(raw.groupBy("sig").agg(F.min("node").alias("node")).select("node"), "node", "left_semi").drop("whole")
     nodes = scratch.table(nodes, "nodes")
@@ -293,5 +294,6 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     node = scratch.table(node.join(roots, "sig", "left"), "classes")
     ids = node.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
     ids = scratch.table(node.join(ids, "root", "left").select("sig", F.coalesce("component_id", "least").alias("component_id")), "ids")
+    scratch.keep(sizes, ids)
     out = sizes.join(ids, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

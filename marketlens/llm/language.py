@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.arrays import pack, summed, unpack
-from marketlens.llm.shingles import mix64
+from marketlens.llm.shingles import mix64, runs
 
 BITS = 16
 UNKNOWN = "und"
@@ -35,8 +35,8 @@ _FIRST = np.array([a for _, a, _ in SCRIPTS])
 _LAST = np.array([b for _, _, b in SCRIPTS])
 _OF = np.array([_NAMES.index(s) for s, _, _ in SCRIPTS])
 _WORD = re.compile(r"[^\W\d_]+")
-#: Rows that are worked on at a time.
-_SLICE = 2000
+#: Bytes of text that are worked on at a time, about; a longer text is worked on alone.
+_SLICE = 4_000_000
 
 
 def script_of(words: list[str]) -> np.ndarray:
@@ -62,6 +62,10 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(grams)
 
 
+def _slices(texts: list[str | None]) -> list[tuple[int, int]]:
+    return runs([len(t) if t else 0 for t in texts], _SLICE)
+
+
 def _vocabulary() -> defaultdict:
     v: defaultdict = defaultdict()
     v.default_factory = v.__len__
@@ -73,7 +77,7 @@ def _learn(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
-        for pdf in (b[k : k + _SLICE] for b in batches for k in range(0, len(b), _SLICE)):
+        for pdf in (b[i:j] for b in batches for i, j in _slices(b["text"].tolist())):
             vocabulary = _vocabulary()
             times: dict[str, list] = defaultdict(list)
             for lang, text in zip(pdf["lang"], pdf["text"]):
@@ -200,9 +204,8 @@ def identify(model: LanguageModel, docs: DataFrame, text: Column, with_spans: bo
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = texts.tolist()
-            parts = []
-            for k in range(0, max(1, len(rows)), _SLICE):
-                parts.append(sent.value.label(rows[k : k + _SLICE], with_spans))
+            parts = [sent.value.label(rows[i:j], with_spans) for i, j in _slices(rows) or [(0, 0)]]
             yield pd.concat(parts, ignore_index=True)
 
-    return label(text)
+    # Else a filter on the label would label every text a second time.
+    return label.asNondeterministic()(text)

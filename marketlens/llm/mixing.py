@@ -164,6 +164,7 @@ def mix_segments(
     dealt = cut.withColumn("slot", F.floor(F.col("draw") / step)).join(ranges, ["ordinal", "slot"]).where("draw >= begin and draw < end")
     place = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("uid", "pass", "first_word", F.lit(seed)), "uid", "pass", "first_word"))
     segments = scratch.table(dealt.select("uid", "shard", place.alias("place"), "pass", "first_word", "n_words"), "segments")
+    scratch.keep(sized, table, segments)
     rows = sized.join(table.select(F.col("source").alias("t_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("t_source")))
     return rows.select("uid", "doc_id", "size", "source_size", "target", *[f"c_{c}" for c in carry]), segments
 

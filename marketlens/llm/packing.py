@@ -168,5 +168,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for p in placed[1:]:
         all_placed = all_placed.unionByName(p)
     where = members.join(all_placed, ["own", "bundle"]).select("uid", "sequence_id", (F.col("at") + F.pmod("rank", "each") * F.col("own")).cast("long").alias("offset"))
+    where = scratch.table(where, "placed")
+    scratch.keep(pieces, where)
     full = pieces.where(F.col("length") == capacity).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return pieces.join(where.unionByName(full), "uid").drop("uid").select(*[c for c in pieces.columns if c not in ("uid", "ids")], "sequence_id", "offset", *["ids"] * with_ids)
