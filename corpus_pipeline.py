@@ -26,9 +26,11 @@ def _kept(numbered: DataFrame, rows: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and those of whose letters less than half are in one language; labels the rest."""
     model = language.train(docs.where(F.coalesce(remainder(4) != 2, F.lit(True))))
-    found = docs.withColumn("_found", language.identify(model, docs, F.col("text"), with_spans=False))
-    sure = found.where((F.col("_found.lang") != language.UNKNOWN) & (F.col("_found.score") >= 0.5))
-    return sure.withColumn("lang", F.coalesce("lang", "_found.lang")).select(*docs.columns)
+    # As two structs, so that no column of the input clashes.
+    found = docs.select(F.struct(*docs.columns).alias("row"), language.identify(model, docs, F.col("text"), with_spans=False).alias("found"))
+    sure = found.where((F.col("found.lang") != language.UNKNOWN) & (F.col("found.score") >= 0.5))
+    of = lambda c: F.coalesce("row.lang", "found.lang") if c == "lang" else F.col("row")[c]
+    return sure.select(*[of(c).alias(c) for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
