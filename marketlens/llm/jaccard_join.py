@@ -29,14 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.arrays import pack, unpack
-from marketlens.llm.components import components
+from marketlens.llm.components import components, extended
 from marketlens.llm.shingles import shingle_sets
 from marketlens.storage import Scratch
 
 #: Pivots of a column before components are formed.
 PIVOTS = 4
-#: Turns in which the minority meets drawn pivots before it meets all others.
-TURNS = 2
+#: Turns in which the minority meets drawn pivots before it meets all others, and classes of columns with draws of their own.
+TURNS = 1
+CLASSES = 16
 #: So many n-grams before its own does an entry of a column show; a pair that shares one of them was met in that column.
 SHOWN = 16
 #: N-grams of a column block, about, and of the nodes that one node meets at a time.
@@ -224,8 +225,8 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, apart: Column) -> Da
 
 
 def _drawn(posts: DataFrame, *columns: str, turn: int) -> DataFrame:
-    """``PIVOTS`` rows of each column, drawn by hash (after turn 0, another draw for each of ``PIVOTS`` classes of columns); fewer where one is drawn twice."""
-    drawn = [F.min(F.struct(F.xxhash64("node", F.pmod("gram", F.lit(PIVOTS if turn else 1)), F.lit(turn * PIVOTS + k)).alias("h"), *columns)).alias(f"pivot{k}") for k in range(PIVOTS)]
+    """``PIVOTS`` rows of each column, drawn by hash (after turn 0, another draw for each of ``CLASSES`` classes of columns); fewer where one is drawn twice."""
+    drawn = [F.min(F.struct(F.xxhash64("node", F.pmod("gram", F.lit(CLASSES if turn else 1)), F.lit(turn * PIVOTS + k)).alias("h"), *columns)).alias(f"pivot{k}") for k in range(PIVOTS)]
     rows = posts.groupBy("gram").agg(*drawn).select("gram", F.explode(F.array(*[f"pivot{k}" for k in range(PIVOTS)])).alias("p"))
     return rows.select("gram", *[f"p.{c}" for c in columns]).distinct()
 
@@ -261,8 +262,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     posts = scratch.table(posts.join(columns, "gram", "left_semi"), "posts")
     pivots = scratch.table(_drawn(posts, "node", "n", "pos", turn=0).select("gram", F.col("node").alias("mode"), F.col("n").alias("m"), F.col("pos").alias("qos")), "pivots")
     tried = scratch.table(_pairs(posts, pivots, percent, F.col("node") != F.col("mode")), "pivot-pairs")
-    links = _verified(tried, nodes, sets, scratch, percent)
-    roots = components(links, scratch)
+    roots = components(_verified(tried, nodes, sets, scratch, percent), scratch)
     for turn in range(1, TURNS + 2):
         labelled = scratch.table(posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
         by_root = labelled.groupBy("gram", "root").agg(F.count("*").alias("members"))
@@ -286,8 +286,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if left.limit(1).count():
             more = _verified(left, nodes, sets, scratch, percent)
             if more.limit(1).count():
-                links = links.unionByName(more)
-                roots = components(links, scratch)
+                roots = extended(roots, more, scratch)
     roots = nodes.select("node", "sig").join(roots, "node").select("sig", "root")
 
     node = sizes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
