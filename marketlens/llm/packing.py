@@ -39,7 +39,7 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.array([*(enc.encode_ordinary(text) if text else ()), end_id], dtype="<u4")
+                ids = np.append(enc.ids(text), np.uint32(end_id)).astype("<u4")
                 head = len(ids) % capacity or capacity
                 bounds = [0, *range(head, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
