@@ -49,49 +49,57 @@ def _first(value: Column, when: Column) -> Column:
     return F.min_by(F.when(when, value), F.when(when, F.col("pos")))
 
 
+def _in_order(value: Column, when: Column, pos: Column) -> Column:
+    """The values of the lines where ``when`` holds, in order of position."""
+    return F.transform(F.array_sort(F.collect_list(F.when(when, F.struct(pos.alias("p"), value.alias("v"))))), lambda x: x["v"])
+
+
 def cards(lines: DataFrame, key: str = "page_id", item: str | None = None) -> DataFrame:
-    """One row per listing card with its fields.
+    """One row per listing card with its fields; noise lines count nowhere.
 
-    With a known ``item`` the item line is the first that has it, without regard to case; else the first like ``2 X Name``, and the
-    seller is the line above the nearest rating before it (no rating: no card).
+    With a known ``item`` the item line is the first that has it, without regard to case; a card without it keeps the given
+    name.  Else it is the first like ``2 X Name``, and its name counts.  The seller and the rating in parentheses are the first
+    two lines of a card; where the item line was found without a known name, they are the nearest rating above it and
+    the line above that, and a card without either is none.  What stands between the item line and the marker are its properties.
     """
     low, line, pos = F.lower("line"), F.col("line"), F.col("pos")
-    kept = lines.where(~low.isin(*C.NOISE_LINES))
+    own = Window.partitionBy(key, "seg")
+    kept = lines.where(~low.isin(*C.NOISE_LINES)).withColumn("pos", F.row_number().over(own.orderBy("pos")) - 1)
     is_item = F.contains(low, F.lit(item.lower())) if item else F.rlike(line, F.lit(r"^[0-9]+\s*[xX]\s+(.+)$"))
-    rating = F.rlike(line, F.lit(r"^\([0-9]+\)$"))
-    w = Window.partitionBy(key, "seg")
-    at = kept.withColumn("_item", F.min(F.when(is_item, pos)).over(w)).withColumn("_mark", F.min(F.when(line.isin(*C.CARD_MARKERS), pos)).over(w)).withColumn("_end", F.max(pos).over(w))
-    at = at.withColumn("_rate", F.max(F.when(rating & (pos < F.col("_item")), pos)).over(w)).withColumn("_top", F.min(pos).over(w))
+    rating = line.startswith("(") & line.endswith(")")
+    at = kept.withColumn("_item", F.min(F.when(is_item, pos)).over(own)).withColumn("_mark", F.min(F.when(line.isin(*C.CARD_MARKERS), pos)).over(own)).withColumn("_end", F.max(pos).over(own))
+    top = F.lit(0) if item else F.when(F.col("_item").isNull(), 0).otherwise(F.max(F.when(rating & (pos < F.col("_item")), pos)).over(own) - 1)
+    at = at.withColumn("_top", top)
     middle = (pos > F.col("_item")) & (pos < F.col("_mark"))
-    ask = (pos >= F.col("_mark")) & (pos < F.col("_end")) & (line != "Trading For") & ~line.startswith("High Rune Value:")
-    collect = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(pos.alias("p"), line.alias("v"))))), lambda x: x["v"])
+    asks = (pos >= F.col("_mark")) & (pos < F.col("_end"))
+    value = asks & line.startswith("High Rune Value:")
     rows = at.groupBy(key, "seg").agg(
-        (_first(line, pos == F.col("_top")) if item else _first(line, pos == F.col("_rate") - 1)).alias("seller"),
-        _first(line, pos == (F.col("_top") + 1 if item else F.col("_rate"))).alias("second"),
+        _first(line, pos == F.col("_top")).alias("seller"),
+        _first(line, rating & (pos == F.col("_top") + 1)).alias("rating"),
         F.max_by(line, pos).alias("posted_time"),
         _first(line, pos == F.col("_item")).alias("item_line"),
-        collect(middle).alias("mid"),
-        collect(ask).alias("asks"),
-        F.max_by(F.when(line.startswith("High Rune Value:"), line), F.when(line.startswith("High Rune Value:"), pos)).alias("value_line"),
+        _in_order(line, middle, pos).alias("mid"),
+        _in_order(line, asks & ~value & (line != "Trading For"), pos).alias("asks"),
+        F.max_by(F.when(value, line), F.when(value, pos)).alias("high_rune_value"),
         F.max(F.when(line == "Make an Offer", 1).otherwise(0)).alias("offer"),
-        F.max(F.col("_item").isNotNull()).alias("has_item"),
     )
-    mid_text = F.lower(F.array_join("mid", " "))
-    whole = F.lower(F.concat_ws(" ", "item_line", F.array_join("mid", " ")))
+    # Each of these is used many times below: its own projection computes it once.
+    rows = rows.withColumn("low", F.lower(F.array_join("mid", " "))).withColumn("asked", F.trim(F.array_join("asks", " ")))
+    mid_text = F.col("low")
     tagless = F.transform("mid", lambda x: F.trim(F.regexp_replace(x, "•+$", "")))
     defense = F.regexp_extract(mid_text, r"\+?([0-9]+)\s*defense", 1).try_cast("int")
     terms = F.filter("mid", lambda x: F.reduce(F.array(*[F.lit(t) for t in C.STAT_TERMS]), F.lit(False), lambda a, t: a | F.contains(F.lower(x), t)))
-    out = rows.where("has_item" if item else "has_item and seller is not null").select(
-        key, "seg", "seller", F.when(F.rlike("second", F.lit(r"^\([0-9]+\)$")), F.col("second")).alias("rating"), "posted_time",
-        (F.col("item_line") if item else F.regexp_extract("item_line", r"^[0-9]+\s*[xX]\s+(.+)$", 1)).alias("item_name"),
-        platform(mid_text).alias("platform"), *environment(whole),
-        F.contains(whole, F.lit("ethereal")).alias("is_ethereal"), F.contains(whole, F.lit("unidentified")).alias("is_unidentified"), defense.alias("defense"),
+    listed = F.lit(True) if item else F.col("item_line").isNull() | (F.col("seller").isNotNull() & F.col("rating").isNotNull())
+    return rows.where(listed).select(
+        key, "seg", "seller", "rating", "posted_time",
+        (F.coalesce("item_line", F.lit(item)) if item else F.when(F.col("item_line").isNotNull(), F.regexp_extract("item_line", r"^[0-9]+\s*[xX]\s+(.+)$", 1))).alias("item_name"),
+        platform(mid_text).alias("platform"), *environment(mid_text),
+        F.contains(mid_text, F.lit("ethereal")).alias("is_ethereal"), F.contains(mid_text, F.lit("unidentified")).alias("is_unidentified"), defense.alias("defense"),
         F.concat(F.when(defense.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(defense.cast("string"), F.lit(" Defense")))), terms).alias("stats"),
         F.filter(tagless, lambda x: (x != "") & ~F.lower(x).isin(*C.CARD_TAGS)).alias("affixes"),
-        F.when(F.array_join("asks", " ") != "", F.array_join("asks", " ")).when(F.col("offer") == 1, "Make an Offer").otherwise("Unknown").alias("ask"),
-        F.trim(F.regexp_replace("value_line", "^High Rune Value:", "")).alias("high_rune_value"),
+        F.when(F.col("asked") != "", F.col("asked")).when(F.col("offer") == 1, "Make an Offer").otherwise("Unknown").alias("ask"),
+        "high_rune_value",
     )
-    return out
 
 
 def platform(low: Column) -> Column:
@@ -114,13 +122,13 @@ def environment(low: Column) -> list[Column]:
 
 
 def or_price(received: Column) -> Column:
-    """Joins what was given: OR binds its neighbours, the rest is a list; an OR in front counts for nothing."""
+    """Joins what was given: an upper-case OR binds its neighbours, the rest is a list; an OR in front counts for nothing."""
+
     def step(acc: Column, x: Column) -> Column:
-        is_or = F.upper(x) == "OR"
-        text = F.when(acc["text"] == "", x).when(acc["bind"], F.concat(acc["text"], F.lit(" OR "), x)).otherwise(F.concat(acc["text"], F.lit(", "), x))
-        return F.struct(F.when(is_or, acc["text"]).otherwise(text).alias("text"), (is_or & (acc["text"] != "")).alias("bind"))
+        added = F.when((acc == "") | acc.endswith(" OR "), F.concat(acc, x)).otherwise(F.concat(acc, F.lit(", "), x))
+        return F.when(x != "OR", added).when(acc == "", acc).otherwise(F.concat(acc, F.lit(" OR ")))
 
-    done = F.aggregate(received, F.struct(F.lit("").alias("text"), F.lit(False).alias("bind")), step)["text"]
+    done = F.aggregate(received, F.lit(""), step)
     return F.when(done == "", "Unknown").otherwise(done)
 
 
@@ -140,12 +148,11 @@ def trades(lines: DataFrame, key: str = "page_id") -> DataFrame:
     rows = rows.withColumn("_done", done).withColumn("_side", side).where("pos <= _done")
     text = (pos < F.col("_done")) & ~low.isin("i give", C.TRADE_START.lower()) & ~low.startswith("high rune value")
     token = F.trim(F.regexp_replace(line, "•+$", ""))
-    good = (token != "") & ~F.lower(token).isin(*C.TRADE_TAGS, "additional item(s)")
-    collect = lambda v, c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct(pos.alias("p"), v.alias("v"))))), lambda x: x["v"])
+    good = (token != "") & ~F.lower(token).isin(*C.TRADE_TAGS) & (token != "Additional Item(s)")
     last = lambda v: F.max_by(v, F.when(v.isNotNull() & text & (F.col("_side") == 0), pos))
     mode, ladder, version = environment(low)
     parts = rows.groupBy(key, "block").agg(
-        collect(token, text & good & (F.col("_side") == 0)).alias("gave"), collect(token, text & good & (F.col("_side") == 1)).alias("received"),
+        _in_order(token, text & good & (F.col("_side") == 0), pos).alias("gave"), _in_order(token, text & good & (F.col("_side") == 1), pos).alias("received"),
         F.max_by(line, pos).alias("trade_time"), last(mode).alias("mode"), last(ladder).alias("ladder"), last(version).alias("game_version"),
         _first(trade_platform(line), text & (F.col("_side") == 0) & trade_platform(line).isNotNull()).alias("platform"),
     )
@@ -157,11 +164,24 @@ def trades(lines: DataFrame, key: str = "page_id") -> DataFrame:
 def trade_platform(line: Column) -> Column:
     low = F.lower(line)
     parts = F.transform(F.split(low, "•"), F.trim)
-    return F.when(F.array_contains(parts, "pc"), "PC").when(F.contains(low, F.lit("switch")), "Switch").when(F.contains(low, F.lit("playstation")), "Playstation").when(F.contains(low, F.lit("xbox")), "Xbox")
+    return F.when(F.array_contains(parts, "pc"), "PC").when(F.contains(low, F.lit("nintendo switch")), "Switch").when(F.contains(low, F.lit("playstation")), "Playstation").when(F.contains(low, F.lit("xbox")), "Xbox")
 
 
-def marker_trades(lines: DataFrame, key: str = "page_id") -> DataFrame:
-    """For pages without blocks: the line before a marker, and the two lines after it."""
+def marker_trades(lines: DataFrame, key: str = "page_id", closes: Column | None = None) -> DataFrame:
+    """``key, pos, item, price, trade_time``: the line before a marker and the two after it.
+
+    Markers are those of finished trades, without regard to case, or the lines where ``closes`` holds.  Nothing before the
+    first line is ``Unknown``, nothing after the last is empty.
+    """
     w = Window.partitionBy(key).orderBy("pos")
-    near = lines.select(key, "pos", "line", F.lag("line").over(w).alias("item"), F.lead("line").over(w).alias("price"), F.lead("line", 2).over(w).alias("trade_time"))
-    return near.where(F.col("line").isin(*C.TRADE_DONE_MARKERS) & F.col("item").isNotNull()).drop("line")
+    closes = F.lower("line").isin(*[m.lower() for m in C.TRADE_DONE_MARKERS]) if closes is None else closes
+    beside = lambda k, d: F.coalesce(F.lead("line", k).over(w), F.lit(d))
+    near = lines.select(key, "pos", "line", F.coalesce(F.lag("line").over(w), F.lit("Unknown")).alias("item"), beside(1, "").alias("price"), beside(2, "").alias("trade_time"))
+    return near.where(closes).drop("line")
+
+
+def all_trades(lines: DataFrame, key: str = "page_id") -> DataFrame:
+    """``key, block, item, price, trade_time, platform, mode, ladder, game_version``: trades in blocks, and of pages without any, by markers."""
+    blocks = trades(lines, key)
+    others = lines.join(blocks.select(key).distinct(), key, "left_anti")
+    return blocks.unionByName(marker_trades(others, key).withColumnRenamed("pos", "block"), allowMissingColumns=True)

@@ -180,13 +180,11 @@ def q15_price_fold(spark, d):
     return g.select("o_custkey", pages.or_price(F.col("xs")).alias("price"))
 
 
-@query(f"""WITH {_SQL_LINES}, n AS (SELECT *, lag(line) OVER w AS item, lead(line) OVER w AS price, lead(line, 2) OVER w AS trade_time FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-SELECT doc_id, pos::INTEGER AS pos, item, price, trade_time FROM n WHERE ends_with(line, '!!') AND item IS NOT NULL""")
+@query(f"""WITH {_SQL_LINES}, n AS (SELECT *, coalesce(lag(line) OVER w, 'Unknown') AS item, coalesce(lead(line) OVER w, '') AS price, coalesce(lead(line, 2) OVER w, '') AS trade_time FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos::INTEGER AS pos, item, price, trade_time FROM n WHERE ends_with(line, '!!')""")
 def q16_neighbour_records(spark, d):
     """Records from the lines around a marker line."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    near = pages.page_lines(_t(spark, d, "documents"), "doc_id").select("doc_id", "pos", "line", F.lag("line").over(w).alias("item"), F.lead("line").over(w).alias("price"), F.lead("line", 2).over(w).alias("trade_time"))
-    return near.where(F.endswith("line", F.lit("!!")) & F.col("item").isNotNull()).drop("line")
+    return pages.marker_trades(pages.page_lines(_t(spark, d, "documents"), "doc_id"), "doc_id", F.endswith("line", F.lit("!!")))
 
 
 @query("""SELECT conv_id, CASE WHEN count(*) FILTER (WHERE role = 'assistant') = 0 AND bool_or(lower(text) LIKE '%sign in%' OR lower(text) LIKE '%login%') THEN 'login_required' WHEN count(*) FILTER (WHERE role = 'assistant') = 0 THEN 'no_rows' WHEN count(*) FILTER (WHERE role = 'assistant') > 2 THEN 'B' ELSE 'A' END AS code FROM conversations GROUP BY conv_id""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marketlens.plans import page_queries  # noqa: F401  registers its queries
 from marketlens.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
