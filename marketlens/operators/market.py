@@ -26,6 +26,11 @@ def filter_counts(rows: DataFrame, filters: dict[str, str], by: list[str]) -> Da
     return v.groupBy(*by).agg(F.count_if(F.col("_v") == "keep").alias("kept"), F.count_if(F.col("_v") != "keep").alias("hidden"), F.count_if(F.col("_v") == "unknown").alias("unknown"))
 
 
+def normal_filters(values: dict[str, object], fields: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    """A filter value for each field: what is not one of the field's options is no filter."""
+    return {k: v if isinstance(v := values.get(k), str) and v in options else "" for k, options in fields.items()}
+
+
 def describe_filters(filters: dict[str, str]) -> str:
     return " · ".join(v for v in filters.values() if v)
 
