@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketlens.plans import outcome_queries, page_queries  # noqa: F401  they register their queries
+from marketlens.plans import name_queries, outcome_queries, page_queries, run_queries  # noqa: F401  they register their queries
 from marketlens.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
