@@ -129,6 +129,6 @@ def allowed_edits(length: Column, cjk: bool = False, wide: bool = False, loose:
 
 
 def money(value: Column) -> Column:
-    """Dollars with two decimals, or four for less than a cent."""
+    """Dollars with two decimals, or four for less than a cent; exact halves go up."""
     small = F.format_string("$%.4f（約 %.2f 美分）", value, value * 100)
     return F.when(value <= 0, "$0").when(value >= 0.01, F.format_string("$%.2f", value)).otherwise(small)

@@ -70,15 +70,22 @@ def shrinkage(before: DataFrame, after: DataFrame, category: str, most: float =
 
 
 #: Characters of Chinese names, the form of Latin names, and the words of translation tables that are no names.
-CJK = r"[\x{4e00}-\x{9fff}]"
-LATIN_NAME = r"^[A-Za-z][A-Za-z0-9'’\- ]*$"
+CJK = r"[\x{3400}-\x{9fff}]"
+LATIN_NAME = r"^[A-Za-z][A-Za-z0-9'’\- .,:]*$"
+ICONS = r"[\x{e000}-\x{f8ff}]"
 TABLE_WORDS = ("普通", "卓越", "精英", "英文", "舊版", "新版", "級別", "新手閱讀")
 
 
-def name_pairs(lines: DataFrame, key: str, set_list: bool = False, least_chars: int = 3, set_chars: int = 12) -> DataFrame:
+def _without_icons(lines: DataFrame, key: str) -> DataFrame:
+    """Lines without a site's own glyphs; those of nothing else are none."""
+    return lines.select(key, "pos", F.trim(F.regexp_replace("line", ICONS, "")).alias("line")).where("line != ''")
+
+
+def name_pairs(lines: DataFrame, key: str, set_list: bool = False, least_chars: int = 4, set_chars: int = 12) -> DataFrame:
     """``key, pos, chinese, english``: pairs that stand on one line as ``name (Name)``, or on two as ``name``, ``(Name)``; as ``name``, ``Name``, ``#7``
     of rune tables; in lists of sets also as a short ``name`` and ``Name``."""
     w = Window.partitionBy(key).orderBy("pos")
+    lines = _without_icons(lines, key)
     rows = lines.select(key, "pos", "line", F.lead("line").over(w).alias("n1"), F.lead("line", 2).over(w).alias("n2"))
     latin = lambda c: F.coalesce(F.rlike(c, F.lit(LATIN_NAME)), F.lit(False))
     has = F.rlike("line", F.lit(CJK))
@@ -92,8 +99,9 @@ def name_pairs(lines: DataFrame, key: str, set_list: bool = False, least_chars:
     return rows.select(key, "pos", F.when(same, F.trim(one)).otherwise(F.col("line")).alias("chinese"), english.alias("english")).where("english is not null")
 
 
-def table_pairs(lines: DataFrame, key: str, most: int = 2, least_chars: int = 3, most_chars: int = 20) -> DataFrame:
+def table_pairs(lines: DataFrame, key: str, most: int = 2, least_chars: int = 4, most_chars: int = 20) -> DataFrame:
     """``key, pos, chinese, english``: each English name with the up to ``most`` Chinese lines that follow it; any other line ends it."""
+    lines = _without_icons(lines, key)
     chinese = F.rlike("line", F.lit(CJK))
     names = ~chinese & F.rlike("line", F.lit(LATIN_NAME)) & (F.length("line") >= least_chars)
     w = Window.partitionBy(key).orderBy("pos")

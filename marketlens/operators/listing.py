@@ -94,7 +94,7 @@ def listing_id(body: Column) -> Column:
     return F.when(~F.rlike(first, F.lit(r"^[\[{]")), first)
 
 
-def captcha_required(features: Column, skip: Column, feature: str = "captcha") -> Column:
+def captcha_required(features: Column, skip: Column, feature: str = "LISTINGS:CAPTCHA") -> Column:
     return F.coalesce(F.array_contains(features, feature), F.lit(False)) & ~F.coalesce(skip, F.lit(False))
 
 

@@ -32,13 +32,16 @@ def cascade(names: DataFrame, key: str, layers: list[tuple[str, DataFrame]]) ->
 def suggestions(typed: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
     """The names that begin with, or have a word that begins with, each typed key; shorter first.
 
-    Both sides have ``key``; ``names`` also ``name`` and ``at``, its place in the dimension.  Words are joined by their first two
-    letters, so only names that share them meet.
+    Both sides have ``key``; ``names`` also ``name`` and ``at``, its place in the dimension.  They meet on the whole typed key: a name
+    offers what begins at each of its words, in the lengths that were typed.
     """
-    head = lambda c: F.substring(c, 1, 2)
-    words = names.select("key", "name", "at", F.explode(F.array_distinct(F.transform(F.split("key", " "), head))).alias("head"))
-    t = typed.where(F.length("key") >= 2).select(F.col("key").alias("typed")).distinct().withColumn("head", head(F.col("typed")))
-    met = t.join(words, "head").where(F.col("key") != F.col("typed"))
+    t = typed.where(F.length("key") >= 2).select(F.col("key").alias("typed")).distinct()
+    lengths = F.array(*[F.lit(r[0]) for r in t.select(F.length("typed")).distinct().collect()]).cast("array<int>")
+    w = F.split("key", " ")
+    tails = F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_join(F.slice(w, i, F.size(w)), " "))
+    heads = F.flatten(F.transform(tails, lambda x: F.transform(F.filter(lengths, lambda n: n <= F.length(x)), lambda n: F.substring(x, F.lit(1), n))))
+    words = names.select("key", "name", "at", F.explode(F.array_distinct(heads)).alias("typed"))
+    met = t.join(words, "typed").where(F.col("key") != F.col("typed"))
     rank = F.when(F.startswith("key", F.col("typed")), 0).when(F.contains(F.concat(F.lit(" "), "key"), F.concat(F.lit(" "), "typed")), 1)
     met = met.withColumn("rank", rank).where("rank is not null").select("typed", "name", "rank", "at").distinct()
     n = F.row_number().over(Window.partitionBy("typed").orderBy("rank", F.length("name"), "at"))
@@ -48,10 +51,10 @@ def suggestions(typed: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame
 def fuzzy(pieces: DataFrame, names: DataFrame, allowed: Column, limit: int = 3) -> DataFrame:
     """The closest names to each text piece, with ``distance`` within ``allowed`` (over the name's length, ``size``).
 
-    Pieces and names meet on a shared part: both are cut into one part more than the most edits, so a name within reach has
-    at least one part of the piece unchanged, moved by at most as many places.
+    Pieces and names meet on a shared part: both are cut into one part more than the most edits that any name allows, so a name within
+    reach has at least one part of the piece unchanged, moved by at most as many places.
     """
-    most = 3
+    most = names.select(F.length("name").alias("size")).distinct().agg(F.max(allowed)).first()[0] or 0
     cut = lambda c, n, i: F.substring(c, (F.floor(n * i / F.lit(most + 1)) + 1).cast("int"), (F.floor(n * (i + 1) / F.lit(most + 1)) - F.floor(n * i / F.lit(most + 1))).cast("int"))
     own = names.select("name", F.length("name").alias("size")).distinct().withColumn("allowed", allowed)
     parts = own.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: cut(F.col("name"), F.col("size"), i))).alias("i", "part"))

@@ -68,7 +68,7 @@ def q35_replies(spark, d):
     k = F.col("event_id")
     status = F.when(k % 8 == 0, None).when(k % 8 == 1, 401).when(k % 8 == 2, 422).when(k % 8 == 3, 400).when(k % 8 == 4, 500).otherwise(200)
     body = F.when(k % 8 == 2, '{"message": "Captcha needed"}').when(k % 8 == 3, '{"message": "bad"}').when(k % 8 == 4, "oops").when(k % 8 == 5, '{"error": "limit"}').when(k % 8 == 6, '{"listing": {"id": 12}}').otherwise('{"id": "77"}')
-    captcha = listing.captcha_required(F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("captcha"))).otherwise(F.array(F.lit("a"))), k % 5 == 0)
+    captcha = listing.captcha_required(F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("LISTINGS:CAPTCHA"))).otherwise(F.array(F.lit("a"))), k % 5 == 0)
     saved = F.element_at(F.array(F.lit("pc"), F.lit("xbox"), F.lit("wii"), F.lit("")), (k % 4 + 1).cast("int"))
     return _t(spark, d, "events").select("event_id", listing.reply_reason(status, body).alias("reason"), listing.listing_id(body).alias("id"), captcha.alias("captcha"), listing.defaulted(saved, ("pc", "xbox", "switch"), "pc").alias("platform"))
 

@@ -235,7 +235,7 @@ def q21_cascade(spark, d):
     return matching.cascade(_t(spark, d, "customer").select("c_custkey"), "c_custkey", [("supplier", supplier), ("part", part)])
 
 
-_FUZZY = """WITH n AS (SELECT DISTINCT substr(p_type || ' ' || p_brand, 1, 24) AS name FROM part), p AS (SELECT DISTINCT replace(name, 'a', 'e') AS piece FROM n),
+_FUZZY = """WITH n AS (SELECT DISTINCT p_type || ' ' || p_brand AS name FROM part), p AS (SELECT DISTINCT replace(name, 'a', 'e') AS piece FROM n),
 m AS (SELECT piece, name, levenshtein(piece, name) AS distance FROM p, n WHERE abs(length(piece) - length(name)) <= 2),
 r AS (SELECT piece, name, distance, distance * 100 - least(length(name), 40) AS score FROM m WHERE distance <= CASE WHEN length(name) <= 5 THEN 1 ELSE 2 END)
 SELECT * FROM (SELECT piece, name, distance::INTEGER AS distance, score::INTEGER AS score, (row_number() OVER (PARTITION BY piece ORDER BY score, name))::INTEGER AS rn FROM r) WHERE rn <= 3"""
@@ -244,7 +244,7 @@ SELECT * FROM (SELECT piece, name, distance::INTEGER AS distance, score::INTEGER
 @query(_FUZZY)
 def q22_fuzzy_names(spark, d):
     """The three closest names to misread ones."""
-    names = _t(spark, d, "part").select(F.substring(F.concat_ws(" ", "p_type", "p_brand"), 1, 24).alias("name")).distinct()
+    names = _t(spark, d, "part").select(F.concat_ws(" ", "p_type", "p_brand").alias("name")).distinct()
     pieces = names.select(F.replace("name", F.lit("a"), F.lit("e")).alias("piece"))
     return matching.fuzzy(pieces, names, T.allowed_edits(F.col("size")))
 
@@ -540,3 +540,32 @@ def q49_read_again(spark, d):
     rows = _t(spark, d, "documents").select("doc_id", flat.alias("x"))
     before = rows.select((F.col("doc_id") + 1).alias("doc_id"), F.col("x").alias("y"))
     return rows.join(before, "doc_id").select("doc_id", matching.same_reading(F.col("y"), F.col("x")).alias("again"))
+
+
+_LOOSE = _FUZZY.replace("abs(length(piece) - length(name)) <= 2", "abs(length(piece) - length(name)) <= 9").replace("CASE WHEN length(name) <= 5 THEN 1 ELSE 2 END", "greatest(CASE WHEN length(name) <= 5 THEN 1 ELSE 2 END, round(length(name) * 0.4))").replace("replace(name, 'a', 'e')", "translate(name, 'aEo#1', 'eAu+7')")
+
+
+@query(_LOOSE)
+def q22_loose_names(spark, d):
+    """The three closest names within two fifths of a name's length."""
+    names = _t(spark, d, "part").select(F.concat_ws(" ", "p_type", "p_brand").alias("name")).distinct()
+    pieces = names.select(F.translate("name", "aEo#1", "eAu+7").alias("piece"))
+    return matching.fuzzy(pieces, names, T.allowed_edits(F.col("size"), loose=True))
+
+
+@query("""WITH q AS (SELECT DISTINCT 'fine ' || lower(p_type) || ' ' || lower(p_brand) AS query FROM part), b AS (SELECT DISTINCT lower(p_type) || ' ' || lower(p_brand) AS base FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT lower(p_brand) FROM part WHERE p_partkey % 3 = 0),
+r AS (SELECT query, i, array_to_string(string_split(query, ' ')[i:], ' ') AS rest FROM q, range(1, 12) t(i) WHERE i <= len(string_split(query, ' '))) SELECT query, arg_min(rest, i) AS base FROM r JOIN b ON rest = base GROUP BY query""")
+def q21_strip_to_base(spark, d):
+    """The longest remainder of a name that is a base."""
+    part = _t(spark, d, "part")
+    asked = part.select(F.concat_ws(" ", F.lit("fine"), F.lower("p_type"), F.lower("p_brand")).alias("query")).distinct()
+    bases = part.where("p_partkey % 2 = 0").select(F.concat_ws(" ", F.lower("p_type"), F.lower("p_brand")).alias("base")).union(part.where("p_partkey % 3 = 0").select(F.lower("p_brand")))
+    return matching.strip_to_base(asked, bases)
+
+
+@query("""SELECT event_id, CASE WHEN v <= 0 THEN '$0' WHEN v >= 0.01 THEN printf('$%.2f', v) ELSE printf('$%.4f', v) || '（約 ' || printf('%.2f', v * 100) || ' 美分）' END AS cost FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN event_id % 97 / 12345.0 ELSE event_id % 1000 / 67.0 END::DOUBLE AS v FROM events)""")
+def q36_money(spark, d):
+    """Costs as they are told."""
+    k = F.col("event_id")
+    v = F.when(k % 3 == 0, 0.0).when(k % 3 == 1, k % 97 / F.lit(12345.0)).otherwise(k % 1000 / F.lit(67.0))
+    return _t(spark, d, "events").select("event_id", T.money(v).alias("cost"))
