@@ -2,8 +2,8 @@
 
 Template: ``<|turn|>role<|text|>text<|end|>`` per turn.  Control strings in roles and texts get a backslash
 after their first character, one more than they have, so no text can pass for a mark and everything can be
-read back.  Turns are formatted in order of ``turn`` in windows of at most ``budget`` tokens: prefix sums of turn tokens
-decide where a window ends, always between turns.  Every window begins with the system turn (the
+read back.  Turns are formatted in order of ``turn`` in windows of at most ``budget`` tokens: a running sum of turn tokens, which starts anew
+with what each window repeats, decides where a window ends, always between turns.  Every window begins with the system turn (the
 conversation's first, if its role is system) and with as many of the turns before it as ``history`` tokens
 hold.  The loss mask covers assistant texts, each in the first window that has it; repeats are masked out.
 """

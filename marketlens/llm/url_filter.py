@@ -114,7 +114,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], listing: DataFram
     urls = urls.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     judged = urls.withColumn("rule", rule).withColumn("own", verdict)
-    open_urls = judged.where("rule is null and host != ''").select("host", "path").distinct()
+    open_urls = judged.where("rule is null and host != ''").select("host", "path")
     keyed = open_urls.withColumn("key", F.struct("host", "path"))
     hits = listed(keyed, "key", F.col("host"), F.col("path"), listing, entry_col).select(F.col("_key.host").alias("host"), F.col("_key.path").alias("path"), F.lit(True).alias("hit"))
     return judged.join(hits, ["host", "path"], "left").select(
