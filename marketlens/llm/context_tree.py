@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.arrays import pack, unpack
-from marketlens.llm.lookups import answers, chunks, read_blob, totals
+from marketlens.llm.lookups import answers, chunks, read_blob, shard_count, totals
 from marketlens.llm.shingles import mix64, runs, word_hashes
 from marketlens.storage import Scratch
 
@@ -253,8 +253,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "context-tree")
-    shards = shards or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.lit(None).cast("string").alias("tag"))
+    shards = shards or shard_count(rows)
     written = scratch.table(chunks(rows, lambda t, flags: chunk_keys(t, flags, shards), shards, chunk_bytes), "chunks")
     blobs, asked = written.where("kind = -1").select("chunk", "blob"), written.where("kind >= 0").select("chunk", "kind", "shard", "keys", "counts")
     n_chunks = blobs.select("chunk").count()

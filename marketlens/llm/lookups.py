@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from marketlens.llm.arrays import pack, unpack
 
 CHUNK = "chunk long, kind int, shard int, n long, keys binary, counts binary, blob binary"
-#: Chunks whose keys meet in one lane.
-_LANE = 64
+#: Chunks whose keys are summed in one lane, and chunks that get their answers in one: each lane of the latter gets a shard's values once.
+_LANE, _ANSWER_LANE = 64, 512
+#: Bytes of text for each shard, about.
+_SHARD_BYTES = 16_000_000
 Keys = Callable[[list[bytes], np.ndarray], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
@@ -90,8 +92,14 @@ def merge(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return k[first], np.add.reduceat(c, first)
 
 
-def _lanes(n_chunks: int) -> int:
-    return max(1, -(-n_chunks // _LANE))
+def _lanes(n_chunks: int, chunks: int) -> int:
+    return max(1, -(-n_chunks // chunks))
+
+
+def shard_count(texts: DataFrame) -> int:
+    """Shards for the column ``text``: as many as its size asks for, and at least one for each shuffle partition."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(16, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // _SHARD_BYTES)
 
 
 def totals(asked: DataFrame, n_chunks: int) -> DataFrame:
@@ -102,7 +110,7 @@ def totals(asked: DataFrame, n_chunks: int) -> DataFrame:
         return pd.DataFrame({"kind": [pdf["kind"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "keys": [pack(k, ascending=True)], "counts": [pack(c)]})
 
     schema = "kind int, shard int, keys binary, counts binary"
-    lanes = _lanes(n_chunks)
+    lanes = _lanes(n_chunks, _LANE)
     rows = asked.select("kind", "shard", "keys", "counts", F.pmod(F.xxhash64("chunk"), F.lit(lanes)).alias("lane"))
     if lanes > 1:
         rows = rows.groupBy("kind", "shard", "lane").applyInPandas(add, schema)
@@ -120,7 +128,7 @@ def answers(asked: DataFrame, valued: DataFrame, n_chunks: int, dtype: str) -> D
                 out.append((chunk, kind, shard, pack(values[np.searchsorted(keys, unpack(k, np.uint64, ascending=True))])))
         return pd.DataFrame(out, columns=["chunk", "kind", "shard", "values"])
 
-    lanes = _lanes(n_chunks)
+    lanes = _lanes(n_chunks, _ANSWER_LANE)
     own = asked.select("chunk", "kind", "shard", "keys", F.pmod(F.xxhash64("chunk"), F.lit(lanes)).cast("long").alias("lane"))
     known = valued.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
     both = own.groupBy("kind", "shard", "lane").cogroup(known.groupBy("kind", "shard", "lane"))
