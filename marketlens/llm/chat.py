@@ -2,10 +2,13 @@
 
 Template: ``<|turn|>role<|text|>text<|end|>`` per turn.  Control strings in roles and texts get a backslash
 after their first character, one more than they have, so no text can pass for a mark and everything can be
-read back.  Turns are formatted in order of ``turn`` in windows of at most ``budget`` tokens: a running sum of turn tokens, which starts anew
-with what each window repeats, decides where a window ends, always between turns.  Every window begins with the system turn (the
-conversation's first, if its role is system) and with as many of the turns before it as ``history`` tokens
-hold.  The loss mask covers assistant texts, each in the first window that has it; repeats are masked out.
+read back.
+
+Turns go in order of ``turn`` into windows of at most ``budget`` tokens.  The prefix sum of turn tokens is cut into cells of what
+the budget leaves beside the system turn and twice ``history``: a turn belongs to the cell that its first token lies in, so every
+window is known without the one before it.  A turn that runs over its cell's end by more than ``history`` could is a window of
+its own.  Every window begins with the system turn (the conversation's first, if its role is system) and with as many of the
+turns before it as ``history`` tokens hold, which prefix sums tell too.  The loss mask covers assistant texts, each in the first window that has it; repeats are masked out.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Strings that templates of chat models use as marks.
@@ -35,23 +38,48 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: m[0][0] + m[0][2:], text)
 
 
+def _spans(rows: DataFrame, budget: int, history: int) -> DataFrame:
+    """``conv_id, window, n, repeat, role, text, tokens``: what each window holds, in order of ``n``, from prefix sums of turn tokens.
+
+    ``n`` is a turn's place in its conversation, 0 for a system turn that is repeated.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = rows.withColumn("n", F.row_number().over(order)).withColumn("first", F.first(F.struct("role", "text", "tokens")).over(order))
+    led = F.col("first.role") == "system"
+    leads = led & (F.col("n") == 1)
+    placed = placed.withColumn("system", F.when(led, F.col("first.tokens")).otherwise(0)).withColumn("own", F.when(leads, 0).otherwise(F.col("tokens")))
+    at = Window.partitionBy("conv_id").orderBy("n")
+    placed = placed.withColumn("before", F.sum("own").over(at) - F.col("own"))
+    placed = placed.withColumn("room", F.greatest(F.lit(budget - 2 * history) - F.col("system"), F.lit(max(history, 1))))
+    cell = lambda x: F.floor(x / F.col("room"))
+    alone = (F.col("own") > history) & (cell(F.col("before") + F.col("own") - 1) > cell(F.col("before")))
+    placed = placed.withColumn("alone", alone).withColumn("cell", 2 * cell(F.col("before")) + F.col("alone").cast("long"))
+    placed = placed.withColumn("starts", ~F.lag("cell").over(at).eqNullSafe(F.col("cell")))
+    placed = placed.withColumn("window", (F.sum(F.col("starts").cast("int")).over(at) - 1).cast("int"))
+    reach = F.when(F.col("alone"), F.least(F.lit(history), F.greatest(F.lit(0), F.lit(budget) - F.col("own") - F.col("system")))).otherwise(history)
+    start = F.when(F.col("starts"), F.struct("window", (F.col("before") - reach).alias("since")))
+    # The windows that begin within reach after a turn: a turn has seven tokens or more, so this list is as short as the history.
+    ahead = Window.partitionBy("conv_id").orderBy("before").rangeBetween(1, max(history, 1))
+    placed = placed.withColumn("ahead", F.collect_list(start).over(ahead))
+    entry = lambda window, repeat, of, n: F.struct(window.cast("int").alias("window"), F.lit(repeat).alias("repeat"), of["role"].alias("role"), of["text"].alias("text"), of["tokens"].cast("long").alias("tokens"), n.cast("int").alias("n"))
+    turn = {c: F.col(c) for c in ("role", "text", "tokens")}
+    again = F.transform(F.filter("ahead", lambda w: ~leads & (w["since"] <= F.col("before"))), lambda w: entry(w["window"], True, turn, F.col("n")))
+    lead = F.when(led & F.col("starts") & (F.col("window") > 0), F.array(entry(F.col("window"), True, F.col("first"), F.lit(0)))).otherwise(F.array())
+    return placed.select("conv_id", F.explode(F.concat(F.array(entry(F.col("window"), False, turn, F.col("n"))), again, lead)).alias("e")).select("conv_id", "e.*")
+
+
 @dataclass
 class _Open:
-    """The window being filled, and what the next one may repeat."""
+    """The window being written."""
 
-    conv: int | None
-    number: int = 0
-    system: tuple[str, str, int] | None = None
-    recent: list[tuple[str, str, int]] = field(default_factory=list)
+    key: tuple
     parts: list[str] = field(default_factory=list)
     chars: int = 0
     tokens: int = 0
     repeated: int = 0
-    fresh: int = 0
     loss: list[dict] = field(default_factory=list)
 
-    def add(self, turn: tuple[str, str, int], repeat: bool) -> None:
-        role, text, tokens = turn
+    def add(self, role: str, text: str, tokens: int, repeat: bool) -> None:
         head, body = f"<|turn|>{escape(role)}<|text|>", escape(text)
         if not repeat and role == "assistant":
             self.loss.append({"start": self.chars + len(head), "end": self.chars + len(head) + len(body)})
@@ -59,41 +87,9 @@ class _Open:
         self.chars += len(self.parts[-1])
         self.tokens += tokens
         self.repeated += repeat
-        self.fresh += not repeat
 
     def row(self) -> tuple:
-        return self.conv, self.number, "".join(self.parts), self.tokens, self.repeated, self.loss
-
-
-def _windows(turns: Iterator[tuple], budget: int, history: int) -> Iterator[tuple]:
-    """Windows of turns that come sorted by conversation; holds one window at a time."""
-    w: _Open | None = None
-    for conv, role, text, tokens in turns:
-        turn = (role, text, tokens)
-        if w is None or w.conv != conv:
-            if w is not None:
-                yield w.row()
-            w = _Open(conv, system=turn if role == "system" else None)
-        elif w.fresh and w.tokens + tokens > budget:
-            yield w.row()
-            kept: list = []
-            room = min(history, budget - tokens - (w.system[2] if w.system else 0))
-            for t in reversed(w.recent):
-                room -= t[2]
-                if room < 0:
-                    break
-                kept.insert(0, t)
-            w = _Open(conv, w.number + 1, w.system, kept)
-            for t in ([w.system] if w.system else []) + kept:
-                w.add(t, repeat=True)
-        w.add(turn, repeat=False)
-        if turn is not w.system:
-            w.recent.append(turn)
-            held = sum(t[2] for t in w.recent)
-            while held > history and w.recent:
-                held -= w.recent.pop(0)[2]
-    if w is not None:
-        yield w.row()
+        return *self.key, "".join(self.parts), self.tokens, self.repeated, self.loss
 
 
 def _id(x) -> int | None:
@@ -105,32 +101,34 @@ def format_conversations(conversations: DataFrame, conv_col: str = "conv_id", tu
 
     ``n_repeated`` turns at the front are repeats; ``loss`` are half-open code point spans of ``text``.  A turn's tokens are
     estimated as a quarter of its formatted bytes, rounded up.  A turn over the budget has a window of its own, longer
-    than the budget.  Null texts and roles count as empty, null turns come first, rows with the same turn are all kept
-    and go by role and text.  Rows with a null conversation form one conversation.  Rows are sorted by a shuffle on the conversation, and read as a stream, so a
-    conversation of any length needs no more memory than a window.  Other columns are ignored.
+    than the budget; a system turn that leaves no room makes each window longer by what is missing.  Null texts and roles count
+    as empty, null turns come first, rows with the same turn are all kept and go by role and text.  Rows with a null
+    conversation form one conversation.  A conversation is sorted and summed by one task, which spills; its windows are written by many,
+    each holding one window at a time.  Other columns are ignored.
     """
     rows = conversations.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     tokens = F.ceil((F.octet_length("role") + F.octet_length("text") + 26) / F.lit(4)).cast("long")
-    rows = rows.withColumn("tokens", tokens).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    spans = _spans(rows.withColumn("tokens", tokens), budget, history).repartition("conv_id", "window").sortWithinPartitions("conv_id", "window", "n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turns = (
-            (_id(c), role, text, int(n))
-            for pdf in batches
-            for c, role, text, n in zip(pdf["conv_id"], pdf["role"], pdf["text"], pdf["tokens"])
-        )
-        held: list = []
-        for row in _windows(turns, budget, history):
-            held.append(row)
-            if len(held) >= 500:
-                yield _frame(held)
-                held = []
-        if held:
-            yield _frame(held)
-
-    return rows.mapInPandas(run, WINDOW)
+        w, held = None, []
+        for pdf in batches:
+            for conv, window, repeat, role, text, n in zip(pdf["conv_id"], pdf["window"], pdf["repeat"], pdf["role"], pdf["text"], pdf["tokens"]):
+                key = _id(conv), int(window)
+                if w is None or w.key != key:
+                    if w is not None:
+                        held.append(w.row())
+                    w = _Open(key)
+                w.add(role, text, int(n), bool(repeat))
+                if len(held) >= 500:
+                    yield _frame(held)
+                    held = []
+        if w is not None:
+            yield _frame([*held, w.row()])
+
+    return spans.mapInPandas(run, WINDOW)
 
 
 def _frame(rows: list) -> pd.DataFrame:

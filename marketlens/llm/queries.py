@@ -94,6 +94,28 @@ ORACLE_SQL: dict[str, str] = {
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS clean FROM documents),
 g AS (SELECT clean, count(*) AS group_size, arg_min(doc_id, (-chars, doc_id)) AS keep_id FROM t GROUP BY clean)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(clean) AS text_sha256 FROM t JOIN g USING (clean)""",
+    "op6_chat_windows": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, ceil((strlen(role) + strlen(text) + 26) / 4.0)::BIGINT AS k,
+  23 + length(regexp_replace(regexp_replace(role, '<(\\*(\||/?s>|/?SYS>))', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g'))
+     + length(regexp_replace(regexp_replace(text, '<(\\*(\||/?s>|/?SYS>))', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g')) AS chars FROM t),
+f AS (SELECT *, first_value(role) OVER w = 'system' AS led, first_value(k) OVER w AS k1 FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
+s AS (SELECT *, CASE WHEN led THEN k1 ELSE 0 END AS sys, led AND n = 1 AS leads, CASE WHEN led AND n = 1 THEN 0 ELSE k END AS own FROM f),
+p AS (SELECT *, greatest(2048 - 512 - sys, 256) AS room, (sum(own) OVER (PARTITION BY conv_id ORDER BY n) - own)::BIGINT AS before FROM s),
+c AS (SELECT *, own > 256 AND (before + own - 1) // room > before // room AS alone, before // room AS cell FROM p),
+b AS (SELECT *, lag(cell) OVER w IS DISTINCT FROM cell OR lag(alone) OVER w IS DISTINCT FROM alone AS starts FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
+r AS (
+  SELECT w.conv_id, sum(i.chars) AS chars FROM b w JOIN b i ON w.conv_id IS NOT DISTINCT FROM i.conv_id AND w.starts AND w.n > 1
+    AND (i.leads OR i.before < w.before AND i.before >= w.before - CASE WHEN w.alone THEN least(256, greatest(0, 2048 - w.own - w.sys)) ELSE 256 END)
+  GROUP BY w.conv_id),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY n), '') AS loss, sum(chars) AS chars
+  FROM b GROUP BY conv_id)
+SELECT g.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (g.chars + coalesce(r.chars, 0))::BIGINT AS formatted_chars
+FROM g LEFT JOIN r ON g.conv_id IS NOT DISTINCT FROM r.conv_id""",
     "op7_url_filter": rf"""
 WITH u AS (SELECT page_id, url, position('://' IN coalesce(url, '')) AS p FROM pages),
 h AS (SELECT page_id, CASE WHEN p > 0 THEN substr(url, p + 3) ELSE '' END AS rest FROM u),

@@ -157,3 +157,37 @@ def test_pipeline_on_edge_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     spark.createDataFrame([], ", ".join(SCHEMA.split(", ")[:5])).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_chat_query_and_its_sql(spark, sf_dir):
+    sys.path.insert(0, str(Path(__file__).parents[1]))
+    from oracle import rows_of_spark, rows_of_sql
+
+    assert rows_of_spark(queries.op6_chat_windows(spark, sf_dir)) == rows_of_sql(queries.ORACLE_SQL["op6_chat_windows"], sf_dir)
+
+
+def test_chat_windows_by_plain_prefix_sums(spark):
+    """Budget 128, history 40: windows, repeats and tokens of each conversation as a loop over its turns finds them."""
+    want = []
+    by = defaultdict(list)
+    for conv, turn, role, text, *_ in conversations():
+        by[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    for conv, turns in by.items():
+        turns = [(r, t, -(-(len(r.encode()) + len(t.encode()) + 26) // 4)) for *_, r, t in sorted(turns)]
+        system = turns[0][2] if turns[0][0] == "system" else 0
+        room, before, rows, last, held = max(128 - 80 - system, 40), 0, [], None, []
+        for n, (_, _, k) in enumerate(turns):
+            own = 0 if system and n == 0 else k
+            cell = before // room, own > 40 and (before + own - 1) // room > before // room
+            if cell != last:
+                reach = min(40, max(0, 128 - own - system)) if cell[1] else 40
+                past = [q for q, at in held if at >= before - reach]
+                rows.append([conv, len(rows), (system if rows else 0) + sum(past), len(past) + bool(system and rows)])
+                last = cell
+            rows[-1][2] += k
+            if own:
+                held.append((k, before))
+            before += own
+        want += map(tuple, rows)
+    found = chat.format_conversations(spark.createDataFrame(conversations(), TURNS), budget=128, history=40)
+    assert sorted(map(tuple, found.select("conv_id", "window", "n_tokens", "n_repeated").collect()), key=repr) == sorted(want, key=repr)
