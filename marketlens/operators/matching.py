@@ -84,3 +84,17 @@ def same_reading(a: Column, b: Column, least: float = 0.6, least_chars: int = 40
     """Whether two texts without blanks are readings of one record: equal, or both long and alike in their bigrams."""
     long = (F.length(a) >= least_chars) & (F.length(b) >= least_chars)
     return (a == b) | (long & (bigram_similarity(a, b) >= least))
+
+
+def first_with_text(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Adds ``first_id``, the smallest id of any record with the same text without blanks, and ``again``: whether that is another one.
+
+    Null texts count as empty.  Texts meet by their digest, counted map-side first, so a text that many records share sends one row a task.
+    A null id comes first only where all of its text's ids are null; such rows are not ``again``.
+    Columns of these names, and ``_key``, are replaced.
+    """
+    key = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\n\r\f\x0b]+", ""), 256)
+    keyed = records.drop("first_id", "again", "_key").withColumn("_key", key)
+    first = keyed.groupBy("_key").agg(F.min(id_col).alias("first_id"))
+    met = keyed.join(first, "_key").drop("_key")
+    return met.withColumn("again", F.coalesce(F.col("first_id") != F.col(id_col), F.lit(False)))

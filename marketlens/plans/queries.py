@@ -542,6 +542,13 @@ def q49_read_again(spark, d):
     return rows.join(before, "doc_id").select("doc_id", matching.same_reading(F.col("y"), F.col("x")).alias("again"))
 
 
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', '', 'g') AS x FROM documents), f AS (SELECT x, min(doc_id) AS first_id FROM t GROUP BY x)
+SELECT doc_id, first_id, first_id != doc_id AS again FROM t JOIN f USING (x)""")
+def q49_equal_before(spark, d):
+    """Records whose text, blanks aside, another record with a smaller id has, wherever that one is."""
+    return matching.first_with_text(_t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").drop("text")
+
+
 _LOOSE = _FUZZY.replace("abs(length(piece) - length(name)) <= 2", "abs(length(piece) - length(name)) <= 9").replace("CASE WHEN length(name) <= 5 THEN 1 ELSE 2 END", "greatest(CASE WHEN length(name) <= 5 THEN 1 ELSE 2 END, round(length(name) * 0.4))").replace("replace(name, 'a', 'e')", "translate(name, 'aEo#1', 'eAu+7')")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from marketlens import registry
-from marketlens.operators import affixes, ledger
+from marketlens.operators import affixes, ledger, matching
 from marketlens.streaming import events
 from tests.oracle import rows_of_spark, rows_of_sql
 
@@ -106,3 +106,12 @@ def test_affix_lines(spark):
 def test_number_repair(spark, shown, value):
     row = affixes.read_numbers(spark.range(1), F.lit(shown), F.lit(True), F.lit(120)).first()
     assert (row["min"], row["confident"]) == (value, False)
+
+
+def test_equal_texts_of_nulls_blanks_and_repeated_rows(spark):
+    rows = [(3, "a b"), (1, "ab\n"), (1, "ab\n"), (2, None), (5, " "), (None, "x"), (None, "A"), (4, "A")]
+    found = matching.first_with_text(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()
+    assert sorted(((r["id"], r["first_id"], r["again"]) for r in found), key=repr) == sorted(
+        [(3, 1, True), (1, 1, False), (1, 1, False), (2, 2, False), (5, 2, True), (None, None, False), (None, 4, False), (4, 4, False)], key=repr
+    )
+    assert matching.first_with_text(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
