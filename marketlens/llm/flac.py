@@ -1,4 +1,4 @@
-"""A FLAC codec for mono samples in numpy: frames with constant, verbatim, fixed and linear predictors.
+"""A FLAC codec in numpy: frames with constant, verbatim, fixed and linear predictors; the encoder takes mono samples.
 
 The encoder takes the cheapest of a constant, verbatim samples and the fixed predictors with Rice-coded
 residuals (and a linear predictor if given coefficients).  The decoder reads all subframe types,
@@ -272,44 +272,80 @@ def _read_subframe(r: _Reader, n: int, width: int) -> np.ndarray:
     return x << wasted
 
 
+def _frame_header(b: bytes, width: int) -> tuple[int, int, int, int]:
+    """Samples, channel code, bits of a sample and bytes of the header at the front of ``b``, its checksum included."""
+    if len(b) < 6 or b[0] != 0xFF or b[1] & 0xFE != 0xF8 or b[3] & 1:
+        raise FlacError("no frame begins here")
+    size, rate, channels, depth = b[2] >> 4, b[2] & 15, b[3] >> 4, (b[3] >> 1) & 7
+    lead = b[4]
+    at = 5 + (0 if lead < 0x80 else 7 - (lead ^ 0xFF).bit_length())
+    stored = {6: 1, 7: 2}.get(size, 0)
+    if size == 0 or rate == 15 or channels > 10 or depth == 3 or len(b) <= at + stored + 2:
+        raise FlacError("a frame header has a reserved code or ends early")
+    if stored:
+        n = int.from_bytes(b[at : at + stored], "big") + 1
+    else:
+        n = 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
+    at += stored + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if crc8(b[:at]) != b[at]:
+        raise FlacError("a frame header's checksum differs")
+    return n, channels, (width, 8, 12, 0, 16, 20, 24, 32)[depth], at + 1
+
+
+def _read_channels(r: _Reader, n: int, code: int, width: int) -> np.ndarray:
+    """Samples of one frame: a vector of a mono one, else a row for each sample."""
+    if code < 8:
+        found = [_read_subframe(r, n, width) for _ in range(code + 1)]
+        return found[0] if code == 0 else np.stack(found, axis=1)
+    a, b = _read_subframe(r, n, width + (code == 9)), _read_subframe(r, n, width + (code != 9))
+    if code == 8:  # left, difference
+        return np.stack([a, a - b], axis=1)
+    if code == 9:  # difference, right
+        return np.stack([a + b, b], axis=1)
+    middle = (a << 1) | (b & 1)
+    return np.stack([(middle + b) >> 1, (middle - b) >> 1], axis=1)
+
+
 def decode(stream: bytes) -> tuple[dict, list[tuple[int, np.ndarray]]]:
-    """Stream facts, and ``(sample offset, samples)`` of each frame."""
+    """Stream facts, and ``(sample offset, samples)`` of each frame.
+
+    A frame ends where its last subframe does, so a seek table is not needed: one that is sparse, or has placeholders, or is missing does
+    not matter.  Where the facts name no longest frame, one is taken to be at most twice as long as its samples stored as they are.
+    """
     if stream[:4] != b"fLaC":
         raise FlacError("not a FLAC stream")
-    at, info, seek = 4, None, []
+    at, info = 4, None
     while True:
+        if at + 4 > len(stream):
+            raise FlacError("the stream ends early")
         head, size = stream[at], int.from_bytes(stream[at + 1 : at + 4], "big")
         body = stream[at + 4 : at + 4 + size]
         if head & 0x7F == 0:
             packed = int.from_bytes(body[10:18], "big")
-            info = {"block": int.from_bytes(body[2:4], "big"), "rate": packed >> 44, "width": ((packed >> 36) & 31) + 1, "samples": packed & ((1 << 36) - 1), "md5": body[18:34]}
-        elif head & 0x7F == 3:
-            seek = [int.from_bytes(body[i + 8 : i + 16], "big") for i in range(0, size, 18)]
+            info = {"block": int.from_bytes(body[2:4], "big"), "longest": int.from_bytes(body[7:10], "big"), "rate": packed >> 44, "channels": ((packed >> 41) & 7) + 1}
+            info |= {"width": ((packed >> 36) & 31) + 1, "samples": packed & ((1 << 36) - 1), "md5": body[18:34]}
         at += 4 + size
         if head & 0x80:
             break
     if info is None:
         raise FlacError("no stream facts")
-    ends = [at + s for s in seek[1:]] + [len(stream)] if seek else []
-    if not ends and info["samples"]:
-        raise FlacError("the stream has no seek table")
     blocks, offset, md5 = [], 0, hashlib.md5()
-    for end in ends:
-        frame = stream[at:end]
-        if len(frame) < 10 or frame[:2] != b"\xff\xf8" or frame[2] != 0x70:
-            raise FlacError("no frame begins here")
-        lead = frame[4]
-        extra = 0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1
-        head = 5 + extra + 2
-        if crc8(frame[:head]) != frame[head]:
-            raise FlacError("a frame header's checksum differs")
-        if crc16(frame[:-2]) != int.from_bytes(frame[-2:], "big"):
+    bytes_each = -(-info["width"] // 8)
+    while at < len(stream):
+        n, code, width, head = _frame_header(stream[at : at + 16], info["width"])
+        longest = info["longest"] or 64 + 2 * info["channels"] * n * (width + 1) // 8
+        frame = stream[at : at + longest]
+        r = _Reader(frame[head:-2])
+        try:
+            x = _read_channels(r, n, code, width)
+        except (IndexError, OverflowError) as damage:
+            raise FlacError("a frame is damaged") from damage
+        end = head + -(-r.at // 8)
+        if crc16(frame[:end]) != int.from_bytes(frame[end : end + 2], "big"):
             raise FlacError("a frame's checksum differs")
-        n = int.from_bytes(frame[head - 2 : head], "big") + 1
-        x = _read_subframe(_Reader(frame[head + 1 : -2]), n, info["width"])
         blocks.append((offset, x))
-        md5.update(x.astype("<i2" if info["width"] == 16 else "i1").tobytes())
-        offset, at = offset + n, end
-    if offset != info["samples"] or md5.digest() != info["md5"]:
+        md5.update(x.astype("<i4").reshape(-1, 1).view(np.uint8)[:, :bytes_each].tobytes())
+        offset, at = offset + n, at + end + 2
+    if info["samples"] and offset != info["samples"] or any(info["md5"]) and md5.digest() != info["md5"]:
         raise FlacError("the decoded samples differ from the stream's facts")
     return info, blocks
