@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as T
-from marketlens.operators import names, scan
+from marketlens.operators import names, scan, visits
 from marketlens.sources import publish
 
 
@@ -104,3 +105,26 @@ def test_memory_and_translations(spark):
     zh = spark.createDataFrame([("蛇皮", "蛇皮", "Skin"), ("大蛇皮", "大蛇皮", "Big"), ("蛇", "蛇", "Snake")], "key string, chinese string, english string")
     told = names.suggested_chinese(spark.createDataFrame([("蛇",)], "key string"), zh).orderBy("rn").collect()
     assert [(r["chinese"], r["rank"]) for r in told] == [("蛇皮", 0), ("大蛇皮", 1)]
+
+
+def test_expiring_keys(spark):
+    told = [
+        (0, "get", None, None, None, None), (1, "set", "a", None, None, "1"), (2, "set", "b", 5, "NX", "0"), (3, "expire", None, 10, "XX", "0"), (4, "expire", None, 10, "GT", "0"),
+        (5, "expire", None, 10, "lt", "1"), (6, "expire", None, 3, "NX", "0"), (7, "expire", None, 5, "GT", "0"), (8, "expire", None, 20, "GT", "1"), (9, "expire", None, 30, "LT", "0"),
+        (27, "get", None, None, None, "a"), (28, "get", None, None, None, None), (29, "expire", None, 9, None, "0"), (30, "set", "c", 2, "NX", "1"), (31, "get", None, None, None, "c"), (32, "del", None, None, None, "0"),
+        (33, "set", "d", 1, None, "1"), (34, "set", "d", None, None, "1"), (99, "get", None, None, None, "d"), (100, "del", None, None, None, "1"), (101, "get", None, None, None, None),
+    ]
+    rows = spark.createDataFrame([(k, *t[:5]) for k in ("x", "y") for t in told], "session string, ts long, command string, value string, seconds long, condition string")
+    found = visits.expiring_keys(rows).collect()
+    for k in ("x", "y"):
+        assert [r["result"] for r in sorted((r for r in found if r["session"] == k), key=lambda r: r["ts"])] == [t[5] for t in told]
+    with pytest.raises(Exception, match="unsupported command"):
+        visits.expiring_keys(rows.withColumn("command", F.lit("rename"))).collect()
+
+
+def test_cookies_without_a_pair(spark):
+    rows = spark.createDataFrame([("Path=/; Secure",)], "raw string")
+    with pytest.raises(Exception, match="name=value"):
+        rows.select(visits.cookie_pairs(F.col("raw"))).collect()
+    kept = spark.createDataFrame([(None,), (" ",), ("a=1; Secure; a = 2",)], "raw string").select(visits.cookie_pairs(F.col("raw")).alias("p")).collect()
+    assert [[tuple(x) for x in r["p"]] for r in kept] == [[], [], [("a", "1"), ("a", "2")]]
