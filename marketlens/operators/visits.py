@@ -140,3 +140,47 @@ def expiring_keys(commands: DataFrame) -> DataFrame:
 
     rows = commands.select(F.col("session").cast("string").alias("session"), F.col("ts").cast("long").alias("ts"), "command", "value", F.col("seconds").cast("long").alias("seconds"), "condition")
     return _sessions(rows, "session string, ts long, result string", start, step)
+
+
+def form_edits(edits: DataFrame, limit: int = 8) -> DataFrame:
+    """``session, ts, key, command, done`` of a form's edits ``session, ts, key, command, unavailable``, one session for each form: whether each changed it.
+
+    ``add`` gives a key that the form lacks, switched off; ``remove`` takes it away.  ``on`` is refused for a key that is ``unavailable`` and where
+    ``limit`` are on already; ``off``, ``min`` and ``max`` need the key to be there.  Times of a form should differ.
+    """
+
+    def step(s: dict, e) -> tuple:
+        there, lit = e.key in s["on"], s["on"].get(e.key, False)
+        if e.command == "add":
+            done = not there
+        elif e.command == "on":
+            done = there and not lit and not bool(e.unavailable) and sum(s["on"].values()) < limit
+        elif e.command in ("remove", "off", "min", "max"):
+            done = there and (e.command != "off" or lit)
+        else:
+            raise ValueError(f"unsupported command: {e.command}")
+        if done and e.command == "remove":
+            del s["on"][e.key]
+        elif done and e.command in ("add", "on", "off"):
+            s["on"][e.key] = e.command == "on"
+        return e.key, e.command, done
+
+    rows = edits.select(F.col("session").cast("string").alias("session"), F.col("ts").cast("long").alias("ts"), "key", "command", F.coalesce("unavailable", F.lit(False)).alias("unavailable"))
+    return _sessions(rows, "session string, ts long, key string, command string, done boolean", lambda: {"on": {}}, step)
+
+
+def edited_forms(edits: DataFrame, limit: int = 8) -> DataFrame:
+    """``session, key, on, min, max`` after all ``edits`` (as for ``form_edits``, and a text ``value``); a value that is no number from 0 up is no limit."""
+    done = form_edits(edits, limit).where("done").drop("done")
+    value = edits.select(F.col("session").cast("string").alias("session"), F.col("ts").cast("long").alias("ts"), F.col("value").try_cast("double").alias("number"))
+    rows = done.join(value, ["session", "ts"])
+    number = F.when((F.col("number") >= 0) & (F.col("number") < float("inf")), F.col("number"))
+    # Nothing from before a key's last addition counts.
+    of = lambda *c: F.col("command").isin(*c)
+    last = lambda v, *c: F.max(F.when(of("add", "remove", *c), F.struct("ts", v.alias("v"))))["v"]
+    fresh = of("add")
+    state = rows.groupBy("session", "key").agg(
+        F.max_by("command", F.when(of("add", "remove"), F.col("ts"))).alias("there"), last(of("on"), "on", "off").alias("on"),
+        last(F.when(~fresh, number), "min").alias("min"), last(F.when(~fresh, number), "max").alias("max"),
+    )
+    return state.where("there = 'add'").drop("there")

@@ -128,3 +128,16 @@ def test_cookies_without_a_pair(spark):
         rows.select(visits.cookie_pairs(F.col("raw"))).collect()
     kept = spark.createDataFrame([(None,), (" ",), ("a=1; Secure; a = 2",)], "raw string").select(visits.cookie_pairs(F.col("raw")).alias("p")).collect()
     assert [[tuple(x) for x in r["p"]] for r in kept] == [[], [], [("a", "1"), ("a", "2")]]
+
+
+def test_edited_forms(spark):
+    told = [
+        ("a", "on", None, False), ("a", "add", None, True), ("a", "add", None, False), ("b", "add", None, True), ("c", "add", None, True), ("u", "add", None, True), ("u", "on", None, False),
+        ("a", "on", None, True), ("a", "on", None, False), ("b", "on", None, True), ("c", "on", None, False), ("a", "min", "3", True), ("a", "max", "x", True), ("b", "min", "7", True), ("b", "max", "9", True),
+        ("b", "max", "-1", True), ("a", "remove", None, True), ("c", "on", None, True), ("a", "add", None, True), ("a", "max", "4.5", True), ("z", "min", "1", False), ("b", "off", None, True), ("b", "off", None, False),
+    ]
+    rows = spark.createDataFrame([(s, t, k, c, k == "u", v) for s in ("x", "y") for t, (k, c, v, _) in enumerate(told)], "session string, ts long, key string, command string, unavailable boolean, value string")
+    found = visits.form_edits(rows, limit=2).collect()
+    assert [r["done"] for r in sorted((r for r in found if r["session"] == "x"), key=lambda r: r["ts"])] == [t[3] for t in told]
+    forms = {tuple(r) for r in visits.edited_forms(rows, limit=2).collect()}
+    assert forms == {(s, *f) for s in ("x", "y") for f in (("a", False, None, 4.5), ("b", False, 7.0, None), ("c", True, None, None), ("u", False, None, None))}
