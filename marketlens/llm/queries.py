@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import chat, context_tree, exact_dedup, jaccard_join, language, media, mixing, packing, quality, url_filter
+from marketlens.llm import chat, context_tree, exact_dedup, jaccard_join, language, media, mixing, packing, pieces, quality, url_filter
 
 #: Rules of the URL query: what a fitting rule decides, and its host and path.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -75,11 +75,15 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe_media(media.read_media(media.store_media(_table(spark, sf_dir, "documents"))))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode_texts(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_context_tree_scores, op3_language_id, op4_exact_dedup, op5_quality_classifier,
-        op6_chat_windows, op7_url_filter, op8_ngram_jaccard, op9_source_mixing, op10_media_columns,
+        op6_chat_windows, op7_url_filter, op8_ngram_jaccard, op9_source_mixing, op10_media_columns, op11_sentencepiece,
     )
 }
 
