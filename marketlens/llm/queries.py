@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import chat, context_tree, exact_dedup, jaccard_join, language, media, mixing, packing, pieces, quality, url_filter
+from marketlens.llm import chat, collocations, context_tree, exact_dedup, jaccard_join, language, media, mixing, packing, pieces, quality, repair, url_filter
 
 #: Rules of the URL query: what a fitting rule decides, and its host and path.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -79,11 +79,20 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_texts(_table(spark, sf_dir, "documents")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return repair.repair_digests(repair.damaged(turns), every=turns)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_context_tree_scores, op3_language_id, op4_exact_dedup, op5_quality_classifier,
-        op6_chat_windows, op7_url_filter, op8_ngram_jaccard, op9_source_mixing, op10_media_columns, op11_sentencepiece,
+        op6_chat_windows, op7_url_filter, op8_ngram_jaccard, op9_source_mixing, op10_media_columns, op11_sentencepiece, op12_conversation_repair, op13_collocations,
     )
 }
 
@@ -93,6 +102,60 @@ _FIT = "CASE " + " ".join(
 ) + " END"
 _LISTED = " OR ".join(f"host = '{e[:-1]}' OR ends_with(host, '.{e[:-1]}')" for e in URL_LIST)
 
+
+def _edit(item: str, cost: str, audit: str) -> str:
+    """SQL of a chart item after an edit; null if there is none."""
+    return f"CASE WHEN {item} IS NOT NULL THEN {{'c': ({item}.c + {cost})::BIGINT, 'a': {item}.a || '{audit}'}} END"
+
+
+def _read(item: str, initial: str) -> str:
+    """SQL of a chart item after a row that has to become a role; null for a row that has to go."""
+    reroled = _edit(item, "3 + extra", "R") if initial in "ua" else "NULL"
+    return f"CASE WHEN NOT gone THEN CASE WHEN initial = '{initial}' THEN {_edit(item, 'extra', 'K')} ELSE {reroled} END END"
+
+
+#: SQL of the edits of damaged conversations: a column of the chart is four items, of which an insert leads from the first two to ``m`` and between ``m`` and ``z``.
+_REPAIR_SQL = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT) AS codes FROM conversations),
+fate AS (SELECT * EXCLUDE codes, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, codes), lambda acc, b:
+  list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) % 20 AS fate FROM raw),
+d AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM fate WHERE fate != 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
+r AS (
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut FROM n),
+x AS (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS extra, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM r),
+g AS (
+  SELECT conv_id, count(*) AS size, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(again AND NOT blank) AS duplicate,
+    count_if(cut AND NOT gone) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM x GROUP BY conv_id),
+c AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': ''}} AS b, NULL::STRUCT(c BIGINT, a VARCHAR) AS n, NULL::STRUCT(c BIGINT, a VARCHAR) AS m, NULL::STRUCT(c BIGINT, a VARCHAR) AS z FROM g
+  UNION ALL
+  SELECT conv_id, i, {_edit('b', '4', 'D')}, list_min([{_edit('n', '4', 'D')}, {_read('b', 's')}]),
+    list_min([{_edit('m', '4', 'D')}, {_read('b', 'u')}, {_read('n', 'u')}, {_read('z', 'u')}]), list_min([{_edit('z', '4', 'D')}, {_read('m', 'a')}])
+  FROM (
+    SELECT conv_id, i, b, n, m, list_min([z, {_edit('m', '3', 'I')}]) AS z, initial, gone, extra FROM (
+      SELECT c.conv_id, x.i, b, n, list_min([m, {_edit('b', '3', 'I')}, {_edit('n', '3', 'I')}, {_edit('z', '3', 'I')}]) AS m, z, initial, gone, extra
+      FROM c JOIN x ON x.conv_id IS NOT DISTINCT FROM c.conv_id AND x.i = c.i + 1))),
+e AS (
+  SELECT c.conv_id, list_min([b, z, {_edit('m', '3', 'I')}, {_edit('n', '6', 'II')}]) AS e FROM c JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id AND c.i = g.size),
+s AS (SELECT conv_id, e.a AS audit, unnest(range(1, length(e.a) + 1)) AS p FROM e),
+o AS (
+  SELECT *, length(regexp_replace(substr(audit, 1, p), 'I', '', 'g')) AS i, length(regexp_replace(substr(audit, 1, p), 'D', '', 'g')) AS j,
+    length(regexp_replace(audit, 'D', '', 'g')) % 2 AS led, substr(audit, p, 1) AS edit FROM s),
+t AS (
+  SELECT o.conv_id, string_agg(CASE WHEN edit = 'K' THEN x.role WHEN (j - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE x.text END, chr(10) ORDER BY p) AS whole
+  FROM o LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM o.conv_id AND x.i = o.i AND edit != 'I' WHERE edit != 'D' GROUP BY o.conv_id)
+SELECT v.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.e.c, 0)::BIGINT AS cost, coalesce(e.e.a, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM v.conv_id
+  LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM v.conv_id"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS clean FROM documents),
@@ -140,4 +203,23 @@ linked AS (
 reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN linked l ON r.b = l.a)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(r.b), w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.a = w.doc_id GROUP BY w.doc_id, n.n""",
+    "op12_conversation_repair": _REPAIR_SQL,
+    "op13_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+q AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM (SELECT lang, ws, unnest([1, 2, 3]) AS k FROM q))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 10),
+s AS (SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, a, array_to_string(w[i : i + 1], ' ') AS phrase FROM (SELECT lang, a, w, unnest([1, 2]) AS i FROM c WHERE k = 3)) GROUP BY lang, phrase),
+h AS (SELECT c.* FROM c LEFT JOIN s USING (lang, phrase) WHERE c.k = 3 OR s.longest IS NULL OR 100 * s.longest < 50 * c.a),
+u AS (
+  SELECT h.lang, h.phrase, h.a, j, x.f AS l, y.f AS r, ((1000000::HUGEINT * h.a * h.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM h) h JOIN f x ON x.lang = h.lang AND x.phrase = array_to_string(h.w[1 : j], ' ') AND x.k = j
+    JOIN f y ON y.lang = h.lang AND y.phrase = array_to_string(h.w[j + 1 : h.k], ' ') AND y.k = h.k - j),
+v AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM v)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN t USING (lang) WHERE rank <= 2000""",
 }
