@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +19,10 @@ import tiktoken
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Runs of white space (the property, as the pattern means it) that are too long for the pattern's look-ahead.
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
+
+
 class Encoder:
     """A vocabulary; ``ids`` gives the ids of a text as unsigned 32-bit numbers."""
 
@@ -31,7 +36,15 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype="<u4")
-        return np.asarray(self._bpe.encode(text, allowed_special="all"), dtype="<u4")
+        out, done = [], 0
+        if len(text) >= 100_000:
+            # The pattern takes a run of white space whole at the end of a text, else without its last character, and begins anew behind it.
+            for run in _LONG_BLANK.finditer(text):
+                end = run.end() if run.end() == len(text) else run.end() - 1
+                out += self._bpe.encode(text[done : run.start()], allowed_special="all")
+                out += self._bpe._encode_single_piece(text[run.start() : end])
+                done = end
+        return np.asarray(out + self._bpe.encode(text[done:], allowed_special="all"), dtype="<u4")
 
 
 @lru_cache(maxsize=4)
