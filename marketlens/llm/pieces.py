@@ -26,9 +26,11 @@ from marketlens.llm.shingles import runs
 #: Fixed value: the character that stands for a blank.
 BLANK = "▁"
 #: Bytes of text that are encoded before their rows are handed on; a longer text is alone.
-_ROOM = 4_000_000
-#: Parts up to this many characters are remembered, at most so many of them.
-_SHORT, _REMEMBERED = 48, 400_000
+_ROOM = 1_500_000
+#: Parts, and their pieces, that a worker remembers before it begins anew.
+_PARTS, _PIECES = 250_000, 4_000_000
+#: Parts of at most so many characters are merged in rows of a table, so many of them at a time.
+_SHORT, _TOGETHER = 24, 20_000
 
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -91,6 +93,81 @@ class CharacterMap:
 _LONGEST_PREFIX = 64
 
 
+class _Merges:
+    """Merging of many short parts at once: a row of symbols for each part, of which every round joins one pair.
+
+    Symbols are the pieces, and characters that only occur inside pieces.
+    """
+
+    def __init__(self, rank: dict[str, tuple[float, int]], alphabet: set[str]):
+        self.symbols = [*rank, *sorted(alphabet - rank.keys())]
+        code = {p: k for k, p in enumerate(self.symbols)}
+        self._span = len(self.symbols) + 1  # the code before 0, which pads rows, makes no pair that is known
+        order = {c: k for k, c in enumerate(sorted({cost for cost, _ in rank.values()}))}
+        known = sorted((code[p[:i]] * self._span + code[p[i:]], order[cost], code[p]) for p, (cost, _) in rank.items() for i in range(1, len(p)) if p[:i] in code and p[i:] in code)
+        self._keys, cost, made = (np.array(c, dtype=np.int64) for c in zip(*known, (np.iinfo(np.int64).max, 0, 0)))
+        self._none = np.int32(len(order))
+        self._cost, self._made = cost.astype(np.int32), made.astype(np.int32)
+        self._of_char = np.full(max(map(ord, alphabet), default=0) + 1, -1, dtype=np.int32)
+        for c in alphabet:
+            self._of_char[ord(c)] = code[c]
+
+    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left.astype(np.int64) * self._span + right
+        at = np.searchsorted(self._keys, key)
+        return np.where(self._keys[at] == key, self._cost[at], self._none), self._made[at]
+
+    def merged(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all parts, behind each other, and how many each part has."""
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        chars = self._of_char[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        width = int(sizes.max(initial=1))
+        rows = np.full((len(parts), width), -1, dtype=np.int32)
+        rows[np.arange(width) < sizes[:, None]] = chars
+        out = rows.copy()
+        who = np.arange(len(parts))
+        cost = self._look(rows[:, :-1], rows[:, 1:])[0]
+        while cost.shape[1]:
+            k = cost.argmin(axis=1)
+            live = cost[np.arange(len(k)), k] < self._none
+            out[who[~live], : rows.shape[1]] = rows[~live]
+            out[who[~live], rows.shape[1] :] = -1
+            rows, cost, who, k = rows[live], cost[live], who[live], k[live]
+            n = np.arange(len(k))
+            joined = self._look(rows[n, k], rows[n, k + 1])[1]
+            columns = np.arange(rows.shape[1] - 1)
+            rows = np.take_along_axis(rows, columns + (columns > k[:, None]), axis=1)
+            rows[n, k] = joined
+            columns = columns[:-1]
+            cost = np.take_along_axis(cost, columns + (columns >= k[:, None]), axis=1)
+            left, right = n[k > 0], n[k < cost.shape[1]]
+            cost[left, k[left] - 1] = self._look(rows[left, k[left] - 1], rows[left, k[left]])[0]
+            cost[right, k[right]] = self._look(rows[right, k[right]], rows[right, k[right] + 1])[0]
+        out[who, : rows.shape[1]] = rows
+        out[who, rows.shape[1] :] = -1
+        return out[out >= 0], (out >= 0).sum(axis=1)
+
+
+class _Known:
+    """Parts that were met, by number; the pieces of part ``n`` lie in ``ids`` and ``sizes``, ``count[n]`` of them from ``begin[n]`` on."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.sizes, self.begin, self.count = (np.zeros(0, dtype=np.int32) for _ in range(4))
+
+    def add(self, which: np.ndarray, ids: np.ndarray, sizes: np.ndarray, count: np.ndarray) -> None:
+        """The pieces of numbered parts, in any order."""
+        more = np.zeros(max(0, int(which.max(initial=-1)) + 1 - len(self.begin)), dtype=np.int32)
+        self.begin, self.count = np.concatenate((self.begin, more)), np.concatenate((self.count, more))
+        self.begin[which], self.count[which] = len(self.ids) + np.cumsum(count) - count, count
+        self.ids, self.sizes = (np.concatenate(c).astype(np.int32) for c in ((self.ids, ids), (self.sizes, sizes)))
+
+
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers ``begin, begin + 1, ...``, ``n`` of them for each begin."""
+    return np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+
+
 class PieceModel:
     """A model file's pieces and rules."""
 
@@ -120,10 +197,16 @@ class PieceModel:
         self.unknown = self.kinds.index(_UNKNOWN)
         self.byte_ids = [i for i, k in enumerate(self.kinds) if k == _BYTE] if byte_fallback else None
         pairs = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
-        self._pairs = pairs
-        # Where a blank never follows another character inside a piece, a part is a run of blanks and what follows it.
-        self._parts = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+") if all(b != BLANK or a == BLANK for a, b in pairs) else None
-        self._known: dict[str, tuple[list[int], list[int]]] = {}
+        alphabet = {c for pair in pairs for c in pair}
+        # A part is a run of characters that pieces of several characters have.  Where a blank never follows another character inside a piece, it begins a part.
+        inner = "".join(map(re.escape, sorted(alphabet - {BLANK})))
+        self._parts = re.compile(f"{BLANK}*[{inner}]+|{BLANK}+|[^{inner}{BLANK}]" if all(b != BLANK or a == BLANK for a, b in pairs) else f"[{inner}{BLANK}]+|[^{inner}{BLANK}]")
+        self._alphabet, self._merges = alphabet, _Merges(self.rank, alphabet)
+        made = [self._named([p]) for p in self._merges.symbols]
+        self._symbol_count = np.array([len(ids) for ids, _ in made])
+        self._symbol_begin = np.cumsum(self._symbol_count) - self._symbol_count
+        self._symbol_ids, self._symbol_sizes = (np.array([x for row in c for x in row], dtype=np.int32) for c in zip(*made))
+        self._known = _Known()
         self._bytes = [self._surface(i) for i in range(len(self.pieces))]
 
     # Normalisation ----------------------------------------------------------------------------------------------
@@ -177,42 +260,56 @@ class PieceModel:
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the pieces of a text, and where the span of each begins and ends in the text's bytes."""
-        if not text:
-            return (np.zeros(0, dtype=np.int32),) * 3
-        normal, at = self.normalise(text)
-        ids: list[int] = []
-        sizes: list[int] = []
-        known = self._known
-        for part in self._parts.findall(normal) if self._parts else self._cuts(normal):
-            hit = known.get(part)
-            if hit is None:
-                hit = self._merged(part)
-                if len(part) <= _SHORT:
-                    if len(known) >= _REMEMBERED:
-                        known.clear()
-                    known[part] = hit
-            ids += hit[0]
-            sizes += hit[1]
-        ids_out, sizes_out = self._unknown_runs(np.array(ids, dtype=np.int32), np.array(sizes, dtype=np.int64))
-        end = np.cumsum(sizes_out)
-        return ids_out, at[end - sizes_out].astype(np.int32), at[end].astype(np.int32)
-
-    def _unknown_runs(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Without byte fallback, neighbouring unknown characters are one piece."""
-        if self.byte_ids or not len(ids):
-            return ids, sizes
-        first = np.flatnonzero(np.concatenate(([True], (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))))
-        return ids[first], np.add.reduceat(sizes, first)
-
-    def _cuts(self, normal: str) -> Iterator[str]:
-        """The text, cut between characters that no piece has side by side."""
-        begin = 0
-        for i in range(1, len(normal)):
-            if normal[i - 1 : i + 1] not in self._pairs:
-                yield normal[begin:i]
-                begin = i
-        if normal:
-            yield normal[begin:]
+        return self.encode_all([text])[:3]
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, begins and ends of the pieces of all texts, and how many each text has."""
+        normal, places = zip(*(self.normalise(t) if t else ("", np.zeros(1, dtype=np.int64)) for t in texts))
+        number, n_parts = self._numbers(normal)
+        n = self._known.count[number]
+        at = _ranges(self._known.begin[number], n)
+        ids, sizes = self._known.ids[at], self._known.sizes[at].astype(np.int64)
+        text_of = np.repeat(np.repeat(np.arange(len(texts)), n_parts), n)
+        if not self.byte_ids and len(ids):  # neighbouring unknown characters are one piece
+            first = np.flatnonzero(np.concatenate(([True], (ids[1:] != self.unknown) | (ids[:-1] != self.unknown) | (text_of[1:] != text_of[:-1]))))
+            ids, sizes, text_of = ids[first], np.add.reduceat(sizes, first), text_of[first]
+        place, end = np.concatenate(places), np.cumsum(sizes) + text_of  # every text has one place more than characters
+        return ids, place[end - sizes].astype(np.int32), place[end].astype(np.int32), np.bincount(text_of, minlength=len(texts))
+
+    def _numbers(self, normal: tuple[str, ...]) -> tuple[np.ndarray, list[int]]:
+        """Numbers of the parts of all normalised texts, and how many parts each has."""
+        if len(self._known.number) > _PARTS or len(self._known.ids) > _PIECES:
+            self._known = _Known()
+        known = self._known.number
+        first_new, new, out, n_parts = len(known), {}, [], []
+        for text in normal:
+            parts = self._parts.findall(text)
+            found = list(map(known.get, parts))
+            if None in found:
+                for k, n in enumerate(found):
+                    if n is None:
+                        found[k] = new.setdefault(parts[k], first_new + len(new))
+            out.append(np.array(found, dtype=np.int32))
+            n_parts.append(len(parts))
+        if new:
+            self._learn(new)
+            known.update(new)
+        return np.concatenate(out), n_parts
+
+    def _learn(self, new: dict[str, int]) -> None:
+        quick = lambda p: len(p) <= _SHORT and (len(p) > 1 or p in self._alphabet)
+        short = sorted(filter(quick, new), key=len)
+        for k in range(0, len(short), _TOGETHER):
+            some = short[k : k + _TOGETHER]
+            symbols, count = self._merges.merged(some)
+            n = self._symbol_count[symbols]
+            at = _ranges(self._symbol_begin[symbols], n)
+            self._known.add(np.array([new[p] for p in some]), self._symbol_ids[at], self._symbol_sizes[at], np.add.reduceat(n, np.cumsum(count) - count))
+        rest = [p for p in new if not quick(p)]
+        if rest:
+            made = [self._merged(p) for p in rest]
+            flat = (np.array([x for row in c for x in row], dtype=np.int32) for c in zip(*made))
+            self._known.add(np.array([new[p] for p in rest]), *flat, np.array([len(i) for i, _ in made]))
 
     def _merged(self, part: str) -> tuple[list[int], list[int]]:
         """Ids of a part's pieces and how many characters each has: of neighbours whose union is a piece, the best score is joined first, leftmost among equals."""
@@ -232,20 +329,27 @@ class PieceModel:
             for a, b in ((before[left], left), (left, after[left])):
                 if a >= 0 and b < n and (r := rank.get(part[a : end[b]])):
                     heappush(waiting, (r[0], a, b, end[b] - a))
-        ids, sizes, at = [], [], 0
+        merged, at = [], 0
         while at < n:
-            hit = rank.get(part[at : end[at]])
+            merged.append(part[at : end[at]])
+            at = after[at]
+        return self._named(merged)
+
+    def _named(self, merged: list[str]) -> tuple[list[int], list[int]]:
+        ids: list[int] = []
+        sizes: list[int] = []
+        for piece in merged:
+            hit = self.rank.get(piece)
             if hit:
                 ids.append(hit[1])
-                sizes.append(end[at] - at)
+                sizes.append(len(piece))
             elif self.byte_ids:
-                raw = part[at : end[at]].encode("utf-8", "surrogatepass")
+                raw = piece.encode("utf-8", "surrogatepass")
                 ids += [self.byte_ids[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [end[at] - at]
+                sizes += [0] * (len(raw) - 1) + [len(piece)]
             else:
                 ids.append(self.unknown)
-                sizes.append(end[at] - at)
-            at = after[at]
+                sizes.append(len(piece))
         return ids, sizes
 
     # Decoding ---------------------------------------------------------------------------------------------------
@@ -315,11 +419,6 @@ def default_path() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, values)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32), pa.int32()))
-
-
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id, n_bytes, ids, starts, ends``: the pieces of every whole text, and the span of original bytes of each.
 
@@ -334,8 +433,9 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)
             for a, b in runs(sizes.to_pylist(), _ROOM):
-                made = [m.encode(t) for t in batch.column(1).slice(a, b - a).to_pylist()]
-                columns = [batch.column(0).slice(a, b - a), sizes.slice(a, b - a).cast(pa.int64()), *(_lists(list(c)) for c in zip(*made))]
+                *values, count = m.encode_all(batch.column(1).slice(a, b - a).to_pylist())
+                ends = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())
+                columns = [batch.column(0).slice(a, b - a), sizes.slice(a, b - a).cast(pa.int64()), *(pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in values)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "ids", "starts", "ends"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
