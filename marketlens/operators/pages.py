@@ -18,6 +18,25 @@ def page_lines(pages: DataFrame, key: str = "page_id", text: str = "text") -> Da
     return pages.select(F.col(key), F.posexplode(T.lines(F.col(text))).alias("pos", "line"))
 
 
+def settled_pages(reads: DataFrame, quiet_ms: int = 500, cap_ms: int = 5000) -> DataFrame:
+    """``page, ts, text, settled, changes``: when each page counts as read, with its text then, from reads ``page`` (one load of a page) ``, ts (ms), text``.
+
+    A page is ``settled`` once its text has not changed for ``quiet_ms``; if that has not happened ``cap_ms`` after its first read, it is told then, unsettled.  A change
+    at that very moment comes too late.  Reads without a change of the text do not matter.  Null texts are empty; rows without a page or a time are left out.
+    """
+    rows = reads.select(F.col("page").cast("string").alias("page"), F.col("ts").cast("long").alias("ts"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("page IS NOT NULL AND ts IS NOT NULL")
+    w = Window.partitionBy("page").orderBy("ts", "text")
+    before = F.lag("text").over(w)
+    changed = rows.withColumn("_new", before.isNull() | (before != F.col("text"))).withColumn("_cap", F.min("ts").over(Window.partitionBy("page")) + cap_ms).where("_new")
+    dated = changed.withColumn("n", (F.row_number().over(w) - 1).cast("long")).withColumn("_next", F.lead("ts").over(w)).withColumn("_quiet", F.col("ts") + quiet_ms)
+    ok = (F.col("_quiet") < F.col("_cap")) & F.coalesce(F.col("_next") >= F.col("_quiet"), F.lit(True))
+    at_cap = F.max(F.when(F.col("ts") < F.col("_cap"), F.struct("n", "text")))
+    told = dated.groupBy("page", "_cap").agg(F.min(F.when(ok, F.struct("_quiet", "n", "text"))).alias("s"), at_cap.alias("c"))
+    return told.select(
+        "page", F.coalesce("s._quiet", "_cap").alias("ts"), F.coalesce("s.text", "c.text").alias("text"), F.col("s").isNotNull().alias("settled"), F.coalesce("s.n", "c.n").alias("changes")
+    )
+
+
 def between(lines: DataFrame, key: str, first: Column, last: Column) -> DataFrame:
     """Lines strictly between the first line where ``first`` holds and the next where ``last`` does; both must exist."""
     w = Window.partitionBy(key)

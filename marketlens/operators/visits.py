@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, MutableMapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.operators import outcomes
-from marketlens.operators.scan import _sessions
+from marketlens.operators.scan import Fold, fold_sessions
 
 #: Names in a cookie header that are attributes, not cookies.
 COOKIE_ATTRIBUTES = ("domain", "expires", "httponly", "max-age", "path", "partitioned", "priority", "samesite", "secure")
@@ -98,6 +99,47 @@ def fingerprint(state: dict[str, Column]) -> Column:
     return F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256)
 
 
+class ExpiringKeys(Fold):
+    """Rows ``ts, command, value, seconds, condition`` of one key, see ``expiring_keys``."""
+
+    columns = "ts long, command string, value string, seconds long, condition string"
+    state = "value string, ends long"
+    unit = 1000
+
+    def start(self) -> list:
+        return [None, None]
+
+    def step(self, s: list, row: tuple, _parts: MutableMapping) -> str | None:
+        ts, command, value, seconds, condition = row
+        condition = (condition or "").upper()
+        if command not in ("set", "expire", "get", "del") or condition not in ("", "NX", "XX", "GT", "LT"):
+            raise ValueError(f"unsupported command: {command} {condition}")
+        if s[1] is not None and s[1] <= ts:
+            s[:] = self.start()
+        if command == "get":
+            return s[0]
+        there, held = s[0] is not None, s[1]
+        ends = None if seconds is None else ts + seconds
+        if command == "set":
+            if condition == "NX" and there:
+                return "0"
+            s[:] = value, ends
+            return "1"
+        if not there:
+            return "0"
+        if command == "del":
+            s[:] = self.start()
+            return "1"
+        refused = {"": ends is None, "NX": held is not None, "XX": held is None, "GT": held is None or ends <= held, "LT": held is not None and ends >= held}
+        if refused[condition]:
+            return "0"
+        s[1] = ends
+        return "1"
+
+    def ends(self, s: list, last: int, idle: int | None) -> int | None:
+        return last if s[0] is None else s[1]
+
+
 def expiring_keys(commands: DataFrame) -> DataFrame:
     """``session, ts, result`` of ``session, ts`` (seconds) ``, command, value, seconds, condition``, one session for each key, in order of time;
     times of a key should differ.
@@ -107,39 +149,23 @@ def expiring_keys(commands: DataFrame) -> DataFrame:
     that one (a key without one never ends).  ``get`` and ``del`` do what they say.  A key is gone from the second its time ends.  The result is
     the value, or ``1`` where something was done, else ``0`` (``get``: null).  Any other command or condition is an error, not a null.
     """
+    return fold_sessions(commands, ExpiringKeys()).withColumnRenamed("state", "result")
 
-    def start() -> dict:
-        return {"value": None, "ends": None}
-
-    def step(s: dict, c) -> tuple[str | None]:
-        condition = "" if pd.isna(c.condition) else c.condition.upper()
-        if c.command not in ("set", "expire", "get", "del") or condition not in ("", "NX", "XX", "GT", "LT"):
-            raise ValueError(f"unsupported command: {c.command} {condition}")
-        if s["ends"] is not None and s["ends"] <= c.ts:
-            s.update(start())
-        if c.command == "get":
-            return (s["value"],)
-        there = s["value"] is not None
-        ends = None if pd.isna(c.seconds) else c.ts + int(c.seconds)
-        if c.command == "set":
-            if condition == "NX" and there:
-                return ("0",)
-            s.update(value=c.value, ends=ends)
-            return ("1",)
-        if not there:
-            return ("0",)
-        if c.command == "del":
-            s.update(start())
-            return ("1",)
-        held = s["ends"]
-        refused = {"": ends is None, "NX": held is not None, "XX": held is None, "GT": held is None or ends <= held, "LT": held is not None and ends >= held}
-        if refused[condition]:
-            return ("0",)
-        s["ends"] = ends
-        return ("1",)
 
-    rows = commands.select(F.col("session").cast("string").alias("session"), F.col("ts").cast("long").alias("ts"), "command", "value", F.col("seconds").cast("long").alias("seconds"), "condition")
-    return _sessions(rows, "session string, ts long, result string", start, step)
+def _sessions(rows: DataFrame, schema: str, start, step) -> DataFrame:
+    """Folds sorted rows; ``start()`` makes a session's state, ``step(state, row)`` gives a tuple of new columns."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, state = object(), None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if row.session != session:
+                    session, state = row.session, start()
+                out.append((row.session, row.ts, *step(state, row)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return rows.repartition("session").sortWithinPartitions("session", "ts").mapInPandas(run, schema)
 
 
 def form_edits(edits: DataFrame, limit: int = 8) -> DataFrame:

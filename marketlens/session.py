@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, app: str = "marketlens", **conf: str) -> SparkSession:
-    """UTC, adaptive execution and ANSI mode; further settings as keyword arguments with ``__`` for dots."""
+    """UTC, adaptive execution, and the RocksDB state store, which streams with timers need; further settings as keyword arguments with ``__`` for dots."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -15,6 +15,7 @@ def build_session(master: str | None = None, app: str = "marketlens", **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
