@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.operators import ranks
+
 
 def filter_verdict(filters: dict[str, str]) -> Column:
     """``hide`` if an active field has another value, else ``unknown`` if one is missing, else ``keep``.
@@ -36,14 +38,16 @@ def describe_filters(filters: dict[str, str]) -> str:
 
 
 def price_summary(rows: DataFrame, price: str, by: list[str]) -> DataFrame:
-    """Counts, minimum and nearest-rank quartiles of the prices of each group; q1 and q3 need four prices."""
-    p = F.col(price)
-    rank = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{price}`)")
-    n = F.count(p)
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("rows"), n.alias("priced"), (F.count("*") - n).alias("unpriced"), F.min(p).alias("min_price"), rank(0.5).alias("median_price"),
-        F.when(n >= 4, rank(0.25)).alias("q1_price"), F.when(n >= 4, rank(0.75)).alias("q3_price"),
-    )
+    """Counts, minimum and nearest-rank quartiles of the prices of each group; q1 and q3 need four prices.  A group may be of any size, see ``ranks``."""
+    n = F.col("n")
+    counts = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.count(price).alias("priced"), (F.count("*") - F.count(price)).alias("unpriced"), F.min(price).alias("min_price"))
+    quartile = lambda q: F.when(n >= 4, ranks.nearest(q, n))
+    found = ranks.at_ranks(rows, by, price, {"median_price": ranks.nearest(0.5, n), "q1_price": quartile(0.25), "q3_price": quartile(0.75)})
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in by], "median_price", "q1_price", "q3_price")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return counts.join(found, same, "left").drop(*[f"_{c}" for c in by])
 
 
 def page_of(rows: DataFrame, by: list[str], order: list[Column], page: int, size: int = 10) -> DataFrame:

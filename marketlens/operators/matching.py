@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.text import bigram_similarity
+from marketlens.operators import name_trie
 
 
 def index_names(products: DataFrame, key: Column, value: str) -> DataFrame:
@@ -49,24 +50,8 @@ def suggestions(typed: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame
 
 
 def fuzzy(pieces: DataFrame, names: DataFrame, allowed: Column, limit: int = 3) -> DataFrame:
-    """The closest names to each text piece, with ``distance`` within ``allowed`` (over the name's length, ``size``).
-
-    Pieces and names meet on a shared part: both are cut into one part more than the most edits that any name allows, so a name within
-    reach has at least one part of the piece unchanged, moved by at most as many places.
-    """
-    most = names.select(F.length("name").alias("size")).distinct().agg(F.max(allowed)).first()[0] or 0
-    cut = lambda c, n, i: F.substring(c, (F.floor(n * i / F.lit(most + 1)) + 1).cast("int"), (F.floor(n * (i + 1) / F.lit(most + 1)) - F.floor(n * i / F.lit(most + 1))).cast("int"))
-    own = names.select("name", F.length("name").alias("size")).distinct().withColumn("allowed", allowed)
-    parts = own.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: cut(F.col("name"), F.col("size"), i))).alias("i", "part"))
-    parts = parts.withColumn("from", (F.floor(F.col("size") * F.col("i") / F.lit(most + 1)) + 1).cast("int")).withColumn("span", F.length("part"))
-    p = pieces.select("piece").distinct().withColumn("len", F.length("piece"))
-    spans = p.select("*", F.explode(F.sequence(F.col("len") - most, F.col("len") + most)).alias("size")).where("size > 0")
-    at = spans.select("*", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("i")).withColumn("from0", (F.floor(F.col("size") * F.col("i") / F.lit(most + 1)) + 1).cast("int"))
-    at = at.withColumn("span", (F.floor(F.col("size") * (F.col("i") + 1) / F.lit(most + 1)) - F.floor(F.col("size") * F.col("i") / F.lit(most + 1))).cast("int"))
-    at = at.select("piece", "size", "i", "span", F.explode(F.sequence(F.greatest(F.lit(1), F.col("from0") - most), F.col("from0") + most)).alias("from1"))
-    at = at.withColumn("part", F.substring("piece", F.col("from1"), F.col("span"))).where(F.length("part") == F.col("span")).select("piece", "size", "i", "part").distinct()
-    met = at.join(parts.drop("from", "span"), ["size", "i", "part"]).select("piece", "name", "size", "allowed").distinct()
-    near = met.withColumn("distance", F.levenshtein("piece", "name", most)).where("distance >= 0 and distance <= allowed")
+    """The closest names to each text piece, with ``distance`` within ``allowed`` (over the name's length, ``size``); see ``name_trie``."""
+    near = name_trie.near_names(pieces, names, allowed, limit)
     near = near.withColumn("score", F.col("distance") * 100 - F.least("size", F.lit(40)))
     n = F.row_number().over(Window.partitionBy("piece").orderBy("score", "name"))
     return near.withColumn("rn", n).where(F.col("rn") <= limit).select("piece", "name", "distance", "score", "rn")

@@ -202,28 +202,41 @@ def resolved(typed: DataFrame, raw: str, zh: DataFrame, products: DataFrame, asc
     return rows.select(*typed.columns, query.alias("query"), chinese.alias("translated"), problem.alias("problem"))
 
 
+def _grams(c: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text."""
+    n = F.length(c) - size + 1
+    return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(c, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(typed: DataFrame, names: DataFrame) -> DataFrame:
+    """``typed`` beside the columns of each of ``names`` whose ``key`` contains it; ``typed`` has distinct keys that are not empty.
+
+    A typed key of two characters or more is looked up by the one pair of its characters that the fewest names have, so that it meets no more names than
+    those; a single character by itself, where each name that it meets is an answer.
+    """
+    pairs = names.select("*", F.explode(_grams(F.col("key"), 2)).alias("_gram"))
+    often = pairs.groupBy("_gram").agg(F.count("*").alias("_n"))
+    own = typed.where(F.length("typed") >= 2).select("typed", F.explode(_grams(F.col("typed"), 2)).alias("_gram"))
+    # A pair that no name has rules the key out.
+    rarest = own.join(often, "_gram", "left").groupBy("typed").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("r")).where("r.n > 0")
+    long = rarest.select("typed", F.col("r.gram").alias("_gram")).join(pairs, "_gram").where(F.contains("key", F.col("typed")))
+    single = typed.where(F.length("typed") == 1).select("typed", F.col("typed").alias("_gram"))
+    short = single.join(names.select("*", F.explode(_grams(F.col("key"), 1)).alias("_gram")), "_gram")
+    return long.select("typed", *names.columns).unionByName(short.select("typed", *names.columns))
+
+
 def suggested_chinese(typed: DataFrame, zh: DataFrame, limit: int = 5) -> DataFrame:
     """``typed, chinese, english, rank, rn``: Chinese names that begin with (0) or contain (1) what was typed, shorter first.
 
-    ``typed`` has ``key``; ``zh`` has ``key, chinese, english``.  Both meet on the typed key's first character.
+    ``typed`` has ``key``; ``zh`` has ``key, chinese, english``.  Null and empty keys find nothing, and nothing finds null keys.
     """
-    t = typed.select(F.col("key").alias("typed")).where("typed != ''").distinct().withColumn("head", F.substring("typed", 1, 1))
-    met = t.join(zh.withColumn("head", F.explode(F.array_distinct(F.split("key", "")))), "head").where(F.contains("key", F.col("typed")) & (F.col("key") != F.col("typed")))
+    t = typed.select(F.col("key").alias("typed")).where("typed != ''").distinct()
+    met = containing(t, zh.where("key IS NOT NULL")).where(F.col("key") != F.col("typed"))
     met = met.withColumn("rank", F.when(F.startswith("key", F.col("typed")), 0).otherwise(1))
-    n = F.row_number().over(Window.partitionBy("typed").orderBy("rank", F.length("chinese"), "chinese"))
+    n = F.row_number().over(Window.partitionBy("typed").orderBy("rank", F.length("chinese"), "chinese", "english"))
     return met.withColumn("rn", n).where(F.col("rn") <= limit).select("typed", "chinese", "english", "rank", "rn")
 
 
-def remembered(choices: DataFrame, key: str, order: Column, most: int = 500, cap: int = 99) -> DataFrame:
-    """``key, name, count, recency``: the memory that a log of choices leaves: a key's last name and how often in a row it was chosen; the ``most`` keys last
-    used stay.  A key that was pushed out and is chosen again still counts its former choices in a row."""
-    from marketlens.operators import ledger
-
-    last = ledger.streaks(choices, [key], [order], ["name"]).groupBy(key).agg(F.max_by("name", order).alias("name"), F.least(F.max_by("streak", order), F.lit(cap)).alias("count"), F.max(order).alias("used"))
-    # A top-k by time: each partition keeps its own first, so one task sees few rows.
-    return last.orderBy(F.col("used").desc(), key).limit(most).drop("used")
-
-
 def learned_first(rows: DataFrame, memory: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Candidates (``key, kind, name, ord``) with what was remembered for one of the text's ``keys`` (``key, at, piece``) first, and ``learned``, ``promoted``.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.operators import ranks
+
 #: Fixed value: what an answer is called that fits none of the options.
 NONE_OF_THESE = "NONE"
 
@@ -167,7 +169,12 @@ def paired_deltas(rows: DataFrame, by: list[str], order: list[Column], value: st
 def delta_verdict(deltas: DataFrame, by: list[str]) -> DataFrame:
     """``by, pairs, faster, median_delta, verdict``: supported if all pairs, or all but one with a positive median, are faster; not
     supported if a quarter at most is, with none in the median; else inconclusive."""
-    g = deltas.groupBy(*by).agg(F.count("*").alias("pairs"), F.count_if(F.col("delta") > 0).alias("faster"), F.expr("percentile(delta, 0.5)").alias("median_delta"))
+    counts = deltas.groupBy(*by).agg(F.count("*").alias("pairs"), F.count_if(F.col("delta") > 0).alias("faster"))
+    medians = ranks.quantiles(deltas, by, "delta", {"median_delta": 0.5}).drop("n").withColumnsRenamed({c: f"_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    g = counts.join(medians, same, "left").drop(*[f"_{c}" for c in by])
     m, p, f = F.col("median_delta"), F.col("pairs"), F.col("faster")
     return g.withColumn("verdict", F.when((f == p) | ((f >= p - 1) & (m > 0)), "supported").when((f <= F.floor(p / 4)) & (m <= 0), "not supported").otherwise("inconclusive"))
 
