@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as T
-from marketlens.operators import ledger, names, pages
+from marketlens.operators import ledger, lru, names, pages
 from marketlens.plans.queries import _SQL_LINES, _t, query
 
 _LATIN = r"[A-Za-z][A-Za-z''’\- ]{2,}"
@@ -66,15 +66,30 @@ def q22_possible_names(spark, d):
     return names.extended(first, _found(spark, d, loose=True)[1], "id")
 
 
-@query("""WITH e AS (SELECT user_id, event_type AS name, ts, event_id, lag(event_type) OVER w AS prev, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-i AS (SELECT *, sum(CASE WHEN rn = 1 OR prev != name THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM e),
-s AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak FROM i),
-g AS (SELECT user_id, arg_max(name, (ts, event_id)) AS name, least(arg_max(streak, (ts, event_id)), 99) AS count, max((ts, event_id)) AS used FROM s GROUP BY user_id)
-SELECT user_id, name, count::INTEGER AS count FROM (SELECT *, row_number() OVER (ORDER BY used DESC, user_id) AS r FROM g) WHERE r <= 10""")
+@query("""WITH e AS (SELECT user_id, event_type AS name, row_number() OVER (ORDER BY ts, event_id) AS p FROM events),
+u AS (SELECT *, lag(p) OVER w AS before, lag(name) OVER w AS prev FROM e WINDOW w AS (PARTITION BY user_id ORDER BY p)),
+d AS (SELECT u.p, count(DISTINCT x.user_id) AS others FROM u LEFT JOIN e x ON x.p > u.before AND x.p < u.p GROUP BY u.p),
+i AS (SELECT u.*, sum(CASE WHEN before IS NULL OR prev != name OR others >= 10 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY p) AS island FROM u JOIN d USING (p)),
+g AS (SELECT user_id, island, count(*) AS n, max(p) AS used, arg_max(name, p) AS name FROM i GROUP BY user_id, island),
+l AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY island DESC) = 1)
+SELECT user_id, name, least(n, 99)::INTEGER AS count FROM l QUALIFY row_number() OVER (ORDER BY used DESC) <= 10""")
 def q29_memory(spark, d):
-    """The ten choices that were used last."""
+    """A memory of ten users: their last choices, and how often in a row each was made since the user was last pushed out."""
     e = _t(spark, d, "events").select("user_id", F.col("event_type").alias("name"), F.struct("ts", "event_id").alias("at"))
-    return names.remembered(e, "user_id", F.col("at"), most=10)
+    return lru.remembered(e, "user_id", F.col("at"), most=10)
+
+
+@query("""WITH z AS (SELECT DISTINCT lower(p_type) || ' ' || p_name AS key, p_brand || p_size AS chinese, p_name AS english FROM part),
+t AS (SELECT DISTINCT substr(lower(p_type) || ' ' || p_name, 1 + p_partkey % 5, 1 + p_partkey % 4) AS typed FROM part),
+m AS (SELECT typed, chinese, english, CASE WHEN starts_with(key, typed) THEN 0 ELSE 1 END AS rank FROM t JOIN z ON contains(key, typed) AND key != typed WHERE typed != ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY rank, length(chinese), chinese, english) AS rn FROM m) SELECT typed, chinese, english, rank, rn::INTEGER AS rn FROM r WHERE rn <= 5""")
+def q22_suggested_by_part(spark, d):
+    """Five names that begin with or contain what was typed."""
+    key = F.concat(F.lower("p_type"), F.lit(" "), "p_name")
+    part = _t(spark, d, "part")
+    zh = part.select(key.alias("key"), F.concat("p_brand", F.col("p_size").cast("string")).alias("chinese"), F.col("p_name").alias("english")).distinct()
+    typed = part.select(F.substr(key, (1 + F.col("p_partkey") % 5).cast("int"), (1 + F.col("p_partkey") % 4).cast("int")).alias("key"))
+    return names.suggested_chinese(typed, zh)
 
 
 @query("""WITH c AS (SELECT o_custkey, 'n' || o_orderkey % 7 AS name, CASE WHEN o_orderkey % 2 = 0 THEN 'base' ELSE 'item' END AS kind, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 7, o_orderkey) AS ord FROM orders),

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketlens import constants as C
 from marketlens.functions import text as T
-from marketlens.operators import affixes, dimension, forms, ledger, market, matching, pages
+from marketlens.operators import affixes, dimension, forms, ledger, market, matching, pages, ranks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,23 +33,6 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 _SQL_LINES = r"""lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM (
   SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS i, trim(raw) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)) WHERE line != '')"""
 
-LISTING_PAGE = "\n".join((
-    "Marketplace", "Apply this search for all", "old", "Apply this search for all", "Bob", "(12)", "Pro", "PC•", "2 X Shako", "Softcore•", "Ladder•", "141 Defense", "+2 to All Skills",
-    "Trading For", "1 X Ist", "High Rune Value: 5", "3 days ago", "Ann", "(3)", "1 x Ring", "Xbox", "Ethereal", "Make an Offer", "just now", "Cid", "Lone", "Trading For", "2024-01-05", "tail", "HELP", "after",
-))
-TRADE_PAGE = "\n".join((
-    "Recent", "They Give", "Shako", "PC•", "Softcore•", "Ladder•", "I Give", "1 X Ist", "OR", "2 X Mal", "Um", "2 days ago", "They Give", "broken",
-    "They Give", "I Give", "High Rune Value: 0 or 0", "Lem", "1 hour ago", "They Give", "Ring", "Non Ladder", "I Give", "OR", "3分鐘前", "end",
-))
-
-
-def _inline(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame([(1, text)], "page_id int, text string")
-
-
-def _sql_page(text: str) -> str:
-    return f"""p AS (SELECT 1 AS page_id, '{text}' AS text), lines AS (SELECT page_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, string_split(text, chr(10)) AS l FROM p))"""
-
 
 @query(f"WITH {_SQL_LINES} SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars, count(*) FILTER (WHERE lower(line) IN ('pro', 'marketplace', 'log in'))::BIGINT AS noise FROM lines GROUP BY doc_id")
 def q01_page_lines(spark, d):
@@ -65,14 +47,14 @@ def q02_json_parse(spark, d):
     return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.from_json("props", "map<string,string>").isNotNull().alias("valid"))
 
 
-_PROPS = [(1, "+{{x}}% Speed", "number"), (2, "Kind", "string"), (None, "No id", "string"), (4, None, "bool"), (5, "{{level}} to Life", "number")]
-
-
-@query("SELECT id, name, type, regexp_replace(name, '\\{\\{[^}]*\\}\\}', 'X', 'g') AS label FROM (VALUES (1, '+{{x}}% Speed', 'number'), (2, 'Kind', 'string'), (NULL, 'No id', 'string'), (4, NULL, 'bool'), (5, '{{level}} to Life', 'number')) v(id, name, type) WHERE id IS NOT NULL AND name IS NOT NULL")
+@query(r"""WITH r AS (SELECT CASE WHEN p_partkey % 5 != 0 THEN p_partkey END AS id, CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN p_name ELSE '+{{x}}% ' || p_name || ' {{level}}' END AS name, CASE WHEN p_size > 25 THEN 'number' ELSE 'string' END AS type FROM part)
+SELECT id, name, type, regexp_replace(name, '\{\{[^}]*\}\}', 'X', 'g') AS label FROM r WHERE id IS NOT NULL AND name IS NOT NULL""")
 def q03_property_list(spark, d):
     """Well-formed properties with placeholders unified."""
-    rows = spark.createDataFrame(_PROPS, "id int, name string, type string").where("id is not null and name is not null")
-    return rows.withColumn("label", F.regexp_replace("name", r"\{\{[^}]*\}\}", "X"))
+    k = F.col("p_partkey")
+    name = F.when(k % 7 == 0, None).when(k % 7 == 1, F.col("p_name")).otherwise(F.concat(F.lit("+{{x}}% "), "p_name", F.lit(" {{level}}")))
+    rows = _t(spark, d, "part").select(F.when(k % 5 != 0, k).alias("id"), name.alias("name"), F.when(F.col("p_size") > 25, "number").otherwise("string").alias("type"))
+    return rows.where("id IS NOT NULL AND name IS NOT NULL").withColumn("label", F.regexp_replace("name", r"\{\{[^}]*\}\}", "X"))
 
 
 @query("SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, bool_or(o_orderstatus = 'F' AND o_orderpriority != '5-LOW') AS required FROM orders GROUP BY o_custkey")
@@ -82,11 +64,15 @@ def q04_first_record(spark, d):
     return o.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_order"), F.bool_or((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") != "5-LOW")).alias("required"))
 
 
-@query(f"WITH {_sql_page('Menu\nItem Type\nAxe\nBow\nSkills\nmore\nSkills')}, s AS (SELECT min(pos) AS a FROM lines WHERE line = 'Item Type'), e AS (SELECT min(pos) AS b FROM lines, s WHERE line = 'Skills' AND pos > a) SELECT page_id, pos::INTEGER AS pos, line FROM lines, s, e WHERE pos > a AND pos < b")
+@query("""WITH p AS (SELECT p_partkey, list_concat(['Menu', p_name], CASE WHEN p_partkey % 3 != 0 THEN ['Item Type'] ELSE [] END, [p_type, p_brand], CASE WHEN p_partkey % 4 != 0 THEN ['Skills', 'more'] ELSE ['more'] END, ['Skills']) AS l FROM part),
+lines AS (SELECT p_partkey, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM p), s AS (SELECT p_partkey, min(pos) AS a FROM lines WHERE line = 'Item Type' GROUP BY p_partkey),
+e AS (SELECT p_partkey, min(pos) AS b, any_value(a) AS a FROM lines JOIN s USING (p_partkey) WHERE line = 'Skills' AND pos > a GROUP BY p_partkey) SELECT p_partkey, pos::INTEGER AS pos, line FROM lines JOIN e USING (p_partkey) WHERE pos > a AND pos < b""")
 def q05_between_markers(spark, d):
-    """Lines between two markers."""
-    lines = pages.page_lines(_inline(spark, "Menu\nItem Type\nAxe\nBow\nSkills\nmore\nSkills"))
-    return pages.between(lines, "page_id", F.col("line") == "Item Type", F.col("line") == "Skills")
+    """Lines between two markers of each page; some pages lack the first."""
+    k = F.col("p_partkey")
+    text = F.concat_ws("\n", F.lit("Menu"), "p_name", F.when(k % 3 != 0, "Item Type"), "p_type", "p_brand", F.when(k % 4 != 0, F.lit("Skills\nmore")).otherwise(F.lit("more")), F.lit("Skills"))
+    lines = pages.page_lines(_t(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey")
+    return pages.between(lines, "p_partkey", F.col("line") == "Item Type", F.col("line") == "Skills")
 
 
 @query(r"WITH q AS (SELECT page_id, unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) AS pair FROM pages) SELECT page_id, split_part(pair, '=', 1) AS name, substr(pair, position('=' IN pair) + 1) AS value FROM q WHERE position('=' IN pair) > 1")
@@ -134,13 +120,6 @@ def q11_conditions(spark, d):
     return li.select("l_orderkey", "l_linenumber", params.alias("params"))
 
 
-@query()
-def q12_listing_cards(spark, d):
-    """Listing cards of a page with their fields."""
-    lines = pages.segments(pages.listing_lines(pages.page_lines(_inline(spark, LISTING_PAGE))), F.rlike("line", F.lit(C.CARD_TIME)))
-    return pages.cards(lines)
-
-
 @query(f"""WITH {_SQL_LINES}, m AS (SELECT *, CASE WHEN ends_with(line, '.') THEN 1 ELSE 0 END AS c FROM lines),
 s AS (SELECT doc_id, pos, line, coalesce(sum(c) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg, sum(c) OVER (PARTITION BY doc_id) AS n FROM m)
 SELECT doc_id, seg::BIGINT AS seg, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars, max(pos)::INTEGER AS last_pos FROM s WHERE seg < n GROUP BY doc_id, seg""")
@@ -166,12 +145,6 @@ def q13_price_of_text(spark, d):
     return market.price_summary(rows, "price", ["user_id"])
 
 
-@query()
-def q14_finished_trades(spark, d):
-    """Finished trades of a page."""
-    return pages.trades(pages.page_lines(_inline(spark, TRADE_PAGE)))
-
-
 @query("""WITH g AS (SELECT o_custkey, list(o_orderpriority ORDER BY o_orderdate, o_orderkey) AS xs FROM orders GROUP BY o_custkey)
 SELECT o_custkey, CASE WHEN len(xs) = 0 THEN 'Unknown' ELSE array_to_string(xs, ', ') END AS price FROM g""")
 def q15_price_fold(spark, d):
@@ -360,11 +333,9 @@ def q41_running_rate(spark, d):
 def q42_medians(spark, d):
     """Three medians: interpolated, nearest rank, upper."""
     e = _t(spark, d, "events")
-    n = F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id"))
-    ranked = e.withColumn("n", n).withColumn("all", F.count("*").over(Window.partitionBy("event_type")))
-    upper = ranked.where(F.col("n") == F.floor(F.col("all") / 2) + 1).select("event_type", F.col("value").alias("upper"))
-    other = e.groupBy("event_type").agg(F.round(F.expr("percentile(value, 0.5)"), 9).alias("middle"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("nearest"))
-    return other.join(upper, "event_type")
+    other = ranks.at_ranks(e, ["event_type"], "value", {"nearest": ranks.nearest(0.5, F.col("n")), "upper": ranks.upper_median(F.col("n"))}).drop("n")
+    middle = ranks.quantiles(e, ["event_type"], "value", {"middle": 0.5}).select("event_type", F.round("middle", 9).alias("middle"))
+    return middle.join(other, "event_type")
 
 
 @query("""SELECT lang, count(quality) AS scored, count(*) FILTER (WHERE quality = 1) AS right_n, round(count(*) FILTER (WHERE quality = 1) / nullif(count(quality), 0)::DOUBLE, 9) AS share, count(*) FILTER (WHERE quality IS NULL) AS skipped FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from marketlens import constants as C
 from marketlens import registry
-from marketlens.operators import affixes, ledger, matching
+from marketlens.operators import affixes, ledger, matching, pages
 from marketlens.streaming import events
 from tests.oracle import rows_of_spark, rows_of_sql
 
@@ -22,8 +23,23 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_listing_cards(spark, sf_dir):
-    rows = {r["seller"]: r for r in registry.QUERIES["q12_listing_cards"](spark, sf_dir).collect()}
+LISTING_PAGE = "\n".join((
+    "Marketplace", "Apply this search for all", "old", "Apply this search for all", "Bob", "(12)", "Pro", "PC•", "2 X Shako", "Softcore•", "Ladder•", "141 Defense", "+2 to All Skills",
+    "Trading For", "1 X Ist", "High Rune Value: 5", "3 days ago", "Ann", "(3)", "1 x Ring", "Xbox", "Ethereal", "Make an Offer", "just now", "Cid", "Lone", "Trading For", "2024-01-05", "tail", "HELP", "after",
+))
+TRADE_PAGE = "\n".join((
+    "Recent", "They Give", "Shako", "PC•", "Softcore•", "Ladder•", "I Give", "1 X Ist", "OR", "2 X Mal", "Um", "2 days ago", "They Give", "broken",
+    "They Give", "I Give", "High Rune Value: 0 or 0", "Lem", "1 hour ago", "They Give", "Ring", "Non Ladder", "I Give", "OR", "3分鐘前", "end",
+))
+
+
+def _lines(spark, text: str):
+    return pages.page_lines(spark.createDataFrame([(1, text)], "page_id int, text string"))
+
+
+def test_listing_cards(spark):
+    found = pages.cards(pages.segments(pages.listing_lines(_lines(spark, LISTING_PAGE)), F.rlike("line", F.lit(C.CARD_TIME))))
+    rows = {r["seller"]: r for r in found.collect()}
     assert set(rows) == {"Bob", "Ann", "Cid"}  # a card without an item line is one, but has no item
     assert (rows["Cid"]["item_name"], rows["Cid"]["rating"]) == (None, None)
     bob, ann = rows["Bob"], rows["Ann"]
@@ -32,8 +48,8 @@ def test_listing_cards(spark, sf_dir):
     assert (ann["platform"], ann["is_ethereal"], ann["ask"], ann["posted_time"]) == ("Xbox", True, "Make an Offer", "just now")
 
 
-def test_finished_trades(spark, sf_dir):
-    rows = sorted((r["item"], r["price"], r["trade_time"]) for r in registry.QUERIES["q14_finished_trades"](spark, sf_dir).collect())
+def test_finished_trades(spark):
+    rows = sorted((r["item"], r["price"], r["trade_time"]) for r in pages.trades(_lines(spark, TRADE_PAGE)).collect())
     assert rows == [("Ring", "Unknown", "3分鐘前"), ("Shako", "1 X Ist OR 2 X Mal, Um", "2 days ago"), ("Unknown", "Lem", "1 hour ago")]
 
 

@@ -47,10 +47,59 @@ def test_publish_only_what_passed(spark, tmp_path):
     rows = spark.range(3)
     folder = f"file://{tmp_path}"
     made = lambda *passed: spark.createDataFrame([(p,) for p in passed], "passed boolean")
-    assert publish.publish(made(True, True), {"market": rows}, folder) and spark.read.parquet(f"{folder}/market").count() == 3
+    seen = publish.Published(spark, folder)
+    assert seen.state() is None and seen.table("market") is None
+    assert publish.publish(made(True, True), {"market": rows}, folder) and seen.table("market").count() == 3
     for bad in (made(True, False), made(True, None), made()):
-        assert not publish.publish(bad, {"market": rows}, folder) and not (tmp_path / "market").exists()
-        assert (tmp_path / "verification").exists()
+        assert not publish.publish(bad, {"market": rows}, folder) and seen.table("market") is None
+        assert seen.table("verification").count() == bad.count()
+    assert publish.publish(made(True), {"market": spark.range(5), "other": rows}, folder) and (seen.table("market").count(), seen.table("other").count()) == (5, 3)
+    seen.sweep()
+    assert seen.table("market").count() == 5 and len([p for p in tmp_path.iterdir() if p.name.startswith("generation-")]) == 1
+    with pytest.raises(ValueError):
+        publish.publish(made(True), {"verification": rows}, folder)
+
+
+@pytest.mark.parametrize("passes", [True, False])
+def test_a_job_that_dies_while_publishing_leaves_a_whole_state(spark, tmp_path, monkeypatch, passes):
+    """The job is ended before and after each of its steps; readers see the state before or after it, and the next job succeeds."""
+    steps = [("write", 0), ("write", 1), ("write", 2), ("switch", 0)]
+    for n, (step, which) in enumerate((s, w) for s, w in steps if passes or (s, w) in (("write", 0), ("switch", 0))):
+        for after in (False, True):
+            folder = f"file://{tmp_path}/{n}{after}"
+            rows = lambda k: {"a": spark.range(k), "b": spark.range(k + 1)}
+            good = spark.createDataFrame([(True,)], "passed boolean")
+            publish.publish(good, rows(2), folder)
+            calls = {"write": 0, "switch": 0}
+            whole = getattr(publish.Published, step)
+
+            def dying(self, *args, whole=whole, calls=calls, step=step, which=which, after=after):
+                calls[step] += 1
+                if calls[step] == which + 1:
+                    if after:
+                        whole(self, *args)
+                    raise KeyboardInterrupt
+                return whole(self, *args)
+
+            monkeypatch.setattr(publish.Published, step, dying)
+            with pytest.raises(KeyboardInterrupt):
+                publish.publish(good if passes else spark.createDataFrame([(False,)], "passed boolean"), rows(7), folder)
+            monkeypatch.setattr(publish.Published, step, whole)
+            seen = publish.Published(spark, folder)
+            now = tuple(t and t.count() for t in (seen.table("a"), seen.table("b")))
+            switched = step == "switch" and after
+            assert now == (((7, 8) if passes else (None, None)) if switched else (2, 3))
+            assert publish.publish(good, rows(4), folder) and seen.table("a").count() == 4
+            seen.sweep()
+            assert seen.table("b").count() == 5
+
+
+def test_two_jobs_that_publish_at_once(spark, tmp_path):
+    seen = publish.Published(spark, f"file://{tmp_path}")
+    seen.switch("x", True, [], 0)
+    with pytest.raises(publish.ConcurrentPublish):
+        seen.switch("y", True, [], 0)
+    assert seen.state() == {"number": 1, "passed": True, "generation": "x", "tables": []}
 
 
 def test_csv_files_open_by_themselves(spark, tmp_path):
