@@ -115,8 +115,11 @@ def mix_segments(
     sized = scratch.table(sized.withColumn("uid", F.monotonically_increasing_id()), "sized")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), scratch, weights, share, most)
 
-    total, n_docs = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    block = max(block_words, -(-2 * total // 500_000_000))
+    n_docs = sized.count()
+    block = block_words
+    largest = targets.agg(F.coalesce(F.max("source_size"), F.lit(0))).first()[0]
+    if largest // block >= 1 << 31:  # places are multiplied by a unit below the number of blocks, in 64 bits
+        raise ValueError(f"a source of {largest} words has too many blocks of {block}; ask for larger blocks")
     count = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
     want = F.round("target").cast("long")
     whole = F.when(want >= F.col("source_size"), 1).otherwise(0)
