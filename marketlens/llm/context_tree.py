@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.arrays import pack, unpack
-from marketlens.llm.lookups import answers, chunks, read_blob, shard_count, totals
+from marketlens.llm.lookups import answers, by_shard, chunks, read_blob, shard_count, totals
 from marketlens.llm.shingles import mix64, runs, word_hashes
 from marketlens.storage import Scratch
 
@@ -301,8 +301,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         # The keys only: nothing is counted again.
         (wk, _, ws), (gk, _, gs) = chunk_keys(texts, np.zeros(len(texts), dtype=bool), shards)
         wv, gv = np.zeros(len(wk)), np.zeros(len(gk))
+        places = {WORDS: dict(by_shard(ws)), GRAMS: dict(by_shard(gs))}
         for kind, shard, v in zip(known["kind"], known["shard"], known["values"]):
-            (wv if kind == WORDS else gv)[(ws if kind == WORDS else gs) == shard] = unpack(v, np.float64)
+            (wv if kind == WORDS else gv)[places[kind][shard]] = unpack(v, np.float64)
         norm = np.log10(tokens + distinct + 1.0)
         base_of, end = np.log10(wv + 1.0) - norm, np.log10(ends + 1.0) - norm
         out = []

@@ -46,6 +46,14 @@ def read_blob(blob: bytes) -> tuple[list, np.ndarray, list[bytes], list[str | No
     return [int(i) if k else None for i, k in zip(ids, known)], train.astype(bool), texts, json.loads(raw[ends[-1] if ends else 8 :])
 
 
+def by_shard(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard with the places of its keys, in order: one sort, whatever the number of shards."""
+    order = np.argsort(shards, kind="stable")
+    found, first = np.unique(shards[order], return_index=True)
+    for shard, a, b in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+        yield shard, order[a:b]
+
+
 def chunks(docs: DataFrame, keys: Keys, shards: int, chunk_bytes: int) -> DataFrame:
     """Rows of ``CHUNK`` from ``doc_id, text, train``: for each chunk its texts (kind -1), and its distinct keys by kind and shard.
 
@@ -55,9 +63,8 @@ def chunks(docs: DataFrame, keys: Keys, shards: int, chunk_bytes: int) -> DataFr
     def close(chunk: int, ids: list, train: list, texts: list, tags: list) -> pd.DataFrame:
         out = [(chunk, -1, -1, len(texts), None, None, write_blob(ids, train, texts, tags))]
         for kind, (k, c, s) in enumerate(keys(texts, np.array(train, dtype=bool))):
-            for shard in np.unique(s):
-                own = s == shard
-                out.append((chunk, kind, int(shard), int(own.sum()), pack(k[own], ascending=True), pack(c[own].astype(np.int64)), None))
+            for shard, own in by_shard(s):
+                out.append((chunk, kind, shard, len(own), pack(k[own], ascending=True), pack(c[own].astype(np.int64)), None))
         return pd.DataFrame(out, columns=["chunk", "kind", "shard", "n", "keys", "counts", "blob"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
