@@ -40,4 +40,6 @@ REQUIREMENT = "需要|需求|要(力量|敏捷|體力|精力|等級)"
 BRACKETED_TOKEN = r"\([A-Za-z0-9]+\)"
 MISREAD_PERCENT = ("96", "06", "09")
 CJK_GAP = r"(?<=[\x{3400}-\x{9fff}])\s+(?=[\x{3400}-\x{9fff}])"
+NO_CJK = r"[^\x{3400}-\x{9fff}]"
+AFFIX_WORDS = "無法凍結|無形|技能"
 LEECH = {"ml": "竊取.*法力|法力.*竊取", "ll": "竊取.*生命|生命.*竊取"}

@@ -132,3 +132,19 @@ def money(value: Column) -> Column:
     """Dollars with two decimals, or four for less than a cent; exact halves go up."""
     small = F.format_string("$%.4f（約 %.2f 美分）", value, value * 100)
     return F.when(value <= 0, "$0").when(value >= 0.01, F.format_string("$%.2f", value)).otherwise(small)
+
+
+def pairs(text: Column, separator: str = "&") -> Column:
+    """The ``name=value`` parts of a text as an array of ``name, value``, in order, repeats kept; parts without a name or ``=`` are left out."""
+    parts = F.filter(F.split(text, separator), lambda x: F.locate("=", x) > 1)
+    return F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1).alias("name"), F.substr(x, F.locate("=", x) + 1).alias("value")))
+
+
+def goal_safe(text: Column) -> Column:
+    """Whether a text may stand in a quoted goal: no quotation mark, no control and no format character."""
+    return ~F.rlike(text, F.lit(r'["\p{Cc}\p{Cf}]'))
+
+
+def shown(text: Column, most: int = 6000) -> tuple[Column, Column]:
+    """The first ``most`` characters of a text, and whether that is the ``whole`` or it was ``cut``."""
+    return F.substring(text, 1, most), F.when(F.length(text) > most, "cut").otherwise("whole")

@@ -91,6 +91,20 @@ def parse_affixes(lines: DataFrame, entries: list[Affix], id_col: str = "page_id
     return out.where(flag | F.col("min").isNotNull())
 
 
+def is_name_line(joined: Column) -> Column:
+    """Whether a line is an item's name or type: one to six Chinese characters and no digit, but none of the words that affixes have."""
+    n = F.length(F.regexp_replace(joined, C.NO_CJK, ""))
+    return ~F.rlike(joined, F.lit(C.AFFIX_WORDS)) & (n > 0) & (n <= 6) & ~F.rlike(joined, F.lit("[0-9]"))
+
+
+def unmapped_lines(lines: DataFrame, entries: list[Affix], id_col: str = "page_id") -> DataFrame:
+    """``page_id, pos, line``: lines that look like affixes but are in no dictionary entry; requirement lines, hints, names and blank lines are left out."""
+    clean = F.trim(F.regexp_replace("line", r"\s+", " "))
+    rows = lines.select(id_col, "pos", clean.alias("line")).where("line != ''").withColumn("joined", F.regexp_replace("line", C.CJK_GAP, ""))
+    rows = rows.where(~F.rlike("joined", F.lit(C.NOT_AN_AFFIX)) & ~F.rlike("joined", F.lit(C.REQUIREMENT)) & ~is_name_line(F.col("joined")))
+    return rows.where(choose_entry(F.col("line"), F.col("joined"), entries).isNull()).select(id_col, "pos", "line")
+
+
 def condition_pattern(name: str) -> str:
     """The pattern of whole lines that show a condition: its placeholders are numbers, the rest is literal."""
     parts = re.split(r"\{\{[^}]*\}\}", name)

@@ -79,3 +79,17 @@ def throttle(failures: DataFrame, limit: int = 10, window_s: float = 900.0) -> D
 
     rows = failures.select(F.col("key").cast("string"), F.col("ts").cast("double")).where("key is not null and ts is not null")
     return rows.repartition("key").sortWithinPartitions("key", "ts").mapInPandas(run, THROTTLED)
+
+
+def quiet_sessions(rows: DataFrame, by: list[str], order: list[Column], at: Column, gap: int) -> DataFrame:
+    """Adds ``session``, numbered from 1 in each group: rows in order, until one comes ``gap`` or more after the one before it (``at`` is a number)."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    timed = rows.withColumn("_at", at)
+    quiet = F.col("_at") - F.lag("_at").over(w)
+    marked = timed.withColumn("_new", F.when(quiet.isNull() | (quiet >= gap), 1).otherwise(0))
+    return marked.withColumn("session", F.sum("_new").over(w)).drop("_at", "_new")
+
+
+def first_records(rows: DataFrame, by: list[str], value: str, order: Column, flag: Column, flagged: str) -> DataFrame:
+    """``by``, the first ``value`` of each list in order, and whether any row of it has the flag, as ``flagged``."""
+    return rows.groupBy(*by).agg(F.min_by(value, order).alias(value), F.bool_or(F.coalesce(flag, F.lit(False))).alias(flagged))

@@ -81,3 +81,31 @@ def checks_summary(checks: dict[str, Column]) -> list[Column]:
     """Whether all named checks hold, and the names of those that do not, in order."""
     bad = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
     return [(F.size(bad) == 0).alias("passed"), bad.alias("failed_checks")]
+
+
+#: Fixed value: what is said where none of the rows that came has the base's name.
+NO_ROWS_OF_BASE = "網站回傳的 {n} 筆裡沒有名稱是「{base}」的掛單"
+
+
+def rows_of_base(rows: DataFrame, base: Column, name: str = "item_name") -> DataFrame:
+    """The rows whose name is the base, without regard to case; all where no base is asked for (null or empty)."""
+    asked = F.coalesce(base, F.lit(""))
+    return rows.where((asked == "") | F.coalesce(F.lower(name) == F.lower(asked), F.lit(False)))
+
+
+def base_notes(views: DataFrame, rows: DataFrame, by: str, name: str = "item_name") -> DataFrame:
+    """``by, base, rows_before_base, rows, note`` of each view (``by, base, passed``): how many rows came and how many have the base's name.
+
+    Only views that passed and ask for a base are filtered: others count all their rows and have no ``rows_before_base``.  The note is there where all rows went.
+    """
+    asked = F.coalesce(F.col("base"), F.lit("")) != ""
+    counted = rows.select(by, F.lower(name).alias("_name")).groupBy(by, "_name").agg(F.count("*").alias("_c"))
+    both = views.select(by, "base", "passed", F.lower("base").alias("_base")).join(counted, by, "left")
+    g = both.groupBy(by, "base", "passed").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_all"), F.coalesce(F.sum(F.when(F.col("_name") == F.col("_base"), F.col("_c"))), F.lit(0)).alias("_own"))
+    filtered = F.coalesce(F.col("passed"), F.lit(False)) & asked
+    before, after = NO_ROWS_OF_BASE.split("{n}")[0], NO_ROWS_OF_BASE.split("{n}")[1].split("{base}")
+    note = F.concat(F.lit(before), F.col("_all").cast("string"), F.lit(after[0]), F.col("base"), F.lit(after[1]))
+    return g.select(
+        by, "base", F.when(filtered, F.col("_all")).alias("rows_before_base"), F.when(filtered, F.col("_own")).otherwise(F.col("_all")).alias("rows"),
+        F.when(filtered & (F.col("_all") > 0) & (F.col("_own") == 0), note).alias("note"),
+    )

@@ -83,3 +83,11 @@ def first_with_text(records: DataFrame, id_col: str, text_col: str) -> DataFrame
     first = keyed.groupBy("_key").agg(F.min(id_col).alias("first_id"))
     met = keyed.join(first, "_key").drop("_key")
     return met.withColumn("again", F.coalesce(F.col("first_id") != F.col(id_col), F.lit(False)))
+
+
+def name_status(queries: DataFrame, key: str, listed: DataFrame, game_only: DataFrame) -> DataFrame:
+    """Adds ``status``: ``listed``, else ``game_only``, else ``unknown``, by the keys (``key``) of the two tables."""
+    a = listed.select(F.col("key").alias("_a")).where("_a IS NOT NULL").distinct()
+    b = game_only.select(F.col("key").alias("_b")).where("_b IS NOT NULL").distinct()
+    rows = queries.join(a, F.col(key) == F.col("_a"), "left").join(b, F.col(key) == F.col("_b"), "left")
+    return rows.withColumn("status", F.when(F.col("_a").isNotNull(), "listed").when(F.col("_b").isNotNull(), "game_only").otherwise("unknown")).drop("_a", "_b")

@@ -135,3 +135,25 @@ def item_matches(item: Column, title: Column, text: Column) -> Column:
     from marketlens.functions.text import mentions
 
     return F.when(title != "", mentions(title, item) | mentions(item, title)).otherwise(mentions(text, item))
+
+
+#: How a search page says that it found nothing, and what a search text may have besides.
+NOTHING_FOUND = "(?i)no results (?:could be|were) found"
+NOT_IN_QUERY = r"[^A-Za-z0-9 '\-.,:]"
+
+
+def found_nothing(text: Column) -> Column:
+    """Whether a search page says that nothing matched."""
+    return F.coalesce(F.rlike(text, F.lit(NOTHING_FOUND)), F.lit(False))
+
+
+def search_shows_item(url: Column, text: Column, links: Column, item: Column) -> Column:
+    """Whether a search page lists a link with exactly the item's name; ``links`` (an array) and ``item`` are names as ``text.name_key`` gives them."""
+    on_search = F.coalesce(F.rlike(url, F.lit("[?&]search=")), F.lit(False))
+    return F.coalesce(item != "", F.lit(False)) & on_search & ~found_nothing(text) & F.coalesce(F.array_contains(links, item), F.lit(False))
+
+
+def well_formed(query: Column) -> Column:
+    """Whether a search text is plain Latin words with single blanks, so that a search which finds nothing is no typing problem."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(query, NOT_IN_QUERY, " "), r"\s+", " "))
+    return F.coalesce((query != "") & (query == clean), F.lit(False))

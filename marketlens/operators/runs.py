@@ -153,9 +153,10 @@ def retried(attempts: DataFrame, by: list[str], order: Column, status: Column, m
     return g.select(*by, F.coalesce("e._n", "n").alias("tries"), F.when(F.col("e").isNull(), "unavailable").when(F.col("e.s") < 400, "answered").otherwise("error").alias("outcome"))
 
 
-def backoff(attempt: Column, first: float, most: float) -> Column:
-    """Seconds before the next attempt, counted from 0, without the jitter."""
-    return F.least(F.lit(float(first)) * F.pow(F.lit(2.0), attempt), F.lit(float(most)))
+def backoff(attempt: Column, first: float, most: float, jitter: Column | None = None) -> Column:
+    """Seconds before the next attempt, counted from 0; ``jitter``, from 0 to 1 (a random column), makes it up to a tenth longer."""
+    pause = F.least(F.lit(float(first)) * F.pow(F.lit(2.0), attempt), F.lit(float(most)))
+    return pause if jitter is None else pause * (1 + 0.1 * jitter)
 
 
 def paired_deltas(rows: DataFrame, by: list[str], order: list[Column], value: str) -> DataFrame:
@@ -184,3 +185,26 @@ def collapsed(labels: Column, blank: int = 0) -> Column:
     n = F.size(labels)
     runs = F.filter(F.transform(labels, lambda x, i: F.when((i == 0) | (x != F.get(labels, i - 1)), x)), lambda x: x.isNotNull() & (x != blank))
     return F.when(n >= 0, runs)
+
+
+def most_probable(options: DataFrame, by: list[str], option: str, p: str, sure: float = 0.8) -> DataFrame:
+    """``by, choice, p, sure, valid``: the most probable option (the greatest of several), and whether the probabilities add up to 1 within 0.02."""
+    g = options.groupBy(*by).agg(F.max_by(option, F.struct(p, option)).alias("choice"), F.max(p).alias("p"), F.sum(p).alias("_sum"))
+    return g.select(*by, "choice", "p", (F.col("p") >= sure).alias("sure"), (F.abs(F.col("_sum") - 1) <= 0.02).alias("valid"))
+
+
+def reasked(first: DataFrame, second: DataFrame, by: list[str], least: float = 0.5) -> DataFrame:
+    """``by, choice, asked_again, usage`` of decisions ``by, choice, probability, usage``: a decision whose probability is below ``least`` is asked a second time, and the
+    second answer stands, if there is one; the usage of both, a map of numbers, is added up.  A null probability is below any."""
+    again = second.select(*by, F.col("choice").alias("_choice"), F.col("usage").alias("_usage"), F.lit(True).alias("_there"))
+    rows = first.join(again, by, "left")
+    asked = ~F.coalesce(F.col("probability") >= least, F.lit(False)) & F.coalesce("_there", F.lit(False))
+    return rows.select(*by, F.when(asked, F.col("_choice")).otherwise(F.col("choice")).alias("choice"), asked.alias("asked_again"), F.when(asked, summed_usage(F.col("usage"), F.col("_usage"))).otherwise(F.col("usage")).alias("usage"))
+
+
+def reading_order(rows: DataFrame, by: list[str], height: list[Column], across: list[Column], gap: float) -> DataFrame:
+    """Adds ``band`` and ``place``: rows in order of ``height`` (whose first column is a number) are of one band until a step of ``gap`` or more; in a band they are read ``across``."""
+    w = Window.partitionBy(*by).orderBy(*height)
+    step = height[0] - F.lag(height[0]).over(w)
+    banded = rows.withColumn("_step", step).withColumn("band", F.sum(F.when(F.col("_step") >= gap, 1).otherwise(0)).over(w)).drop("_step")
+    return banded.withColumn("place", F.row_number().over(Window.partitionBy(*by, "band").orderBy(*across)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as T
-from marketlens.operators import affixes, dimension, forms, ledger, market, matching, pages, ranks
+from marketlens.operators import affixes, dimension, evaluation, forms, ledger, market, matching, pages, ranks, runs, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,7 +61,8 @@ def q03_property_list(spark, d):
 def q04_first_record(spark, d):
     """The first record of each list, and a flag that needs one condition without another."""
     o = _t(spark, d, "orders")
-    return o.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_order"), F.bool_or((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") != "5-LOW")).alias("required"))
+    flag = (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") != "5-LOW")
+    return ledger.first_records(o, ["o_custkey"], "o_orderkey", F.struct("o_orderdate", "o_orderkey"), flag, "required").withColumnRenamed("o_orderkey", "first_order")
 
 
 @query("""WITH p AS (SELECT p_partkey, list_concat(['Menu', p_name], CASE WHEN p_partkey % 3 != 0 THEN ['Item Type'] ELSE [] END, [p_type, p_brand], CASE WHEN p_partkey % 4 != 0 THEN ['Skills', 'more'] ELSE ['more'] END, ['Skills']) AS l FROM part),
@@ -78,9 +79,8 @@ def q05_between_markers(spark, d):
 @query(r"WITH q AS (SELECT page_id, unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) AS pair FROM pages) SELECT page_id, split_part(pair, '=', 1) AS name, substr(pair, position('=' IN pair) + 1) AS value FROM q WHERE position('=' IN pair) > 1")
 def q06_pairs_in_order(spark, d):
     """Name and value pairs of a separated string, repeats kept."""
-    pair = _t(spark, d, "pages").select("page_id", F.explode(F.split(F.regexp_extract("url", r"\?([^#]*)", 1), "&")).alias("pair"))
-    at = F.instr("pair", "=")
-    return pair.where(at > 1).select("page_id", F.substring_index("pair", "=", 1).alias("name"), F.substr("pair", at + 1).alias("value"))
+    found = T.pairs(F.regexp_extract("url", r"\?([^#]*)", 1))
+    return _t(spark, d, "pages").select("page_id", F.explode(found).alias("p")).select("page_id", "p.name", "p.value")
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(s, '[",\r\n]') THEN '"' || replace(s, '"', '""') || '"' ELSE s END AS cell, regexp_replace(source || '_' || lang, '[^A-Za-z0-9 _-]', '_', 'g') || '.csv' AS file
@@ -307,7 +307,7 @@ def q39_choice(spark, d):
     """The most probable option, whether it is sure, and whether the answer is a distribution."""
     c = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("c"))
     p = c.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("user_id")))
-    return p.groupBy("user_id").agg(F.max_by("event_type", F.struct("p", "event_type")).alias("choice"), F.round(F.max("p"), 9).alias("p"), (F.max("p") >= 0.8).alias("sure"), (F.abs(F.sum("p") - 1) <= 0.02).alias("valid"))
+    return runs.most_probable(p, ["user_id"], "event_type", "p").withColumn("p", F.round("p", 9))
 
 
 @query("""WITH r AS (SELECT *, lag(event_type) OVER w AS prev, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -325,8 +325,7 @@ SELECT user_id, sec, CASE WHEN count(*) OVER w >= 3 THEN round(avg(f) OVER w, 9)
 def q41_running_rate(spark, d):
     """The running mean rate over the last six filled slots, once there are three."""
     s = _t(spark, d, "events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("sec")).agg(F.count("*").alias("f"))
-    w = Window.partitionBy("user_id").orderBy("sec").rowsBetween(-5, 0)
-    return s.select("user_id", "sec", F.when(F.count("*").over(w) >= 3, F.round(F.avg("f").over(w), 9)).alias("fps"))
+    return scan.frame_rate(s, ["user_id"], [F.col("sec")], F.col("f")).select("user_id", "sec", F.round("fps", 9).alias("fps"))
 
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.5), 9) AS middle, quantile_disc(value, 0.5) AS nearest, list_sort(list(value))[count(*) // 2 + 1] AS upper FROM events GROUP BY event_type""")
@@ -349,20 +348,21 @@ def q43_scoreboard(spark, d):
 @query("SELECT o_orderkey, greatest(0, floor((epoch(TIMESTAMP '1998-09-01 00:00:00') - epoch(o_orderdate)) / 86400))::BIGINT AS age_days, floor((epoch(TIMESTAMP '1998-09-01 00:00:00') - epoch(o_orderdate)) / 86400) > 90 AS stale FROM orders")
 def q44_table_age(spark, d):
     """Whole days since a table was made, and whether it is stale."""
-    days = F.floor((F.lit(904608000) - F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))) / 86400)
-    return _t(spark, d, "orders").select("o_orderkey", F.greatest(F.lit(0).cast("long"), days).alias("age_days"), (days > 90).alias("stale"))
+    age, stale = evaluation.table_age(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")), F.lit(904608000))
+    return _t(spark, d, "orders").select("o_orderkey", age.alias("age_days"), stale.alias("stale"))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def q45_resume(spark, d):
     """Rows that no earlier run has finished."""
-    return _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+    return evaluation.unfinished(_t(spark, d, "documents"), _t(spark, d, "labels"), "doc_id").select("doc_id", "lang")
 
 
 @query(r"""SELECT doc_id, NOT regexp_matches(text, '["\p{Cc}\p{Cf}]') AS safe, substr(text, 1, 6000) AS shown, CASE WHEN length(text) > 6000 THEN 'cut' ELSE 'whole' END AS how FROM documents""")
 def q46_validation(spark, d):
     """Whether a text may go into a goal, and what is shown of it."""
-    return _t(spark, d, "documents").select("doc_id", (~F.rlike("text", F.lit(r'["\p{Cc}\p{Cf}]'))).alias("safe"), F.substring("text", 1, 6000).alias("shown"), F.when(F.length("text") > 6000, "cut").otherwise("whole").alias("how"))
+    shown, how = T.shown(F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", T.goal_safe(F.col("text")).alias("safe"), shown.alias("shown"), how.alias("how"))
 
 
 @query("""WITH g AS (SELECT *, value - lag(value) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value, event_id)),
@@ -370,10 +370,8 @@ b AS (SELECT *, sum(CASE WHEN gap >= 10 THEN 1 ELSE 0 END) OVER (PARTITION BY us
 SELECT event_id, band::BIGINT AS band, (row_number() OVER (PARTITION BY user_id, band ORDER BY ts, event_id))::INTEGER AS place FROM b""")
 def q47_reading_order(spark, d):
     """Bands that a gap of ten opens, and the order inside a band."""
-    w = Window.partitionBy("user_id").orderBy("value", "event_id")
-    gap = F.col("value") - F.lag("value").over(w)
-    b = _t(spark, d, "events").withColumn("gap", gap).withColumn("band", F.sum(F.when(F.col("gap") >= 10, 1).otherwise(0)).over(w))
-    return b.select("event_id", "band", F.row_number().over(Window.partitionBy("user_id", "band").orderBy("ts", "event_id")).alias("place"))
+    rows = runs.reading_order(_t(spark, d, "events"), ["user_id"], [F.col("value"), F.col("event_id")], [F.col("ts"), F.col("event_id")], 10)
+    return rows.select("event_id", "band", "place")
 
 
 @query("""WITH g AS (SELECT *, epoch(ts) - lag(epoch(ts)) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -381,10 +379,7 @@ s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 3600 THEN 1 ELSE 0 END) OVER
 SELECT user_id, session::BIGINT AS session, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY user_id, session""")
 def q48_quiet_sessions(spark, d):
     """Sessions that an hour of quiet ends."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    sec = F.unix_micros(F.col("ts").cast("timestamp"))
-    g = _t(spark, d, "events").withColumn("gap", sec - F.lag(sec).over(w))
-    s = g.withColumn("session", F.sum(F.when(F.col("gap").isNull() | (F.col("gap") >= 3_600_000_000), 1).otherwise(0)).over(w))
+    s = ledger.quiet_sessions(_t(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], F.unix_micros(F.col("ts").cast("timestamp")), 3_600_000_000)
     return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 

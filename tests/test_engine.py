@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from marketlens import constants as C
 from marketlens import registry
-from marketlens.operators import affixes, ledger, matching, pages
+from marketlens.operators import affixes, ledger, market, matching, pages
 from marketlens.streaming import events
 from tests.oracle import rows_of_spark, rows_of_sql
 
@@ -131,3 +131,18 @@ def test_equal_texts_of_nulls_blanks_and_repeated_rows(spark):
         [(3, 1, True), (1, 1, False), (1, 1, False), (2, 2, False), (5, 2, True), (None, None, False), (None, 4, False), (4, 4, False)], key=repr
     )
     assert matching.first_with_text(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
+
+
+def test_first_requests_of_a_stream(spark, tmp_path):
+    rows = [("a", 10), ("a", 12), ("b", 11), ("a", 13), ("b", 500)]
+    stream = _source(spark, tmp_path / "in", rows, "key string, t long").select("key", F.timestamp_seconds("t").alias("ts"))
+    assert sorted(r["key"] for r in _run(events.first_requests(stream, ["key"]), "firsts")) == ["a", "b"]
+
+
+def test_rows_of_missing_views_and_bases(spark):
+    views = spark.createDataFrame([(1, "Ring", True), (2, None, True), (3, "Ring", False), (4, "Axe", True), (None, "Axe", True)], "v int, base string, passed boolean")
+    rows = spark.createDataFrame([(1, "ring"), (1, None), (2, "x"), (3, "x"), (1, "RING")], "v int, item_name string")
+    found = {r["v"]: (r["rows_before_base"], r["rows"], r["note"]) for r in market.base_notes(views, rows, "v").collect()}
+    assert found == {1: (3, 2, None), 2: (None, 1, None), 3: (None, 1, None), 4: (0, 0, None), None: (0, 0, None)}
+    lone = market.base_notes(views, rows.where("item_name IS NULL"), "v").where("v = 1").first()
+    assert lone["note"] == "網站回傳的 1 筆裡沒有名稱是「Ring」的掛單"

@@ -23,7 +23,7 @@ def test_scan_with_repeated_keys(spark, tmp_path):
     stores.register(spark)
     scan = spark.read.format("store_scan").load(str(folder))
     assert scan.count() == 5 and scan.rdd.getNumPartitions() == 3
-    assert sorted((r.key, r.fields) for r in stores.records(scan).collect()) == [("code:é", {"limit": "4"}), ("other", {"limit": "1"})]
+    assert sorted((r.key, r.fields) for r in stores.records(scan).collect()) == [("code:é", {"limit": "4", "name": None}), ("other", {"limit": "1"})]
     assert spark.read.format("store_scan").load(str(tmp_path / "none")).count() == 0
 
 
