@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as T
+from marketlens.operators import name_trie
 
 CJK = r"[\x{3400}-\x{9fff}]"
 CJK_RUN = r"[\x{3400}-\x{9fff}][\x{3400}-\x{9fff}\-·‧・.]*"
@@ -92,9 +93,8 @@ def closest_names(pieces: DataFrame, entries: DataFrame, key: str, wide: bool =
     """``key, kind, name, distance, score, matched, size, at``: for each text, each name within its allowed edits, in its best line.
 
     Bases allow one edit more than items, ends of longer runs, and fronts of number lines.  A line that is exactly a type word
-    is no misspelt item.  Pieces are distinct before they meet the dimension, which is a table of some thousand names: Latin pieces meet names
-    of about their length, Chinese ones names that they share a character with (an item of two characters or fewer allows no
-    edit; longer ones keep one character at least within their limit).
+    is no misspelt item.  Pieces are distinct before they meet the dimension.  Latin pieces are walked through tries of its names (``name_trie``).  A Chinese
+    name that allows ``k`` edits is cut into ``k + 1`` parts, one of which a piece has as it is, or is too far; both meet on that part.
     """
     kinds = entries.select("kind", "name", F.col("key").alias("own"), F.length("key").alias("size"), F.rlike("key", F.lit(CJK)).alias("cjk"))
     base = F.col("kind") == "base"
@@ -104,14 +104,23 @@ def closest_names(pieces: DataFrame, entries: DataFrame, key: str, wide: bool =
     types = entries.where("kind = 'base'").select(F.col("key").alias("piece"), F.lit(True).alias("is_type")).distinct()
     own = pieces.select("cjk", "piece").distinct().join(types, "piece", "left")
     n = F.length("piece")
-    # Where they meet: Latin by length, Chinese by each of their characters.
-    spans = F.transform(F.sequence(F.col("size") - F.col("limit"), F.col("size") + F.col("limit")), lambda x: x.cast("string"))
-    letters = lambda c: F.array_distinct(F.split(c, ""))
-    left = own.withColumn("meet", F.explode(F.when(F.col("cjk"), letters(F.col("piece"))).otherwise(F.array(n.cast("string")))))
-    right = kinds.withColumn("meet", F.explode(F.when(F.col("cjk"), letters(F.col("own"))).otherwise(spans)))
-    met = left.join(right.withColumnRenamed("cjk", "_c"), [left["meet"] == right["meet"], F.col("cjk") == F.col("_c")]).select("piece", "cjk", "is_type", "kind", "name", "own", "size", "limit").distinct()
-    distance = F.when(n >= F.col("size") - F.col("limit"), _distance(F.col("piece"), F.col("own"), F.col("limit"), F.col("cjk"), base))
-    met = met.withColumn("distance", distance).where("distance is not null").where(base | F.col("is_type").isNull() | (F.col("distance") == 0))
+    latin = None
+    for which, far in (("base", edits(False, True)), ("item", edits(False, wide))):
+        listed = kinds.where(~F.col("cjk") & (base if which == "base" else ~base))
+        near = name_trie.near_names(own.where("not cjk"), listed.select(F.col("own").alias("name")), far, 2**31 - 1)
+        rows = near.select("piece", F.col("name").alias("own"), "distance").join(listed, "own").join(own.where("not cjk").drop("cjk"), "piece")
+        latin = rows if latin is None else latin.unionByName(rows)
+    cut = lambda i: F.floor(F.col("size") * i / (F.col("limit") + 1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.col("limit")), lambda i: F.substring(F.col("own"), cut(i) + 1, cut(i + 1) - cut(i)))
+    listed = kinds.where("cjk").withColumn("meet", F.explode(F.array_distinct(F.filter(parts, lambda x: x != ""))))
+    # Lengths of parts: a few, whatever the number of names.
+    lengths = [r[0] for r in listed.select(F.length("meet")).distinct().collect()]
+    runs = F.array_distinct(F.flatten(F.array(*[_grams(F.col("piece"), k) for k in lengths]))) if lengths else F.array().cast("array<string>")
+    chinese = own.where("cjk").withColumn("meet", F.explode(runs)).join(listed.drop("cjk"), "meet").drop("meet").distinct()
+    distance = F.when(n >= F.col("size") - F.col("limit"), _distance(F.col("piece"), F.col("own"), F.col("limit"), F.lit(True), base))
+    columns = ["piece", "cjk", "is_type", "kind", "name", "own", "size", "limit", "distance"]
+    met = latin.select(*columns).unionByName(chinese.withColumn("distance", distance).select(*columns))
+    met = met.where("distance is not null").where(base | F.col("is_type").isNull() | (F.col("distance") == 0))
     found = pieces.select(key, "at", "piece", "cjk", "stat_prefix").join(met, ["piece", "cjk"]).where(~F.col("stat_prefix") | base)
     found = found.withColumn("score", F.col("distance") * 100 - F.least("size", F.lit(40)))
     best = F.row_number().over(Window.partitionBy(key, "kind", "name").orderBy("score", "at", "piece"))

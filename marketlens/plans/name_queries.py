@@ -59,7 +59,13 @@ def q25_decisions(spark, d):
     return names.decided(names.candidates(_found(spark, d)[1], "id"), "id", F.when(k % 3 == 0, "gold").when(k % 3 == 1, "blue"))
 
 
-@query()
+@query(f"""WITH {_SQL_NAMES}, x2 AS (SELECT kind, name, key, size, greatest(CASE WHEN size <= 5 THEN 1 ELSE 2 END + 1, round(size * 0.4)) AS lim FROM x),
+m2 AS (SELECT piece, kind, name, size, levenshtein(piece, key) AS distance FROM d, x2 WHERE abs(length(piece) - size) <= lim AND levenshtein(piece, key) <= lim AND (kind = 'base' OR levenshtein(piece, key) = 0 OR piece NOT IN (SELECT key FROM e WHERE kind = 'base'))),
+f2 AS (SELECT id, kind, name, distance, distance * 100 - least(size, 40) AS score, piece AS matched, size, pos, row_number() OVER (PARTITION BY id, kind, name ORDER BY distance * 100 - least(size, 40), pos, piece) AS k FROM p JOIN m2 USING (piece)),
+u1 AS (SELECT id, kind, name, distance, score, matched, size, pos, ord FROM c WHERE NOT strong OR ord <= 3),
+u2 AS (SELECT id, kind, name, distance, score, matched, size, pos, 1000 + row_number() OVER (PARTITION BY id ORDER BY score, pos, name) AS ord FROM f2 WHERE k = 1 AND (id, name) NOT IN (SELECT (id, name) FROM u1)),
+u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o) AS ord FROM (SELECT * EXCLUDE ord, ord AS o FROM u1 UNION ALL SELECT * EXCLUDE ord, ord AS o FROM u2 WHERE ord <= 1005))
+SELECT id, kind, name, distance::INTEGER AS distance, score::INTEGER AS score, matched, size::INTEGER AS size, pos::INTEGER AS "at", ord::INTEGER AS ord FROM u WHERE ord <= 5""")
 def q22_possible_names(spark, d):
     """Up to five possible names, the last of them from a wider search."""
     first = names.candidates(_found(spark, d)[1], "id")
