@@ -43,8 +43,10 @@ def read_numbers(rows: DataFrame, line: Column, percent: Column, ceiling: Column
     off = F.when((n == 3) & (last == "6"), 1).when((n >= 3) & two.isin(*C.MISREAD_PERCENT), 2).when(one_off, 1).otherwise(0)
     number = lambda k: F.coalesce(cut(F.col("_off") + k).try_cast("double"), F.lit(0.0))
     own = F.struct(line.alias("line"), F.coalesce(percent & ~F.contains(line, F.lit("%")), F.lit(False)).alias("unmarked"), ceiling.cast("double").alias("ceiling"))
-    out = rows.withColumn("_in", own).withColumn("_raw", value_digits(F.col("_in.line"))).withColumn("_off", off)
-    out = out.withColumn("_cuts", F.array(number(0), number(1), number(2)))
+    # Each step as a generator's row: what it is made of is worked out once, not again wherever it is used.
+    once_for = lambda c: F.explode(F.array(c))
+    out = rows.withColumn("_in", own).withColumn("_raw", once_for(value_digits(F.col("_in.line")))).withColumn("_off", once_for(off))
+    out = out.withColumn("_cuts", once_for(F.array(number(0), number(1), number(2))))
     at = lambda k: F.get("_cuts", F.lit(k))
     once = (at(0) > bound) & (at(1) >= 1) & (F.col("_off") > 0)
     fixed = F.when(once & (at(1) > bound) & (at(2) >= 1), at(2)).when(once, at(1)).otherwise(at(0))
@@ -81,7 +83,8 @@ def parse_affixes(lines: DataFrame, entries: list[Affix], id_col: str = "page_id
     clean = F.trim(F.regexp_replace("line", r"\s+", " "))
     rows = lines.select(id_col, "pos", clean.alias("line")).withColumn("joined", F.regexp_replace("line", C.CJK_GAP, ""))
     rows = rows.where(~F.rlike("joined", F.lit(C.NOT_AN_AFFIX)) & ~F.rlike("joined", F.lit(C.REQUIREMENT)))
-    rows = rows.withColumn("at", choose_entry(F.col("line"), F.col("joined"), entries)).where("at is not null")
+    # As a generator's row the choice is made once, not again wherever it is used.
+    rows = rows.withColumn("at", F.explode(F.array(choose_entry(F.col("line"), F.col("joined"), entries)))).where("at is not null")
     of = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("at"))
     rows = rows.select(id_col, "pos", "line", of([e.key for e in entries], "string").alias("key"), of([e.kind for e in entries], "string").alias("kind"), of([e.ceiling for e in entries], "double").alias("ceiling"))
     first = rows.groupBy(id_col, "key").agg(F.min_by(F.struct("line", "kind", "ceiling", "pos"), "pos").alias("r")).select(id_col, "key", "r.*")
