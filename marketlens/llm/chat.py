@@ -4,7 +4,7 @@ Template: ``<|turn|>role<|text|>text<|end|>`` per turn.  Control strings in role
 after their first character, one more than they have, so no text can pass for a mark and everything can be
 read back.
 
-Turns go in order of ``turn`` into windows of at most ``budget`` tokens.  The prefix sum of turn tokens is cut into cells of what
+Turns go in order of ``turn`` into windows of at most ``budget`` tokens, as they are estimated: a quarter of the bytes, which may be far fewer than a vocabulary gives.  The prefix sum of turn tokens is cut into cells of what
 the budget leaves beside the system turn and twice ``history``: a turn belongs to the cell that its first token lies in, so every
 window is known without the one before it.  A turn that runs over its cell's end by more than ``history`` could is a window of
 its own.  Every window begins with the system turn (the conversation's first, if its role is system) and with as many of the
