@@ -6,6 +6,7 @@ session in order, sorted inside their partition and read as a stream, and ``stre
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, MutableMapping
 
 import numpy as np
@@ -78,16 +79,18 @@ class StableFrames(Fold):
 class KeyIndex:
     """Keys by their parts: of two keys of one length that differ in at most ``n`` places, ``n + 1`` parts, one part is equal.
 
-    ``parts`` maps a length, a part's number and its characters to the keys that have them, one after another as bytes, so that only these are
-    compared, all at once.  Keys are of characters up to U+00FF, one byte each.
+    ``parts`` maps a length, a part's number and the bucket of its characters to the keys that have them, one after another as bytes, so that only these
+    are compared, all at once.  Buckets bound the number of entries.  Keys are of characters up to U+00FF, one byte each.
     """
 
-    def __init__(self, share: float, parts: MutableMapping[tuple[int, int, str], bytes]):
+    buckets = 4096
+
+    def __init__(self, share: float, parts: MutableMapping[tuple[int, int, int], bytes]):
         self.share, self.parts = share, parts
 
-    def _cuts(self, key: str) -> list[tuple[int, int, str]]:
-        n = max(1, min(int(self.share * len(key)) + 1, len(key)))
-        return [(len(key), i, key[len(key) * i // n : len(key) * (i + 1) // n]) for i in range(n)]
+    def _cuts(self, key: str) -> list[tuple[int, int, int]]:
+        n, raw = max(1, min(int(self.share * len(key)) + 1, len(key))), key.encode("latin-1")
+        return [(len(key), i, zlib.crc32(raw[len(key) * i // n : len(key) * (i + 1) // n]) % self.buckets) for i in range(n)]
 
     def near(self, key: str) -> bool:
         """Whether a key that differs in at most the share of its places is there."""

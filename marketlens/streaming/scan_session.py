@@ -25,7 +25,8 @@ class StateParts(MutableMapping):
 
     def __getitem__(self, key: tuple):
         if key not in self._held:
-            self._held[key] = self._state.getValue(key)[0] if self._state.containsKey(key) else None
+            there = self._state.getValue(key)
+            self._held[key] = there[0] if there is not None else None
         if self._held[key] is None:
             raise KeyError(key)
         return self._held[key]
@@ -66,7 +67,7 @@ class InOrder(StatefulProcessor):
         self._handle = handle
         self._waiting = handle.getListState("waiting", self._fold.columns)
         self._state = handle.getValueState("state", f"last long, {self._fold.state}")
-        self._parts = handle.getMapState("parts", "size int, part int, digits string", "keys binary")
+        self._parts = handle.getMapState("parts", "size int, part int, bucket int", "keys binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
@@ -132,7 +133,8 @@ def stable_frames(stream: DataFrame, late: str = "5 seconds", idle_ms: int = 3_6
 def admitted_keys(stream: DataFrame, late: str = "5 seconds", idle_ms: int = 3_600_000, **limits) -> DataFrame:
     """``session, ts, state`` as ``scan.admitted_keys`` tells it, of all events before the watermark; see ``stable_frames``.
 
-    Keys that were seen are map state by their parts, so an event reads and writes one more entry than there may be differences, whatever was seen before.
+    Keys that were seen are map state by the buckets of their parts, so an event reads and writes one more entry than there may be differences, whatever was seen
+    before, and a batch no entry twice.
     """
     return _folded(stream, Admission(**limits), late, idle_ms)
 

@@ -176,9 +176,9 @@ def test_settled_pages(spark, tmp_path, cuts, seed):
     rows = []
     for page in range(25):
         ts = 10**12 + r.randrange(3000)
-        for _ in range(r.randrange(1, 14)):
-            rows.append((f"p{page}", ts, r.choice(["x", "y", "", None, "z"])))
-            ts += r.choice([0, 40, 100, 99, 130])
+        for k in range(r.randrange(1, 20)):
+            rows.append((f"p{page}", ts, r.choice(["x", "", None, f"t{k}", f"t{k}", f"t{k}", f"t{k}"])))
+            ts += r.choice([0, 40, 60, 80, 99, 50, 70, 100 if page % 2 else 50])
     schema = "page string, ts long, text string"
     want = plain_settling(rows, 100, 400)
     assert {x[3] for x in want} == {True, False}
