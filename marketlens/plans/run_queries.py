@@ -169,7 +169,22 @@ def q49_admission(spark, d):
     return scan.admitted_keys(_t(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), k.alias("ts"), event.alias("event"), key.alias("key")), most=20)
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT user_id::VARCHAR AS session, event_id * 30 AS ts, floor(value / 40)::BIGINT AS v, event_id % 17 != 0 AS shown FROM events),
+r AS (SELECT session, ts, CASE WHEN shown THEN v * 4 END AS x, v % 3 AS y, v::VARCHAR AS hash, rpad(v::VARCHAR, 16, '0') AS key, row_number() OVER (PARTITION BY session ORDER BY ts) AS n FROM v),
+s AS (
+  SELECT DISTINCT session, 0::BIGINT AS n, NULL::BIGINT AS ts, NULL::BIGINT AS used, 0::BIGINT AS streak, false AS told, NULL::BIGINT AS x, NULL::BIGINT AS y, NULL::VARCHAR AS hash, NULL::BIGINT AS hx, NULL::BIGINT AS hy, NULL::VARCHAR AS hkey, NULL::VARCHAR AS state FROM r
+  UNION ALL
+  SELECT session, n, ts, CASE WHEN state = 'skipped' THEN used ELSE ts END, CASE WHEN state = 'none' THEN 0 WHEN state IN ('skipped', 'held') THEN streak ELSE run END,
+    CASE WHEN state IN ('skipped', 'held') THEN told ELSE state = 'emitted' OR state = 'waiting' AND same AND told END, CASE WHEN state = 'none' THEN NULL WHEN state IN ('skipped', 'held') OR same THEN x ELSE nx END,
+    CASE WHEN state = 'none' THEN NULL WHEN state IN ('skipped', 'held') OR same THEN y ELSE ny END, CASE WHEN state = 'none' THEN NULL WHEN state IN ('skipped', 'held') OR same THEN hash ELSE nhash END,
+    CASE state WHEN 'none' THEN NULL WHEN 'emitted' THEN nx ELSE hx END, CASE state WHEN 'none' THEN NULL WHEN 'emitted' THEN ny ELSE hy END, CASE state WHEN 'none' THEN NULL WHEN 'emitted' THEN nkey ELSE hkey END, state
+  FROM (
+    SELECT *, CASE WHEN coalesce(ts - used < 66, false) THEN 'skipped' WHEN nx IS NULL THEN 'none' WHEN held THEN 'held' WHEN run < 2 OR same AND told THEN 'waiting' ELSE 'emitted' END AS state FROM (
+      SELECT *, CASE WHEN same THEN streak + 1 ELSE 1 END AS run FROM (
+        SELECT r.session, r.n, r.ts, r.x AS nx, r.y AS ny, r.hash AS nhash, r.key AS nkey, s.used, s.streak, s.told, s.x, s.y, s.hash, s.hx, s.hy, s.hkey, coalesce(abs(s.x - r.x) <= 2 AND abs(s.y - r.y) <= 2 AND s.hash = r.hash, false) AS same,
+          coalesce(abs(hx - r.x) <= 6 AND abs(hy - r.y) <= 6 AND len(list_filter(range(1, 17), lambda i: substr(r.key, i, 1) != substr(hkey, i, 1))) <= 4, false) AS held
+        FROM s JOIN r ON r.session = s.session AND r.n = s.n + 1))))
+SELECT session, ts, state FROM s WHERE n > 0""")
 def q40_stable_frames(spark, d):
     """Stable and held panels, each user's events as a session of frames."""
     k = F.col("event_id")

@@ -34,7 +34,18 @@ def q40_fallback_reads(spark, d):
     return scan.fallback_reads(e)
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id::VARCHAR AS session, event_id, event_id * 30 AS ts, ['set', 'get', 'expire', 'get', 'del', 'set', 'get'][event_id % 7 + 1] AS command, event_type FROM events),
+r AS (SELECT session, ts, command, event_type AS given, ts + CASE WHEN command = 'expire' OR event_id % 3 = 0 THEN event_id % 50 * 60 + 1 END AS until, CASE WHEN command = 'expire' THEN ['NX', 'XX', 'GT', 'LT'][event_id // 7 % 4 + 1] END AS cond,
+  row_number() OVER (PARTITION BY session ORDER BY ts) AS n FROM c),
+s AS (
+  SELECT DISTINCT session, 0::BIGINT AS n, NULL::BIGINT AS ts, NULL::VARCHAR AS value, NULL::BIGINT AS ends, NULL::VARCHAR AS result FROM r
+  UNION ALL
+  SELECT session, n, ts, CASE command WHEN 'set' THEN given WHEN 'del' THEN NULL ELSE value END, CASE WHEN command = 'set' THEN until WHEN command = 'del' THEN NULL WHEN command = 'expire' AND done THEN until ELSE ends END,
+    CASE command WHEN 'get' THEN value WHEN 'set' THEN '1' ELSE CASE WHEN done THEN '1' ELSE '0' END END
+  FROM (SELECT *, value IS NOT NULL AND (command = 'del' OR CASE cond WHEN 'NX' THEN ends IS NULL WHEN 'XX' THEN ends IS NOT NULL WHEN 'GT' THEN coalesce(until > ends, false) ELSE coalesce(until < ends, true) END) AS done
+    FROM (SELECT r.session, r.n, r.ts, command, given, until, cond, CASE WHEN coalesce(s.ends <= r.ts, false) THEN NULL ELSE s.value END AS value, CASE WHEN coalesce(s.ends <= r.ts, false) THEN NULL ELSE s.ends END AS ends
+      FROM s JOIN r ON r.session = s.session AND r.n = s.n + 1)))
+SELECT session, ts, result FROM s WHERE n > 0""")
 def q37_expiring_keys(spark, d):
     """A store's commands in order, each user's events as those of one key."""
     k = F.col("event_id")
