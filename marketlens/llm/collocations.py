@@ -29,11 +29,11 @@ from marketlens.llm.shingles import _MULT, mix64, runs
 from marketlens.storage import Scratch
 
 #: Bytes of text in a shard; a longer text is cut at words.
-_ROOM = 8_000_000
+_ROOM = 4_000_000
 #: Bits of a filter, and bytes of the pages that it is put together from.
 _BITS, _PAGE = 1 << 27, 4096
 #: Blocks of bitmaps that are extended together.
-_BATCH = 1 << 17
+_BATCH = 1 << 16
 
 _U = np.uint64
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
