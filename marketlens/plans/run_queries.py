@@ -126,7 +126,8 @@ def q42_paired(spark, d):
 SELECT vec_id, array_to_string(list_filter(list_transform(l, lambda x, i: CASE WHEN i = 1 OR x != l[i - 1] THEN x END), lambda x: x IS NOT NULL AND x != 0), '') AS read FROM v""")
 def q47_collapse(spark, d):
     """Step-by-step labels collapsed to what was read."""
-    labels = F.transform("embedding", lambda x: (F.floor(F.abs(x) * 20) % 4).cast("int"))
+    # The product is a float, as the cells are: as a double, a cell just below a step would stay below it.
+    labels = F.transform("embedding", lambda x: (F.floor(F.abs(x) * F.lit(20.0).cast("float")) % 4).cast("int"))
     rows = _t(spark, d, "embeddings").select("vec_id", labels.alias("l"))
     return rows.select("vec_id", F.array_join(F.transform(runs.collapsed(F.col("l")), lambda x: x.cast("string")), "").alias("read"))
 
