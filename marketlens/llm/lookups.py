@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm.arrays import pack, unpack
 
+_COLUMNS = ["chunk", "kind", "shard", "n", "keys", "counts", "blob"]
 CHUNK = "chunk long, kind int, shard int, n long, keys binary, counts binary, blob binary"
 #: Chunks whose keys are summed in one lane, and chunks that get their answers in one: each lane of the latter gets a shard's values once.
 _LANE, _ANSWER_LANE = 64, 512
@@ -61,12 +62,50 @@ def chunks(docs: DataFrame, keys: Keys, shards: int, chunk_bytes: int) -> DataFr
     """
 
     def close(chunk: int, ids: list, train: list, texts: list, tags: list) -> pd.DataFrame:
-        out = [(chunk, -1, -1, len(texts), None, None, write_blob(ids, train, texts, tags))]
-        for kind, (k, c, s) in enumerate(keys(texts, np.array(train, dtype=bool))):
-            for shard, own in by_shard(s):
-                out.append((chunk, kind, shard, len(own), pack(k[own], ascending=True), pack(c[own].astype(np.int64)), None))
-        return pd.DataFrame(out, columns=["chunk", "kind", "shard", "n", "keys", "counts", "blob"])
+        blob = pd.DataFrame([(chunk, -1, -1, len(texts), None, None, write_blob(ids, train, texts, tags))], columns=_COLUMNS)
+        return pd.concat([blob, asked_keys(chunk, keys(texts, np.array(train, dtype=bool)))], ignore_index=True)
 
+    return _gathered(docs, close, CHUNK, chunk_bytes)
+
+
+def asked_keys(chunk: int, keys: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """The rows of a chunk's keys, by kind and shard."""
+    out = []
+    for kind, (k, c, s) in enumerate(keys):
+        for shard, own in by_shard(s):
+            out.append((chunk, kind, shard, len(own), pack(k[own], ascending=True), pack(c[own].astype(np.int64)), None))
+    return pd.DataFrame(out, columns=_COLUMNS)
+
+
+def text_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """``chunk, ids, blob`` from ``doc_id, text, train``: texts alone, for keys that depend on which rows are wanted (``places``)."""
+
+    def close(chunk: int, ids: list, train: list, texts: list, tags: list) -> pd.DataFrame:
+        told = [int(i) if i is not None and i == i else None for i in ids]
+        return pd.DataFrame({"chunk": [chunk], "ids": [told], "blob": [write_blob(ids, train, texts, tags)]})
+
+    return _gathered(docs, close, "chunk long, ids array<long>, blob binary", chunk_bytes)
+
+
+def places(gathered: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``chunk, places``: where in each chunk of ``gathered`` the rows with a wanted ``id`` are.  Ids meet without their texts; a chunk gets a byte or so for each hit."""
+
+    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "places": [pack(np.sort(pdf["at"].to_numpy()).astype(np.uint64), ascending=True)]})
+
+    ids = gathered.select("chunk", F.posexplode("ids").alias("at", "id")).where("id is not null")
+    return ids.join(wanted.select("id"), "id", "left_semi").groupBy("chunk").applyInPandas(tell, "chunk long, places binary")
+
+
+def flags_of(packed: bytes | None, n: int) -> np.ndarray:
+    """Flags of a chunk's ``n`` rows from its ``places``."""
+    flags = np.zeros(n, dtype=bool)
+    if packed is not None:
+        flags[unpack(packed, np.uint64, ascending=True).astype(np.int64)] = True
+    return flags
+
+
+def _gathered(docs: DataFrame, close: Callable[..., pd.DataFrame], schema: str, chunk_bytes: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunk, size = TaskContext.get().partitionId() << 32, 0
         ids, train, texts, tags = [], [], [], []
@@ -84,7 +123,7 @@ def chunks(docs: DataFrame, keys: Keys, shards: int, chunk_bytes: int) -> DataFr
         if texts:
             yield close(chunk, ids, train, texts, tags)
 
-    return docs.select("doc_id", "text", "train", "tag").mapInPandas(run, CHUNK)
+    return docs.select("doc_id", "text", "train", "tag").mapInPandas(run, schema)
 
 
 def merge(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,8 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model predicts each byte of a text, and its end, from the three before it.  It is fitted on a sample of trusted
-rows of bounded size; the sample is the only thing that is bounded.  Counts and values travel as distinct
+The model predicts each byte of a text, and its end, from the three before it.  Trusted rows fall into two halves by a
+hash of their id: the model is fitted on all of one half, thresholds come from all of the other.  Ids meet the trusted ones
+without their texts, and the chunks of texts learn which of their rows are fitted.  Counts and values travel as distinct
 n-grams of chunks to shards and back (see ``lookups``): a join of counts, sharded by the last two bytes of the
 context.  Continuation counts and discounts of the two lowest orders have at most 256 * 256 entries, which
 the driver holds.  Each document's perplexity then meets the threshold of its language, a quantile over trusted
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.arrays import pack, unpack
-from marketlens.llm.lookups import answers, by_shard, chunks, merge, read_blob, shard_count, totals
+from marketlens.llm.lookups import CHUNK, answers, asked_keys, by_shard, flags_of, merge, places, read_blob, shard_count, text_chunks, totals
 from marketlens.llm.shingles import mix64, runs
 from marketlens.storage import Scratch
 
@@ -103,30 +104,30 @@ class LowOrders:
         return np.log2(interpolate(keys >> _U(8), counts.astype(np.float64), p3[at], self.d4))
 
 
-def document_perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 20_000, chunk_bytes: int = 24_000_000) -> DataFrame:
+def document_perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = 24_000_000) -> DataFrame:
     """``doc_id, lang, fitted, n_bytes, bits_per_byte, perplexity`` for every row.
 
-    ``trusted`` has the ids (``id_col``) of trusted rows; at most ``sample_rows`` of them, the first by a hash, are fitted
-    on, and never more than half of them.  Perplexity is per byte, ends included.  Null texts count as empty.  Without
+    ``trusted`` has the ids (``id_col``) of trusted rows; the half of them with an even hash is fitted on.  Perplexity is per byte, ends included.  Null texts count as empty.  Without
     trusted rows every byte has probability 1/256.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     ids = trusted.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     half = ids.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0)
-    fitted = {r["id"] for r in half.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample_rows).collect()}
-    chosen = spark.sparkContext.broadcast(fitted)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("tag"), F.lit(False).alias("train"))
+    shards = shard_count(rows)
+    texts_of = scratch.table(text_chunks(rows, chunk_bytes), "texts")
+    fitted = scratch.table(places(texts_of, half), "fitted")
+    blobs = texts_of.select("chunk", "blob").join(fitted, "chunk", "left")
+    n_chunks = texts_of.select("chunk").count()
 
-    @F.pandas_udf("boolean")
-    def is_fitted(x: pd.Series) -> pd.Series:
-        return x.map(lambda i: i in chosen.value).astype(bool)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for chunk, blob, packed in zip(pdf["chunk"].tolist(), pdf["blob"], pdf["places"]):
+                _, _, texts, _ = read_blob(blob)
+                yield asked_keys(chunk, chunk_keys(texts, flags_of(packed, len(texts)), shards))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("tag"))
-    shards = shard_count(rows)
-    rows = rows.withColumn("train", is_fitted(F.coalesce("doc_id", F.lit(-(1 << 62)))))
-    written = scratch.table(chunks(rows, lambda t, flags: chunk_keys(t, flags, shards), shards, chunk_bytes), "chunks")
-    blobs, asked = written.where("kind = -1").select("chunk", "blob"), written.where("kind >= 0").select("chunk", "kind", "shard", "keys", "counts")
-    n_chunks = blobs.select("chunk").count()
+    asked = scratch.table(blobs.mapInPandas(count, CHUNK).select("chunk", "kind", "shard", "keys", "counts"), "chunks")
     summed = scratch.table(totals(asked, n_chunks), "totals")
 
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +157,8 @@ def document_perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_
     columns = ["doc_id", "lang", "fitted", "n_bytes", "log2_p"]
 
     def score(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        doc_ids, flags, texts, langs = read_blob(own["blob"].iloc[0])
+        doc_ids, _, texts, langs = read_blob(own["blob"].iloc[0])
+        flags = flags_of(own["places"].iloc[0], len(texts))
         ((keys, _, of),) = chunk_keys(texts, flags, shards)
         v, places = np.zeros(len(keys)), dict(by_shard(of))
         for shard, packed in zip(known["shard"], known["values"]):

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from marketlens import registry
+from marketlens.llm import quality
 from tests.oracle import rows_of_spark, rows_of_sql
 
 
@@ -22,3 +24,9 @@ def test_collapsed_cells_at_their_steps(spark, tmp_path):
     table = pa.table({"vec_id": pa.array(range(4), pa.int64()), "embedding": pa.array([v.tolist() for v in vectors], pa.list_(pa.float32())), "label": pa.array([0] * 4, pa.int32())})
     pq.write_table(table, tmp_path / "embeddings.parquet")
     _agree(spark, "q47_collapse", tmp_path)
+
+
+def test_every_trusted_row_is_fitted_or_judged(spark):
+    docs = spark.range(44_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 10).alias("text"), F.lit("en").alias("lang"))
+    found = quality.document_perplexity(docs, docs.select("doc_id"), chunk_bytes=20_000).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    assert found.where("fitted != half").count() == 0 and found.where("fitted").count() > 20_000
