@@ -1,11 +1,14 @@
 """Page text to listing cards and finished trades: running segment ids, no loops over lines.
 
-All operators take ``lines``: one row per line with a page key, its position and the line.  They share one window
-per page (partitioned by the key, ordered by position), so a page is shuffled and sorted once.
+Operators of lines take ``lines``: one row per line with a page key, its position and the line, and share one window
+per page.  Cards and trades of whole pages (``page_cards``, ``all_trades``) take the texts: a page's lines stay an array in
+its row, so nothing is sorted, and a task holds one page at a time, whatever the number of its lines in all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,44 +67,76 @@ def segments(lines: DataFrame, closes: Column, key: str = "page_id") -> DataFram
     return lines.withColumn("seg", seg).withColumn("_closed", all_closed).where("seg < _closed").drop("_closed")
 
 
-def _first(value: Column, when: Column) -> Column:
-    return F.min_by(F.when(when, value), F.when(when, F.col("pos")))
+def _gathered(lines: DataFrame, *by: str) -> DataFrame:
+    """``by, lines``: the lines of each group as an array, in order of position."""
+    rows = lines.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_rows"))
+    return rows.select(*by, F.col("_rows.line").alias("lines"))
+
+
+def _where(lines: Column, holds: Callable[[Column], Column]) -> Column:
+    """The place, from 0, of the first line where ``holds`` is true; null if there is none."""
+    return (F.nullif(F.array_position(F.transform(lines, holds), True), F.lit(0)) - 1).cast("int")
+
+
+def _places(lines: Column, holds: Callable[[Column], Column]) -> Column:
+    """The places of all lines where ``holds`` is true."""
+    return F.filter(F.transform(lines, lambda x, i: F.when(holds(x), i)), lambda i: i.isNotNull())
+
+
+def _cut(lines: Column, first: Column, upto: Column) -> Column:
+    """Lines from place ``first`` on, without ``upto``; null limits give nothing."""
+    return F.when(upto > first, F.slice(lines, first + 1, upto - first)).otherwise(F.array().cast("array<string>"))
 
 
-def _in_order(value: Column, when: Column, pos: Column) -> Column:
-    """The values of the lines where ``when`` holds, in order of position."""
-    return F.transform(F.array_sort(F.collect_list(F.when(when, F.struct(pos.alias("p"), value.alias("v"))))), lambda x: x["v"])
+def _is_time(line: Column, pattern: str) -> Column:
+    """Whether a line is a time, by its last character first: no other ends an alternative of the patterns."""
+    return F.right(line, F.lit(1)).isin(*"oOwW0123456789前剛日") & F.rlike(line, F.lit(pattern))
+
+
+def page_cards(pages: DataFrame, key: str = "page_id", item: str | None = None, text: str = "text") -> DataFrame:
+    """``cards`` of whole texts: the lines of ``listing_lines``, in ``segments`` that end with a time, which no noise line is."""
+    rows = pages.select(key, T.lines(F.col(text)).alias("lines"))
+    rows = rows.withColumn("_from", F.coalesce(F.array_max(_places(F.col("lines"), lambda x: F.contains(x, F.lit(C.LISTING_START)))), F.lit(-1)) + 1)
+    rows = rows.select(key, _cut(F.col("lines"), F.col("_from"), F.size("lines")).alias("lines"))
+    rows = rows.withColumn("_upto", F.coalesce(_where(F.col("lines"), lambda x: F.contains(x, F.lit(C.LISTING_END)) | (x == "HELP")), F.size("lines")))
+    rows = rows.select(key, F.filter(_cut(F.col("lines"), F.lit(0), F.col("_upto")), lambda x: ~F.lower(x).isin(*C.NOISE_LINES)).alias("lines"))
+    rows = rows.withColumn("_ends", _places(F.col("lines"), lambda x: _is_time(x, C.CARD_TIME)))
+    after = lambda j: F.coalesce(F.get("_ends", j - 1), F.lit(-1)) + 1
+    parts = rows.select(key, F.posexplode_outer(F.transform("_ends", lambda e, j: _cut(F.col("lines"), after(j), e + 1))).alias("seg", "lines"))
+    return _cards(parts.where("seg IS NOT NULL"), key, item)
 
 
 def cards(lines: DataFrame, key: str = "page_id", item: str | None = None) -> DataFrame:
-    """One row per listing card with its fields; noise lines count nowhere.
+    """One row per listing card with its fields, from ``segments``; noise lines count nowhere.
 
     With a known ``item`` the item line is the first that has it, without regard to case; a card without it keeps the given
     name.  Else it is the first like ``2 X Name``, and its name counts.  The seller and the rating in parentheses are the first
     two lines of a card; where the item line was found without a known name, they are the nearest rating above it and
     the line above that, and a card without either is none.  What stands between the item line and the marker are its properties.
     """
-    low, line, pos = F.lower("line"), F.col("line"), F.col("pos")
-    own = Window.partitionBy(key, "seg")
-    kept = lines.where(~low.isin(*C.NOISE_LINES)).withColumn("pos", F.row_number().over(own.orderBy("pos")) - 1)
-    is_item = F.contains(low, F.lit(item.lower())) if item else F.rlike(line, F.lit(r"^[0-9]+\s*[xX]\s+(.+)$"))
-    rating = line.startswith("(") & line.endswith(")")
-    at = kept.withColumn("_item", F.min(F.when(is_item, pos)).over(own)).withColumn("_mark", F.min(F.when(line.isin(*C.CARD_MARKERS), pos)).over(own)).withColumn("_end", F.max(pos).over(own))
-    top = F.lit(0) if item else F.when(F.col("_item").isNull(), 0).otherwise(F.max(F.when(rating & (pos < F.col("_item")), pos)).over(own) - 1)
-    at = at.withColumn("_top", top)
-    middle = (pos > F.col("_item")) & (pos < F.col("_mark"))
-    asks = (pos >= F.col("_mark")) & (pos < F.col("_end"))
-    value = asks & line.startswith("High Rune Value:")
-    rows = at.groupBy(key, "seg").agg(
-        _first(line, pos == F.col("_top")).alias("seller"),
-        _first(line, rating & (pos == F.col("_top") + 1)).alias("rating"),
-        F.max_by(line, pos).alias("posted_time"),
-        _first(line, pos == F.col("_item")).alias("item_line"),
-        _in_order(line, middle, pos).alias("mid"),
-        _in_order(line, asks & ~value & (line != "Trading For"), pos).alias("asks"),
-        F.max_by(F.when(value, line), F.when(value, pos)).alias("high_rune_value"),
-        F.max(F.when(line == "Make an Offer", 1).otherwise(0)).alias("offer"),
-    )
+    return _cards(_gathered(lines.where(~F.lower("line").isin(*C.NOISE_LINES)), key, "seg"), key, item)
+
+
+def _cards(rows: DataFrame, key: str, item: str | None) -> DataFrame:
+    """Cards from ``key, seg, lines``, a segment's lines as an array without noise."""
+    kept, at, mark = F.col("lines"), F.col("_item"), F.col("_mark")
+    is_item = (lambda x: F.contains(F.lower(x), F.lit(item.lower()))) if item else (lambda x: F.rlike(x, F.lit(r"^[0-9]+\s*[xX]\s+(.+)$")))
+    rating = lambda x: x.startswith("(") & x.endswith(")")
+    value = lambda x: x.startswith("High Rune Value:")
+    rows = rows.withColumns({"seg": F.col("seg").cast("long"), "_item": _where(kept, is_item), "_mark": _where(kept, lambda x: x.isin(*C.CARD_MARKERS))})
+    rows = rows.withColumn("_top", F.lit(0) if item else F.when(at.isNull(), 0).otherwise(F.array_max(_places(_cut(kept, F.lit(0), at), rating)) - 1))
+    rows = rows.withColumns({"_second": F.get(kept, F.col("_top") + 1), "_asks": _cut(kept, mark, F.size(kept) - 1)})
+    rows = rows.select(
+        key, "seg",
+        F.get(kept, F.col("_top")).alias("seller"),
+        F.when(rating(F.col("_second")), F.col("_second")).alias("rating"),
+        F.element_at(kept, -1).alias("posted_time"),
+        F.get(kept, at).alias("item_line"),
+        _cut(kept, at + 1, mark).alias("mid"),
+        F.filter("_asks", lambda x: ~value(x) & (x != "Trading For")).alias("asks"),
+        F.try_element_at(F.filter("_asks", value), F.lit(-1)).alias("high_rune_value"),
+        F.when(F.array_contains(kept, "Make an Offer"), 1).otherwise(0).alias("offer"),
+    )
     # Each of these is used many times below: its own projection computes it once.
     rows = rows.withColumn("low", F.lower(F.array_join("mid", " "))).withColumn("asked", F.trim(F.array_join("asks", " ")))
     mid_text = F.col("low")
@@ -151,33 +186,61 @@ def or_price(received: Column) -> Column:
     return F.when(done == "", "Unknown").otherwise(done)
 
 
+def _finished(lines: Column, starts: Column) -> Column:
+    """From each start line to the next, the lines up to the first time line, with it; null without one."""
+    starting = C.TRADE_START.lower()
+    block = lambda s, j: _cut(lines, s, F.coalesce(F.get(starts, j + 1), F.size(lines)))
+    over = lambda b: F.slice(b, 1, _where(b, lambda x: _is_time(x, C.TRADE_TIME) & (F.lower(x) != starting)) + 1)
+    return F.transform(F.transform(starts, block), over)
+
+
+def _told(line: Column) -> Column:
+    """Whether a line of a trade is none of its own words."""
+    return ~F.lower(line).isin("i give", C.TRADE_START.lower()) & ~F.lower(line).startswith("high rune value")
+
+
+def _token(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, "•+$", ""))
+
+
+def _given(token: Column) -> Column:
+    return (token != "") & ~F.lower(token).isin(*C.TRADE_TAGS) & (token != "Additional Item(s)")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Adds ``found``, the ``block`` (from 1) and ``lines`` of each finished trade, to rows with ``lines``."""
+    rows = rows.withColumn("_starts", _places(F.col("lines"), lambda x: F.lower(x) == C.TRADE_START.lower()))
+    rows = rows.withColumn("_done", _finished(F.col("lines"), F.col("_starts"))).drop("_starts")
+    some = lambda b: F.exists(F.slice(b["lines"], 1, F.size(b["lines"]) - 1), lambda x: _told(x) & _given(_token(x)))
+    numbered = F.transform("_done", lambda b, j: F.struct((j + 1).cast("long").alias("block"), b.alias("lines")))
+    return rows.withColumn("found", F.filter(numbered, lambda b: b["lines"].isNotNull() & some(b))).drop("_done")
+
+
+def _trades(rows: DataFrame, key: str) -> DataFrame:
+    """Fields of trades from ``key, block, lines, marked``: the lines up to the time, or the item, price and time at a marker."""
+    body = F.slice("lines", 1, F.size("lines") - 1)
+    rows = rows.withColumn("_body", F.when(F.col("marked"), F.array().cast("array<string>")).otherwise(body))
+    rows = rows.withColumn("_give", F.coalesce(_where(F.col("_body"), lambda x: F.lower(x) == "i give"), F.size("_body")))
+    rows = rows.withColumns({"_front": F.filter(_cut(F.col("_body"), F.lit(0), F.col("_give")), _told), "_back": F.filter(_cut(F.col("_body"), F.col("_give"), F.size("_body")), _told)})
+    rows = rows.withColumns({"_gave": F.filter(F.transform("_front", _token), _given), "_received": F.filter(F.transform("_back", _token), _given)})
+    rows = rows.withColumn("_low", F.transform("_front", F.lower))
+    known = lambda f: F.filter(F.transform("_low", f), lambda v: v.isNotNull())
+    last = lambda k: F.try_element_at(known(lambda x: environment(x)[k]), F.lit(-1))
+    item = F.when(F.size("_gave") > 0, F.array_join("_gave", ", ")).otherwise("Unknown")
+    marked = lambda i, other: F.when(F.col("marked"), F.get("lines", F.lit(i))).otherwise(other)
+    return rows.select(
+        key, "block", marked(0, item).alias("item"), marked(1, or_price(F.col("_received"))).alias("price"), F.element_at("lines", -1).alias("trade_time"),
+        F.get(known(trade_platform), F.lit(0)).alias("platform"), last(0).alias("mode"), last(1).alias("ladder"), last(2).alias("game_version"),
+    )
+
+
 def trades(lines: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per finished trade: what was given and received, when, and where.
 
     A block runs from its start line to the first time line before the next start; without a time line, or with nothing
     on either side, it is none.
     """
-    low, line, pos = F.lower("line"), F.col("line"), F.col("pos")
-    w = Window.partitionBy(key).orderBy("pos")
-    block = F.sum(F.when(low == C.TRADE_START.lower(), 1).otherwise(0)).over(w)
-    rows = lines.withColumn("block", block).where("block > 0")
-    own = Window.partitionBy(key, "block")
-    done = F.min(F.when(F.rlike(line, F.lit(C.TRADE_TIME)) & (low != C.TRADE_START.lower()), pos)).over(own)
-    side = F.max(F.when(low == "i give", 1).otherwise(0)).over(own.orderBy("pos"))
-    rows = rows.withColumn("_done", done).withColumn("_side", side).where("pos <= _done")
-    text = (pos < F.col("_done")) & ~low.isin("i give", C.TRADE_START.lower()) & ~low.startswith("high rune value")
-    token = F.trim(F.regexp_replace(line, "•+$", ""))
-    good = (token != "") & ~F.lower(token).isin(*C.TRADE_TAGS) & (token != "Additional Item(s)")
-    last = lambda v: F.max_by(v, F.when(v.isNotNull() & text & (F.col("_side") == 0), pos))
-    mode, ladder, version = environment(low)
-    parts = rows.groupBy(key, "block").agg(
-        _in_order(token, text & good & (F.col("_side") == 0), pos).alias("gave"), _in_order(token, text & good & (F.col("_side") == 1), pos).alias("received"),
-        F.max_by(line, pos).alias("trade_time"), last(mode).alias("mode"), last(ladder).alias("ladder"), last(version).alias("game_version"),
-        _first(trade_platform(line), text & (F.col("_side") == 0) & trade_platform(line).isNotNull()).alias("platform"),
-    )
-    return parts.where((F.size("gave") > 0) | (F.size("received") > 0)).select(
-        key, "block", F.when(F.size("gave") > 0, F.array_join("gave", ", ")).otherwise("Unknown").alias("item"), or_price(F.col("received")).alias("price"), "trade_time", "platform", "mode", "ladder", "game_version"
-    )
+    return _trades(_blocks(_gathered(lines, key)).select(key, F.inline_outer("found")).where("block IS NOT NULL").withColumn("marked", F.lit(False)), key)
 
 
 def trade_platform(line: Column) -> Column:
@@ -199,8 +262,13 @@ def marker_trades(lines: DataFrame, key: str = "page_id", closes: Column | None
     return near.where(closes).drop("line")
 
 
-def all_trades(lines: DataFrame, key: str = "page_id") -> DataFrame:
-    """``key, block, item, price, trade_time, platform, mode, ladder, game_version``: trades in blocks, and of pages without any, by markers."""
-    blocks = trades(lines, key)
-    others = lines.join(blocks.select(key).distinct(), key, "left_anti")
-    return blocks.unionByName(marker_trades(others, key).withColumnRenamed("pos", "block"), allowMissingColumns=True)
+def all_trades(pages: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
+    """``key, block, item, price, trade_time, platform, mode, ladder, game_version`` of whole texts: trades in blocks, and of pages without any, by
+    markers as in ``marker_trades``, whose line's position is the ``block``."""
+    rows = _blocks(pages.select(key, T.lines(F.col(text)).alias("lines")))
+    done = _places(F.col("lines"), lambda x: F.lower(x).isin(*[m.lower() for m in C.TRADE_DONE_MARKERS]))
+    beside = lambda i, d: F.coalesce(F.get("lines", i), F.lit(d))
+    marked = F.transform(done, lambda i: F.struct(i.cast("long").alias("block"), F.array(beside(i - 1, "Unknown"), beside(i + 1, ""), beside(i + 2, "")).alias("lines")))
+    none = F.size("found") == 0
+    parts = rows.select(key, none.alias("marked"), F.explode_outer(F.when(none, marked).otherwise(F.col("found"))).alias("p"))
+    return _trades(parts.where("p IS NOT NULL").select(key, "marked", "p.block", "p.lines"), key)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens import constants as C
 from marketlens.operators import pages
 from marketlens.plans.queries import _t, query
 
@@ -35,8 +34,7 @@ def listing_pages(spark, d) -> DataFrame:
 
 
 def _cards(spark, d, item: str | None) -> DataFrame:
-    lines = pages.listing_lines(pages.page_lines(listing_pages(spark, d), "o_custkey"), "o_custkey")
-    found = pages.cards(pages.segments(lines, F.rlike("line", F.lit(C.CARD_TIME)), "o_custkey"), "o_custkey", item)
+    found = pages.page_cards(listing_pages(spark, d), "o_custkey", item)
     joined = [F.array_join(c, ";").alias(c) for c in ("stats", "affixes")]
     plain = ["o_custkey", "seller", "rating", "posted_time", "item_name", "platform", "mode", "ladder", "game_version", "is_ethereal", "is_unidentified", "defense", "ask", "high_rune_value"]
     return found.select(*plain, F.col("seg").cast("long").alias("seg"), *joined)
@@ -85,6 +83,6 @@ def q14_trades(spark, d):
     ]
     made = _page(o, "o_custkey", "o_orderkey", lines, "Recent", "")
     made = made.withColumn("text", F.concat("text", _text("sold ", F.col("o_custkey"), "\nsold for\nJah")))
-    found = pages.all_trades(pages.page_lines(made, "o_custkey"), "o_custkey")
+    found = pages.all_trades(made, "o_custkey")
     by_marker = F.col("item").startswith("sold ")
     return found.withColumn("block", F.when(by_marker, -1).otherwise(F.col("block")).cast("long"))
