@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StringType, StructType
 
 from marketlens.constants import BLANKS, LINE_BREAK
 
@@ -88,14 +90,31 @@ def longest_run(text: Column, char: str) -> Column:
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(f"({char}+)"), F.lit(1)), F.length)), F.lit(0))
 
 
-def bigram_similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of character bigrams; texts of fewer than two characters have none."""
-    chars = lambda x: F.split(x, "")
-    pairs = lambda c: F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    grams = lambda x: F.array_distinct(pairs(chars(x)))
-    ga, gb = grams(a), grams(b)
-    value = F.size(F.array_intersect(ga, gb)) / F.size(F.array_union(ga, gb))
-    return F.when((F.length(a) >= 2) & (F.length(b) >= 2), value).otherwise(F.lit(0.0))
+@F.pandas_udf(StructType().add("digest", BinaryType()).add("size", IntegerType()).add("grams", BinaryType()))
+def reading(text: pd.Series) -> pd.DataFrame:
+    """A text without blanks as its digest, its number of characters, and its distinct character bigrams as ascending numbers; a null text is empty."""
+
+    def told(x: str | None) -> tuple[bytes, int, bytes]:
+        codes = np.frombuffer((x or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        codes = codes[(codes != 32) & ((codes < 9) | (codes > 13))]
+        grams = np.unique(codes[:-1].astype("<u8") << np.uint64(32) | codes[1:])
+        return hashlib.sha256(codes.tobytes()).digest(), len(codes), grams.tobytes()
+
+    return pd.DataFrame([told(x) for x in text], columns=["digest", "size", "grams"])
+
+
+@F.pandas_udf(DoubleType())
+def bigram_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Jaccard similarity of the bigrams of two readings; without any there is none."""
+
+    def of(x: bytes | None, y: bytes | None) -> float:
+        if not x or not y:
+            return 0.0
+        x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common / (len(x) + len(y) - common)
+
+    return pd.Series([of(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def key_distance(a: Column, b: Column) -> Column:

@@ -66,9 +66,10 @@ def strip_to_base(queries: DataFrame, bases: DataFrame) -> DataFrame:
 
 
 def same_reading(a: Column, b: Column, least: float = 0.6, least_chars: int = 40) -> Column:
-    """Whether two texts without blanks are readings of one record: equal, or both long and alike in their bigrams."""
-    long = (F.length(a) >= least_chars) & (F.length(b) >= least_chars)
-    return (a == b) | (long & (bigram_similarity(a, b) >= least))
+    """Whether two readings (``text.reading``, made once for each text) are of one record: equal, or both long and alike in their bigrams."""
+    same = a["digest"] == b["digest"]
+    asked = ~same & (a["size"] >= least_chars) & (b["size"] >= least_chars)
+    return same | (asked & (bigram_similarity(F.when(asked, a["grams"]), F.when(asked, b["grams"])) >= least))
 
 
 def first_with_text(records: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -502,8 +502,7 @@ p AS (SELECT b.doc_id, a.x AS ax, b.x AS bx, a.g AS ag, b.g AS bg, len(list_inte
 SELECT doc_id, ax = bx OR (length(ax) >= 40 AND length(bx) >= 40 AND common >= 0.6 * (len(ag) + len(bg) - common)) AS again FROM p""")
 def q49_read_again(spark, d):
     """Records that show what the record before them shows."""
-    flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\x0b]+", "")
-    rows = _t(spark, d, "documents").select("doc_id", flat.alias("x"))
+    rows = _t(spark, d, "documents").select("doc_id", T.reading("text").alias("x"))
     before = rows.select((F.col("doc_id") + 1).alias("doc_id"), F.col("x").alias("y"))
     return rows.join(before, "doc_id").select("doc_id", matching.same_reading(F.col("y"), F.col("x")).alias("again"))
 

@@ -59,3 +59,12 @@ def test_whole_pages_give_what_their_lines_give(spark):
     assert [(r["page_id"], r["block"], r["item"], r["price"], r["trade_time"]) for r in pages.all_trades(df).orderBy("page_id").collect()] == [
         (2, 2, "Ring", "Um", "剛剛"), (3, 0, "Unknown", "Jah", ""), (4, 4, "Ring", "", ""),
     ]
+
+
+def test_readings_are_made_once_for_each_text(spark, tmp_path):
+    long = "the quick brown fox jumps over the lazy dog and runs away again"
+    texts = [long, long.upper(), long + " x", " ".join(long) + "\v\f\r\n", None, "", "ab", "a b", "a", long[:39], "ключ 😀 и замок 😀, " * 4, "ключ 😀 и замок 😁, " * 4, long * 300, " " + long * 299]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), tmp_path / "documents.parquet")
+    found = {r[1]: r[0] for r in _agree(spark, "q49_read_again", tmp_path)}
+    assert found[3] and found[5] and found[7] and found[13] and not found[1]
+    assert "array_distinct" not in _operators(registry.QUERIES["q49_read_again"](spark, str(tmp_path)))
