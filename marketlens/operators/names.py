@@ -6,8 +6,12 @@ Chinese, others as Latin.  Text pieces come from ``name_pieces``.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from marketlens.functions import text as T
 from marketlens.operators import name_trie
@@ -30,9 +34,10 @@ ALIASES = (("註", "注"), ("安達莉爾的面容", "安達莉爾的面貌"))
 
 def name_line(line: Column) -> tuple[Column, Column]:
     """What of a line may be a name, and whether it is the front of a line of numbers; null where too little stands before the mark."""
-    bare = F.regexp_replace(line, TAG_START, "")
+    # Each pattern is tried only where a cheaper one lets it matter.
+    bare = F.when(F.rlike(line, F.lit("[\\[［【]")), F.regexp_replace(line, TAG_START, "")).otherwise(line)
+    marked = F.rlike(bare, F.lit("[0-9]")) & F.rlike(bare, F.lit(rf"(?:{STAT_MARK}).*[0-9]"))
     front = F.regexp_extract(bare, rf"^(.*?)(?:{STAT_MARK}).*$", 1)
-    marked = F.rlike(bare, F.lit(rf"^.*?(?:{STAT_MARK}).*[0-9]"))
     short = F.length(F.regexp_replace(front, r"\s+", "")) < MIN_BEFORE_STAT
     return F.when(~marked, bare).when(~short, front), marked
 
@@ -50,19 +55,35 @@ def cjk_text(text: Column, traditional: tuple[str, str] = ("", "")) -> Column:
     return out
 
 
+_NO_LATIN, _LATIN, _QUOTES, _GAPS = re.compile(r"[^A-Za-z'’\- ]+"), re.compile(LATIN_RUN), re.compile("['’‘`]"), re.compile("[^a-z0-9]+")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _latin_keys(line: pd.Series) -> pd.Series:
+    """The runs of Latin letters of each line as ``text.name_key`` gives them; such runs have no accents."""
+
+    def key(run: str) -> str:
+        return _GAPS.sub(" ", _QUOTES.sub("", run.lower())).strip(" ").removeprefix("the ")
+
+    return line.map(lambda x: None if x is None else [key(r) for r in _LATIN.findall(_NO_LATIN.sub("", x))])
+
+
 def name_pieces(lines: DataFrame, key: str, traditional: tuple[str, str] = ("", ""), ascii_only: bool = False) -> DataFrame:
     """``key, at, cjk, piece, stat_prefix``: the runs of Chinese and of Latin letters of each line that may be names.
 
     Expects ``key, pos, line``.  Pieces of fewer than two Chinese or six Latin characters are none.
     """
     name, front = name_line(F.col("line"))
-    rows = lines.select(key, F.col("pos").alias("at"), name.alias("_name"), front.alias("front")).where("_name is not null")
+    rows = lines.select(key, F.col("pos").alias("at"), name.alias("_name"), front.alias("front"))
     strip = lambda x: T.without_separators(x)
+    none = F.array().cast("array<struct<cjk:boolean,piece:string,least:int>>")
     chinese = F.transform(F.regexp_extract_all(cjk_text(F.col("_name"), traditional), F.lit(CJK_RUN), F.lit(0)), lambda x: F.struct(F.lit(True).alias("cjk"), strip(x).alias("piece"), F.lit(2).alias("least")))
-    letters = F.regexp_replace("_name", r"[^A-Za-z'’\- ]+", "")
-    latin = F.transform(F.regexp_extract_all(letters, F.lit(LATIN_RUN), F.lit(0)), lambda x: F.struct(F.lit(False).alias("cjk"), x.alias("piece"), F.lit(MIN_LATIN).alias("least")))
-    runs = rows.select(key, "at", "front", F.explode(F.concat(chinese, latin)).alias("r")).select(key, "at", "r.cjk", "r.piece", "r.least", (F.col("front") & F.col("r.cjk")).alias("stat_prefix"))
-    runs = runs.withColumn("piece", F.when(F.col("cjk"), F.col("piece")).otherwise(T.name_key(F.col("piece"), ascii_only)))
+    if not traditional[0]:  # else a text without Chinese may get some
+        chinese = F.when(F.octet_length("_name") > F.length("_name"), chinese).otherwise(none)
+    latin = F.transform(F.coalesce(_latin_keys("_name"), F.array().cast("array<string>")), lambda x: F.struct(F.lit(False).alias("cjk"), x.alias("piece"), F.lit(MIN_LATIN).alias("least")))
+    # Lines without a name or a run are left out after the explosion: before it, all of this would be done twice.
+    found = rows.select(key, "at", "front", F.explode_outer(F.when(F.col("_name").isNotNull(), F.concat(chinese, latin))).alias("r")).where("r IS NOT NULL")
+    runs = found.select(key, "at", "r.cjk", "r.piece", "r.least", (F.col("front") & F.col("r.cjk")).alias("stat_prefix"))
     return runs.where(F.length("piece") >= F.col("least")).drop("least")
 
 

@@ -17,8 +17,8 @@ from marketlens.functions import text as T
 
 
 def page_lines(pages: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
-    """``key, pos, line``; empty and null texts have no lines."""
-    return pages.select(F.col(key), F.posexplode(T.lines(F.col(text))).alias("pos", "line"))
+    """``key, pos, line``; empty and null texts have no lines.  They are left out after the explosion: before it, the lines would be made twice."""
+    return pages.select(F.col(key), F.posexplode_outer(T.lines(F.col(text))).alias("pos", "line")).where("pos IS NOT NULL")
 
 
 def settled_pages(reads: DataFrame, quiet_ms: int = 500, cap_ms: int = 5000) -> DataFrame:

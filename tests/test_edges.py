@@ -68,3 +68,11 @@ def test_readings_are_made_once_for_each_text(spark, tmp_path):
     found = {r[1]: r[0] for r in _agree(spark, "q49_read_again", tmp_path)}
     assert found[3] and found[5] and found[7] and found[13] and not found[1]
     assert "array_distinct" not in _operators(registry.QUERIES["q49_read_again"](spark, str(tmp_path)))
+
+
+def test_runs_of_odd_lines(spark, tmp_path):
+    texts = ["The Stone of Jordan\nshort\n  the  the ring's edge ", "Shako+141 Defense [rare] 12\nabc: 12\nab c d: 12 items\nMany words (Item) of 3", "don’t-stop--now ’the the  axe", None, "", "naïve façade Straße\tand more", "[all of it\nname [rare] left"]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), tmp_path / "documents.parquet")
+    assert len(_agree(spark, "q24_name_pieces", tmp_path)) > 5
+    plan = _operators(registry.QUERIES["q24_name_pieces"](spark, str(tmp_path)))
+    assert "size(" not in plan, "what is exploded is made twice"
