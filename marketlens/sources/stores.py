@@ -73,8 +73,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_File]:
         return [_File(u) for u in _files(self.source.uri)]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        yield from self.source.rows(partition.uri, self.names)
+    def read(self, partition: _File | None) -> Iterator[tuple]:
+        if partition is not None:  # Spark reads a folder without files as one partition that is None
+            yield from self.source.rows(partition.uri, self.names)
 
 
 class _StreamReader(DataSourceStreamReader):

@@ -68,3 +68,12 @@ def test_saved_replies(spark, tmp_path):
     stores.register(spark)
     found = {r.path: (r.status, r.body, r["head"]) for r in spark.read.format("saved_replies").load(str(folder)).collect()}
     assert found == {"/a": (200, '{"x": 1}', None), "/b": (200, None, "<html>" + "é" * 294), "/c": (404, None, '{"x": 1}'), "/d": (500, None, "")}
+
+
+def test_folders_without_files_have_no_rows(spark, tmp_path):
+    stores.register(spark)
+    (tmp_path / "empty").mkdir()
+    for source in ("store_scan", "saved_replies"):
+        for folder in ("empty", "none"):
+            found = spark.read.format(source).load(str(tmp_path / folder))
+            assert found.collect() == [] and found.where("key = 'x'" if source == "store_scan" else "path = 'x'").count() == 0
