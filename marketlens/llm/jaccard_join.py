@@ -13,7 +13,8 @@
    Links give components.  What is then left of a column are pairs of nodes in different components.  For a few turns
    the minority meets pivots drawn from the majority, so a node that links to a fair share of it joins it unpaired with
    the others; at last what is still apart is paired.  A large group of near copies, joined by its pivots, makes no
-   pairs among its members.  No pair that could link two components is left out.
+   pairs among its members.  Of its members that are still apart, sketches of the whole sets discard the pairs that
+   differ too much.  No pair that could link two components is left out.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ TURNS = 1
 CLASSES = 16
 #: So many n-grams before its own does an entry of a column show; a pair that shares one of them was met in that column.
 SHOWN = 16
+#: Bits of a set's sketch: how many of its n-grams fall on each bit, modulo 2.
+SKETCH_BITS = 1024
 #: N-grams of a column block, about, and of the nodes that one node meets at a time.
 BLOCK_GRAMS = 1_000_000
 MEET_GRAMS = 1 << 16
@@ -62,6 +65,18 @@ def _overlap_bound(percent: int, n: str = "n", m: str = "m") -> Column:
     return F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / F.lit(100 + percent))
 
 
+def _sketch(grams: np.ndarray) -> np.ndarray:
+    """The parity of the number of n-grams on each bit, as 64-bit integers.  Bits in which two sketches differ are no more than n-grams in one of the sets only."""
+    odd = np.bincount((grams & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _near(percent: int) -> Column:
+    """Whether two sketches allow the overlap that links their sets."""
+    differing = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_m")[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col("sketch")[0].bitwiseXOR(F.col("sketch_m")[0])))
+    return differing <= F.col("n") + F.col("m") - 2 * _overlap_bound(percent)
+
+
 def _places(grams: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """The block of each n-gram, ascending with it, and its place in the block as 32 bits."""
     low = (grams & _U(0xFFFFFFFF)) * _U(blocks)
@@ -135,8 +150,8 @@ def _ranks(rows: DataFrame) -> DataFrame:
 
 def _nodes(texts: DataFrame, ranks: DataFrame, width: int, percent: int) -> DataFrame:
     """A row for each of a chunk's sets that has an n-gram of another in its prefix: those n-grams, from rare to frequent, and
-    their places in the order; the prefix's length and where it ends in the order; the whole set."""
-    columns = ["sig", "n", "p", "last_rank", "last_gram", "grams", "places", "whole"]
+    their places in the order; the prefix's length and where it ends in the order; the whole set and its sketch."""
+    columns = ["sig", "n", "p", "last_rank", "last_gram", "grams", "places", "sketch", "whole"]
 
     def run(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -151,10 +166,10 @@ def _nodes(texts: DataFrame, ranks: DataFrame, width: int, percent: int) -> Data
                 shared = np.flatnonzero(r[order])
                 if len(shared):
                     p = s[order]
-                    out.append((_digest(s), len(s), len(p), int(r[order[-1]]), int(p[-1]) - (1 << 63), p[shared].view(np.int64), shared.astype(np.int32), s.tobytes()))
+                    out.append((_digest(s), len(s), len(p), int(r[order[-1]]), int(p[-1]) - (1 << 63), p[shared].view(np.int64), shared.astype(np.int32), _sketch(s), s.tobytes()))
         return pd.DataFrame(out, columns=columns)
 
-    schema = "sig binary, n int, p int, last_rank int, last_gram long, grams array<long>, places array<int>, whole binary"
+    schema = "sig binary, n int, p int, last_rank int, last_gram long, grams array<long>, places array<int>, sketch array<long>, whole binary"
     return texts.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInPandas(run, schema)
 
 
@@ -220,7 +235,7 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, apart: Column) -> Da
     fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (
         1 + F.least(F.col("n") - F.col("pos") - 1, F.col("m") - F.col("qos") - 1) >= _overlap_bound(percent)
     )
-    both = left.join(right, "gram").where(apart & fits)
+    both = left.join(right, "gram").where(fits & apart)
     return both.select(F.least("node", "mode").alias("a"), F.greatest("node", "mode").alias("b")).distinct()
 
 
@@ -270,12 +285,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         mixed = labelled.join(scratch.table(main.select("gram", "main"), "main"), "gram")
         apart = (F.col("root") != F.col("toot")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("mode")))
         if turn > TURNS:
-            mixed = mixed.join(nodes.select("node", "grams"), "node")
+            mixed = mixed.join(nodes.select("node", "grams", "sketch"), "node")
             at = F.array_position("grams", F.col("gram")).cast("int")
             before = F.slice("grams", F.greatest(F.lit(1), at - SHOWN), F.least(F.lit(SHOWN), at - 1))
-            mixed = scratch.table(mixed.select("gram", "node", "n", "pos", "root", "main", before.alias("before")), "mixed")
-            others = mixed.where("root != main").withColumnRenamed("before", "before_m")
-            apart = apart & ~F.arrays_overlap("before", "before_m")
+            mixed = scratch.table(mixed.select("gram", "node", "n", "pos", "root", "main", "sketch", before.alias("before")), "mixed")
+            others = mixed.where("root != main").withColumnsRenamed({"sketch": "sketch_m", "before": "before_m"})
+            apart = apart & ~F.arrays_overlap("before", "before_m") & _near(percent)
         else:
             mixed = scratch.table(mixed, "mixed")
             others = _drawn(mixed.where("root = main"), "node", "n", "pos", "root", turn=turn)

@@ -95,6 +95,55 @@ def test_jaccard_chains_and_common_passages(spark):
     assert sorted((tuple(r) for r in found.collect()), key=repr) == brute_groups(rows)
 
 
+def test_jaccard_members_that_stay_apart_are_not_paired_with_all_others(spark, monkeypatch):
+    """A group of near copies of which many link to none: what is met follows the members, and the groups are those of brute force."""
+    import random
+
+    from marketlens.storage import Scratch
+
+    rng, rows = random.Random(3), []
+    for i in range(240):
+        own = [f"t{k}" for k in range(290)]
+        for at in rng.sample(range(0, 290, 5), rng.choice((4, 7))):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    met, stored = [], Scratch.table
+
+    def table(self, df, tag):
+        out = stored(self, df, tag)
+        if tag in ("pivot-pairs", "cross-pairs"):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "table", table)
+    found = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    want = brute_groups(rows)
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == want
+    assert sum(root == doc for doc, _, root in want) > 30
+    assert met[-1] < 5 * len(rows), met
+
+
+def test_sketches_never_discard_a_pair_at_the_threshold(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from marketlens.llm import jaccard_join
+
+    rng, rows = np.random.default_rng(1), []
+    for size in (1, 7, 60, 350, 3000):
+        for _ in range(20):
+            n, m = (int(x) for x in rng.integers(size, 1 + size * 4 // 3, 2))
+            shared = min(n, m, -(-75 * (n + m) // 175))
+            if 100 * shared < 75 * (n + m - shared):
+                continue
+            every = rng.integers(0, 1 << 64, n + m - shared, dtype=np.uint64)
+            rows.append((n, m, *(jaccard_join._sketch(s).tolist() for s in (every[:n], every[n - shared :]))))
+    pairs = spark.createDataFrame(rows, "n int, m int, sketch array<long>, sketch_m array<long>")
+    assert len(rows) > 50 and pairs.where(~jaccard_join._near(75)).count() == 0
+    apart = pairs.where("n between 100 and 500").withColumn("sketch_m", F.transform("sketch_m", F.bitwise_not))
+    assert apart.count() and apart.where(jaccard_join._near(75)).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op4_exact_dedup", "op7_url_filter", "op8_ngram_jaccard"])
 def test_sql(spark, sf_dir, name):
     assert rows_of_spark(queries.QUERIES[name](spark, sf_dir)) == rows_of_sql(queries.ORACLE_SQL[name], sf_dir)
