@@ -10,17 +10,12 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import exact_dedup, jaccard_join, language, mixing, packing
 from marketlens.llm.queries import remainder
-from marketlens.storage import Scratch
+from marketlens.storage import Scratch, numbered
 
 
-def _numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a number of each row that is stored: ids may be null or repeated, and reading anew may number otherwise."""
-    return scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-
-
-def _kept(numbered: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``numbered`` whose ``_row`` is in ``rows``, without it."""
-    return numbered.join(rows.select("_row"), "_row", "left_semi").select(*[c for c in numbered.columns if c != "_row"])
+def _kept(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``_row`` is in ``kept``, without it."""
+    return rows.join(kept.select("_row"), "_row", "left_semi").select(*[c for c in rows.columns if c != "_row"])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,17 +30,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
-    numbered = _numbered(Scratch(spark, "exact-rows"), docs)
-    return _kept(numbered, exact_dedup.exact_duplicates(numbered, carry=("_row",)).where("kept"))
+    rows = numbered(docs, Scratch(spark, "exact-rows"))
+    return _kept(rows, exact_dedup.exact_duplicates(rows, carry=("_row",)).where("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, the one with the smallest id (null ids last), then the first as read."""
-    numbered = _numbered(Scratch(spark, "near-rows"), docs)
-    groups = jaccard_join.jaccard_groups(numbered, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    rows = numbered(docs, Scratch(spark, "near-rows"))
+    groups = jaccard_join.jaccard_groups(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
-    best = groups.join(numbered.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("best"))
-    return _kept(numbered, best.select("best._row"))
+    best = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("best"))
+    return _kept(rows, best.select("best._row"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.storage import Scratch
+from marketlens.storage import Scratch, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 _LEVELS = 6
@@ -94,12 +94,12 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def mix_segments(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 4096, shard_blocks: int = 1024, seed: int = 17, carry: tuple[str, ...] = ()
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 4096, shard_blocks: int = 1024, seed: int = 17, row_col: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The mix as ``(rows, segments)``.
 
-    ``rows`` has one row per input row: ``uid, doc_id, size, source_size, target`` and the columns named in
-    ``carry``, each as ``c_<name>``.  ``segments`` are the runs of words that the mix takes: ``uid, shard, place, pass,
+    ``rows`` has one row per input row: ``uid, doc_id, size, source_size, target``; ``uid`` is ``row_col``, a number of each
+    row, or one that is given here.  ``segments`` are the runs of words that the mix takes: ``uid, shard, place, pass,
     first_word, n_words``, in each shard in the order of ``place``.
 
     Null texts and texts without words have size 0 and are in no segment; a null source is a source of its
@@ -111,8 +111,8 @@ def mix_segments(
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *[F.col(c).alias(f"c_{c}") for c in carry])
-    sized = scratch.table(sized.withColumn("uid", F.monotonically_increasing_id()), "sized")
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("uid"))
+    sized = scratch.table(sized, "sized")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), scratch, weights, share, most)
 
     n_docs = sized.count()
@@ -169,7 +169,7 @@ def mix_segments(
     segments = scratch.table(dealt.select("uid", "shard", place.alias("place"), "pass", "first_word", "n_words"), "segments")
     scratch.keep(sized, table, segments)
     rows = sized.join(table.select(F.col("source").alias("t_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("t_source")))
-    return rows.select("uid", "doc_id", "size", "source_size", "target", *[f"c_{c}" for c in carry]), segments
+    return rows.select("uid", "doc_id", "size", "source_size", "target"), segments
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -211,8 +211,10 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     text_col = options.get("text_col", "text")
-    rows, segments = mix_segments(docs, carry=tuple(docs.columns), **options)
-    joined = taken_runs(segments).join(rows, "uid")
+    given = numbered(docs, Scratch(docs.sparkSession, "mixed-rows"))
+    rows, segments = mix_segments(given, row_col="_row", **options)
+    texts = given.select(F.col("_row").alias("uid"), *[F.col(c).alias(f"c_{c}") for c in docs.columns])
+    joined = taken_runs(segments).join(rows.select("uid", "size"), "uid").join(texts, "uid")
     text = F.col(f"c_{text_col}")
     joined = joined.withColumn("taken", F.when(F.col("n_words") == F.col("size"), text).otherwise(words(text, F.col("first_word"), F.col("n_words"))))
     of = lambda c: F.col("taken") if c == text_col else F.length("taken").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"c_{c}")

@@ -9,7 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -60,3 +62,22 @@ class Scratch:
             jvm = self.spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(self._held.pop(key)[1])
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def numbered(docs: DataFrame, scratch: Scratch, name: str = "_row") -> DataFrame:
+    """``docs`` with a number of each row, the same at every reading, whatever its ids.
+
+    Rows of Parquet files are numbered by file and place in it and are read from there again; others, or rows that are not
+    each a row of a file of their own, are stored first.
+    """
+    try:
+        at = docs.metadataColumn("_metadata")
+        placed = docs.select(*docs.columns, at["file_path"].alias("_file"), at["row_index"].alias("_place"))
+    except AnalysisException:
+        return scratch.table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    files = sorted(r[0] for r in placed.select("_file").distinct().collect())
+    number = docs.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "_file string, _first long")
+    out = placed.join(F.broadcast(number), "_file").select(*docs.columns, (F.col("_first") + F.col("_place")).alias(name))
+    if out.groupBy(name).count().where("count > 1").limit(1).count():
+        return scratch.table(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    return out
