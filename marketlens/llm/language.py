@@ -37,6 +37,10 @@ _OF = np.array([_NAMES.index(s) for s, _, _ in SCRIPTS])
 _WORD = re.compile(r"[^\W\d_]+")
 #: Bytes of text that are worked on at a time, about; a longer text is worked on alone.
 _SLICE = 4_000_000
+#: Letters of different words whose n-grams are held at a time, about; each takes some hundred bytes.
+_BLOCK = 1 << 17
+#: Words times languages whose paths are held at a time; a longer text is worked on alone.
+_STEPS = 6_000_000
 
 
 def script_of(words: list[str]) -> np.ndarray:
@@ -62,6 +66,12 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(grams)
 
 
+def blocks(words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of ``words`` and the features of each, numbered from the run's first word."""
+    for a, b in runs([len(w) for w in words], _BLOCK):
+        yield a, b, *features(words[a:b])
+
+
 def _slices(texts: list[str | None]) -> list[tuple[int, int]]:
     return runs([len(t) if t else 0 for t in texts], _SLICE)
 
@@ -81,16 +91,18 @@ def _learn(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
             vocabulary = _vocabulary()
             times: dict[str, list] = defaultdict(list)
             for lang, text in zip(pdf["lang"], pdf["text"]):
-                times[lang] += [vocabulary[w] for w in _WORD.findall(text.lower())]
+                times[lang].append(np.array([vocabulary[w] for w in _WORD.findall(text.lower())], dtype=np.int32))
             if not vocabulary:
                 continue
             words = list(vocabulary)
-            ids, grams = features(words)
             script = script_of(words)
-            for lang, seen in times.items():
-                n = np.bincount(np.array(seen, dtype=np.int64), minlength=len(words))
-                counts = np.concatenate([np.bincount(grams, weights=n[ids], minlength=1 << BITS), np.bincount(script, weights=n, minlength=len(_NAMES))])
-                held[lang] = held.get(lang, 0) + counts.astype(np.int64)
+            seen = {lang: np.bincount(np.concatenate(of), minlength=len(words)) for lang, of in times.items()}
+            for lang in seen:
+                total = held.setdefault(lang, np.zeros((1 << BITS) + len(_NAMES), dtype=np.int64))
+                total[1 << BITS :] += np.bincount(script, weights=seen[lang], minlength=len(_NAMES)).astype(np.int64)
+            for a, b, ids, grams in blocks(words):
+                for lang, n in seen.items():
+                    held[lang][: 1 << BITS] += np.bincount(grams, weights=n[a:b][ids], minlength=1 << BITS).astype(np.int64)
         if held:
             yield pd.DataFrame({"lang": list(held), "counts": [pack(c) for c in held.values()]})
 
@@ -113,17 +125,19 @@ class LanguageModel:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row per word: its n-grams' mean log likelihood times its length, 0 for the best language, down to -12."""
-        ids, grams = features(words)
-        n = np.bincount(ids, minlength=len(words))
-        s = np.empty((len(words), len(self.languages)), dtype=np.float64)
-        for k in range(len(self.languages)):
-            s[:, k] = np.bincount(ids, weights=self.logp[grams, k], minlength=len(words))
-        s *= (n / 4.0 / np.maximum(1, n))[:, None]
-        s[~self.candidates[script_of(words)]] = -np.inf
-        best = s.max(1, keepdims=True)
-        s = np.maximum(s - best, -12.0)
-        s[~np.isfinite(s)] = -12.0
-        return s.astype(np.float32)
+        found = np.empty((len(words), len(self.languages)), dtype=np.float32)
+        for a, b, ids, grams in blocks(words):
+            n = np.bincount(ids, minlength=b - a)
+            s = np.empty((b - a, len(self.languages)), dtype=np.float64)
+            for k in range(len(self.languages)):
+                s[:, k] = np.bincount(ids, weights=self.logp[grams, k], minlength=b - a)
+            s *= (n / 4.0 / np.maximum(1, n))[:, None]
+            s[~self.candidates[script_of(words[a:b])]] = -np.inf
+            best = s.max(1, keepdims=True)
+            s = np.maximum(s - best, -12.0)
+            s[~np.isfinite(s)] = -12.0
+            found[a:b] = s
+        return found
 
     def paths(self, sequences: list[np.ndarray], scores: np.ndarray) -> list[np.ndarray]:
         """The best language of each word of each sequence of word numbers; many sequences step together."""
@@ -132,7 +146,7 @@ class LanguageModel:
         at = 0
         while at < len(order):
             longest = len(sequences[order[at]])
-            own = order[at : at + max(1, min(512, 1_500_000 // longest))]
+            own = order[at : at + max(1, min(512, _STEPS // (longest * scores.shape[1])))]
             at += len(own)
             lengths = np.array([len(sequences[i]) for i in own])
             words = np.zeros((longest, len(own)), dtype=np.int32)
