@@ -13,15 +13,14 @@ let others pass but holds back none.  The more it is filled, the more passes; co
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +38,9 @@ _U = np.uint64
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TO_MARKS = bytes.maketrans(_ENDS + b"\t", b"\n" * len(_ENDS) + b" ")
+#: What the tokens of a blob are besides words.
+_NO_WORDS = pa.array([b"", b"\n"], pa.large_binary())
+_SPACE = pa.scalar(b" ", pa.large_binary())
 _EDGE = re.compile(rb"[ \t.,;:!?\n-\r]")
 
 
@@ -64,28 +66,34 @@ class _Shard:
         of_lang: dict[str, list[bytes]] = defaultdict(list)
         for lang, raw in parts:
             of_lang[lang].append(raw)
-        number = count(1).__next__
         self.langs = list(of_lang)
-        self.names: list[bytes] = [b""]
-        lang_of, ids = [0], []
-        for k, (lang, raws) in enumerate(of_lang.items()):
-            known: dict[bytes, int] = defaultdict(number)
-            known[b""], known[b"\n"] = -1, 0
-            tokens = b"\n".join(raws).lower().translate(_TO_MARKS).replace(b"\n", b" \n ").split(b" ")
-            found = np.fromiter(map(known.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+        names, lang_of, ids, used = [pa.array([b""], pa.large_binary())], [np.zeros(1, dtype=np.int32)], [], 1
+        for k, raws in enumerate(of_lang.values()):
+            blob = b"\n".join(raws).lower().translate(_TO_MARKS).replace(b"\n", b" \n ")
+            tokens = pc.split_pattern(pa.array([blob], pa.large_binary()), b" ").flatten().dictionary_encode()
+            word = ~pc.is_in(tokens.dictionary, _NO_WORDS).to_numpy(zero_copy_only=False)
+            blank = pc.equal(tokens.dictionary, b"").to_numpy(zero_copy_only=False)
+            found = np.where(word, np.cumsum(word) + used - 1, -1 * blank).astype(np.int32)[tokens.indices.to_numpy()]
             ids += [found[found >= 0], np.zeros(1, dtype=np.int32)]
-            new = list(known)[2:]
-            self.names += new
-            lang_of += [k] * len(new)
-        self.lang_of = np.array(lang_of, dtype=np.int32)
+            names.append(tokens.dictionary.filter(pa.array(word)))
+            lang_of.append(np.full(len(names[-1]), k, dtype=np.int32))
+            used += len(names[-1])
+        self.names = pa.concat_arrays(names)
+        self.lang_of = np.concatenate(lang_of)
         self.ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
 
     def hashes(self) -> np.ndarray:
-        return np.array([0, *(_hash(self.langs[k].encode(), w) for k, w in zip(self.lang_of[1:].tolist(), self.names[1:]))], dtype=np.uint64)
+        of_lang = _hashes(np.array([x.encode() for x in self.langs], dtype=object))
+        return _of_language(_hashes(self.names.to_numpy(zero_copy_only=False)), of_lang[self.lang_of]) if self.langs else np.zeros(1, dtype=np.uint64)
 
 
-def _hash(lang: bytes, word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(lang + b"\0" + word, digest_size=8).digest(), "little")
+def _hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of texts, the same in every process."""
+    return pd.util.hash_array(words, categorize=False)
+
+
+def _of_language(word: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    return mix64(word ^ (lang * _MULT))
 
 
 def _joined(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -93,6 +101,17 @@ def _joined(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(h * _MULT + word)
 
 
+def _phrase_hashes(langs: pd.Series, phrases: pd.Series) -> np.ndarray:
+    """The hash of each phrase; all have the same number of words."""
+    lang = _hashes(langs.to_numpy(dtype=object))
+    words = np.array(phrases.str.split(" ").tolist(), dtype=object)
+    h = [_of_language(_hashes(w), lang) for w in words.T]
+    out = h[0] if h else lang
+    for w in h[1:]:
+        out = _joined(out, w)
+    return out
+
+
 def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = h & _U(_BITS - 1)
     return (bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
@@ -170,22 +189,20 @@ def _phrases(ids: np.ndarray, words: int, h: np.ndarray, filters: list[np.ndarra
 def _shard_counts(parts: list[tuple[str, bytes]], words: int, filters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     shard = _Shard(parts)
     langs = pa.array(shard.langs, pa.string())
-    names = np.array(shard.names, dtype=object)
+    names = shard.names
 
-    def rows(lang: np.ndarray, phrase: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    def rows(lang: np.ndarray, phrase: pa.Array, times: np.ndarray) -> pa.RecordBatch:
         lang_col = pa.DictionaryArray.from_arrays(pa.array(lang, pa.int32()), langs).cast(pa.string())
-        return pa.RecordBatch.from_arrays([lang_col, pa.array(phrase, pa.binary()), pa.array(times, pa.int64())], ["lang", "phrase", "f"])
+        return pa.RecordBatch.from_arrays([lang_col, phrase.cast(pa.binary()), pa.array(times, pa.int64())], ["lang", "phrase", "f"])
 
     if words == 1:
         times = np.bincount(shard.ids, minlength=len(names))[1:]
         totals = np.bincount(shard.lang_of[1:], weights=times, minlength=len(langs)).astype(np.int64)
         yield rows(shard.lang_of[1:], names[1:], times)
-        yield rows(np.arange(len(langs)), np.array([b""] * len(langs), dtype=object), totals)
+        yield rows(np.arange(len(langs)), pa.array([b""] * len(langs), pa.binary()), totals)
         return
     for phrase, times in _phrases(shard.ids, words, shard.hashes(), filters):
-        text = names[phrase[:, 0]]
-        for k in range(1, words):
-            text = text + b" " + names[phrase[:, k]]
+        text = pc.binary_join_element_wise(*(names.take(pa.array(phrase[:, k])) for k in range(words)), _SPACE)
         yield rows(shard.lang_of[phrase[:, 0]], text, times)
 
 
@@ -198,7 +215,7 @@ def phrase_counts(docs: DataFrame, words: int, filters: list, lang_col: str = "l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [b.value for b in filters]
         for batch in batches:
-            sizes = [n or 0 for n in pa.compute.binary_length(batch.column(1)).to_pylist()]
+            sizes = [n or 0 for n in pc.binary_length(batch.column(1)).to_pylist()]
             for a, b in runs(sizes, _ROOM):
                 texts = zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist())
                 if sizes[a] <= _ROOM:
@@ -218,13 +235,8 @@ def _filter_of(frequent: DataFrame):
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for lang, phrase in zip(pdf["lang"], pdf["phrase"]):
-                first, *rest = (np.array([_hash(lang.encode(), w.encode())], dtype=np.uint64) for w in phrase.split(" "))
-                for w in rest:
-                    first = _joined(first, w)
-                out.append(int(first[0]) & (_BITS - 1))
-            at = np.array(out, dtype=np.int64)
+            h = _phrase_hashes(pdf["lang"], pdf["phrase"])
+            at = (h & _U(_BITS - 1)).astype(np.int64)
             yield pd.DataFrame({"page": at // (8 * _PAGE), "at": at % (8 * _PAGE)})
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
